@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.ranking import running_totals
+from plumbline.operators.ordinals import running_totals
 from plumbline.session import materialize
 
 #: A public byte-level tokenizer; its path is a parameter of every function here.

@@ -5,37 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.ordinals import running_totals
 from plumbline.session import materialize
 
 #: Values held by more than this share of the rows are hot; there can't be more than its inverse of them.
 HOT_SHARE = 1 / 1000
 
 
-def running_totals(counts: DataFrame, by: list, amount: str, out: str) -> DataFrame:
-    """``counts`` with the sum of ``amount`` over all rows before, in the order of ``by``.
-
-    The rows are range-partitioned and written, so that the cut points stand;
-    each partition is then summed once, and only one number per partition
-    reaches the driver.  No task sees more than a partition.
-    """
-    ranged = materialize(counts.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranged")
-    sums = {r["__part"]: r["s"] for r in ranged.groupBy("__part").agg(F.sum(amount).alias("s")).collect()}
-    before, total = [], 0
-    for part in sorted(sums):
-        before.append((part, total))
-        total += sums[part]
-    spark = counts.sparkSession
-    offsets = spark.createDataFrame(before, "__part int, __before bigint")
-    inside = Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.withColumn(out, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "__part").withColumn(out, F.col(out) + F.col("__before")).drop("__part", "__before")
-    )
-
-
 def _ranks(rows: DataFrame, name: str, total: int, higher: bool) -> DataFrame:
     """``rows`` with ``above_<name>``, the number of better rows, and ``rank_<name>`` in (0, 1], 1 the best."""
     counts = rows.groupBy(F.col(name).alias("__v")).agg(F.count("*").alias("__n"))
