@@ -144,8 +144,8 @@ def terms(text: str | None) -> list[str]:
 
 
 # The five characters that are escaped in marked-up output.
-_ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"}
-_ESCAPE_TABLE = str.maketrans(_ESCAPES)
+ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"}
+_ESCAPE_TABLE = str.maketrans(ESCAPES)
 
 
 def escape_html(text: str) -> str:
@@ -153,7 +153,7 @@ def escape_html(text: str) -> str:
 
 
 def unescape_html(text: str) -> str:
-    for ch, entity in reversed(_ESCAPES.items()):
+    for ch, entity in reversed(ESCAPES.items()):
         text = text.replace(entity, ch)
     return text
 

@@ -1,3 +1,456 @@
-"""The engine's queries over the project's tables."""
+"""The engine's queries over the project's tables, each over whole tables.
 
-QUERIES = {}
+Records are the current ones, the latest state of every id.  The index over
+them is built once per session and data folder.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from plumbline.functions import text
+from plumbline.functions.distance import osa_column
+from plumbline.operators import facets, highlight, scorer, suggest
+from plumbline.operators.current import latest
+from plumbline.operators.index import Index, build_index, decade, index_stats, invert, rating_bucket, term_table
+from plumbline.operators.index import IndexConfig
+from plumbline.operators.planner import WORD, describe_plan, expand_words, near_strings, plan_candidates, prefixes_of, query_words
+from plumbline.plans import batch
+from plumbline.session import materialize, shared_dir
+from plumbline.sources.io import as_json, summary
+from plumbline.streaming.requests import latest_requests, read_requests, stale_answers
+
+Query = Callable[[SparkSession, str], DataFrame]
+_indexes: dict[tuple[str, str], Index] = {}
+_REQUEST = "request_id bigint, query string, page double, hits_per_page double, typo_tolerance boolean, facet_filters array<array<string>>"
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def current_records(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["title", "genres", "description", "year", "rating", "popularity", "doc_ord"]
+    return latest(table(spark, sf, "records"), "id", ["updated_at", "doc_ord"], columns)
+
+
+def current_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Each request once, as it arrived last."""
+    given = table(spark, sf, "search_requests")
+    return latest(given, "request_id", ["arrived_at", "sent_at"], [c for c in given.columns if c != "request_id"])
+
+
+def record_index(spark: SparkSession, sf: str) -> Index:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        _indexes[key] = build_index(materialize(current_records(spark, sf), "records"))
+    return _indexes[key]
+
+
+def part_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts of the sales tables in the shape of records."""
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.array("p_type", "p_brand").alias("genres"),
+        F.concat_ws(" ", "p_brand", F.lower("p_type"), "p_name").alias("description"), (F.lit(1970) + F.col("p_size")).alias("year"),
+        ((F.col("p_partkey") % 101).cast("double") / 10).alias("rating"), (F.col("p_partkey") * 7919 % 100000).alias("popularity"), F.col("p_partkey").alias("doc_ord"),
+    )
+
+
+# --- text ------------------------------------------------------------------
+
+
+def _token_rows(df: DataFrame, key: str, column: str) -> DataFrame:
+    """``(key, position, term)`` of every token of a text column."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            keys, places, found = [], [], []
+            for row, value in enumerate(b.column(1).to_pylist()):
+                cut = text.terms(value)
+                keys += [row] * len(cut)
+                places += range(len(cut))
+                found += cut
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(places, pa.int32()), pa.array(found, pa.string())], names=["k", "position", "term"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, column).mapInArrow(run, f"k {kind}, position int, term string").withColumnRenamed("k", key)
+
+
+def tokens_titles(spark, sf):
+    return _token_rows(current_records(spark, sf), "id", "title")
+
+
+def tokens_requests(spark, sf):
+    return _token_rows(current_requests(spark, sf), "request_id", "query")
+
+
+def token_counts_documents(spark, sf):
+    """Of every document the number of its tokens and of its different terms."""
+    found = _token_rows(table(spark, sf, "documents"), "doc_id", "text")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("term").alias("n_terms"))
+
+
+def token_offsets_titles(spark, sf):
+    """Tokens with their places in the original string."""
+
+    def cut(values):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        return pa.array([[dict(zip(("text", "start", "end"), t, strict=True)) for t in text.tokens(v)] for v in values.to_pylist()], kind)
+
+    import pyarrow as pa
+
+    cut.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    offsets = F.arrow_udf(cut, "array<struct<text string, start int, end int>>")
+    return current_records(spark, sf).select("id", F.explode(offsets("title")).alias("t")).select("id", "t.*")
+
+
+def html_escape(spark, sf):
+    escaped = F.col("text")
+    for ch, entity in text.ESCAPES.items():
+        escaped = F.replace(escaped, F.lit(ch), F.lit(entity))
+    return table(spark, sf, "documents").select("doc_id", F.md5(escaped).alias("escaped_md5"), F.length(escaped).alias("n_chars_escaped"))
+
+
+def html_unescape(spark, sf):
+    """Escaping and unescaping gives every text back."""
+    back = F.col("text")
+    for ch, entity in text.ESCAPES.items():
+        back = F.replace(back, F.lit(ch), F.lit(entity))
+    for ch, entity in reversed(text.ESCAPES.items()):
+        back = F.replace(back, F.lit(entity), F.lit(ch))
+    return table(spark, sf, "documents").select("doc_id", (back == F.col("text")).alias("same"))
+
+
+# --- index -----------------------------------------------------------------
+
+
+def postings_records(spark, sf):
+    return record_index(spark, sf).postings.select("term", "doc_ord", "attr", F.concat_ws(" ", F.transform("positions", lambda p: p.cast("string"))).alias("positions"))
+
+
+def term_df_records(spark, sf):
+    return record_index(spark, sf).terms.select("term", "df", "n_chars")
+
+
+def term_df_documents(spark, sf):
+    docs = table(spark, sf, "documents").filter(F.col("doc_id").isNotNull())
+    return term_table(invert(docs, IndexConfig(key="doc_id", ordinal="doc_id", attributes=("text",))))
+
+
+def index_stats_records(spark, sf):
+    return index_stats(record_index(spark, sf))
+
+
+def index_stats_part(spark, sf):
+    return index_stats(build_index(part_records(spark, sf)))
+
+
+def facet_index_records(spark, sf):
+    return record_index(spark, sf).facet_values().groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
+def popularity_rank(spark, sf):
+    return record_index(spark, sf).docs.select("id", "pop_rank")
+
+
+def dataset_summary(spark, sf):
+    return summary(current_records(spark, sf))
+
+
+def decade_bucket(spark, sf):
+    return current_records(spark, sf).filter(F.col("year").isNotNull()).groupBy(decade(F.col("year")).alias("decade")).agg(F.count("*").alias("n"))
+
+
+def rating_buckets(spark, sf):
+    return current_records(spark, sf).filter(F.col("rating").isNotNull()).groupBy(rating_bucket(F.col("rating")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+# --- dictionary and planning ------------------------------------------------
+
+
+def exact_term(spark, sf):
+    """Request words that are terms, with their document frequency."""
+    words = _request_words(spark, sf).select("word").distinct()
+    return words.join(record_index(spark, sf).terms.withColumnRenamed("term", "word"), "word").select("word", "df")
+
+
+def unknown_words(spark, sf):
+    """Request words that no record holds."""
+    words = _request_words(spark, sf).select("word").distinct()
+    return words.join(record_index(spark, sf).terms.withColumnRenamed("term", "word"), "word", "left_anti")
+
+
+def prefix_terms(spark, sf):
+    """For every request word that may be a prefix, the number of terms that begin with it."""
+    words = _request_words(spark, sf).filter("prefix").select(F.col("word").alias("prefix")).distinct()
+    return words.join(prefixes_of(record_index(spark, sf).terms), "prefix").groupBy("prefix").agg(F.count("*").alias("n_terms"), F.min("term").alias("first_term"))
+
+
+def _request_words(spark, sf):
+    return query_words(current_requests(spark, sf).withColumnRenamed("request_id", "query_id"))
+
+
+def _literal_words(spark, words):
+    return spark.createDataFrame(words, "word string, max_typos int, prefix boolean")
+
+
+def _expanded(words):
+    def run(spark, sf):
+        return expand_words(_literal_words(spark, words), record_index(spark, sf).terms).select("word", "term", "typos", "exact", "df")
+
+    return run
+
+
+def near_term_pairs(spark, sf):
+    """All pairs of terms that are one edit apart."""
+    terms = record_index(spark, sf).terms
+    near = near_strings(terms.select(F.col("term").alias("word"), F.lit(1).alias("k")), terms.select(F.col("term").alias("s"), F.lit(1).alias("depth")))
+    return near.filter("word < s").select(F.col("word").alias("term_a"), F.col("s").alias("term_b"), osa_column("word", "s").alias("distance"))
+
+
+def request_words(spark, sf):
+    """The plan of every request: its words, budgets and prefix flags."""
+    return _request_words(spark, sf).select(F.col("query_id").alias("request_id"), "word_idx", *WORD)
+
+
+def plan_sizes(spark, sf):
+    """Of every word of every request the number of candidates after the caps."""
+    words = materialize(_request_words(spark, sf), "words")
+    return describe_plan(words, plan_candidates(words, record_index(spark, sf).terms)).withColumnRenamed("query_id", "request_id")
+
+
+def plan_caps(spark, sf):
+    """The kept candidates of one open letter, far more than there is room for."""
+    return plan_candidates(_literal_words(spark, [("s", 0, True), ("ca", 0, True)]), record_index(spark, sf).terms).select("word", "term", "typos", "exact", "df", "rank")
+
+
+# --- search ------------------------------------------------------------------
+
+#: name -> (query, tolerance, page, size, filters); their words are also in the SQL.
+SEARCHES: dict[str, tuple[str, bool, float, float, list[list[str]] | None]] = {
+    "search_word": ("kettle ", True, 0.0, 100.0, None),
+    "search_prefix": ("sta", True, 0.0, 100.0, None),
+    "search_typo": ("windmil ", True, 0.0, 100.0, None),
+    "search_two_words": ("dusty kettle ", True, 0.0, 100.0, None),
+    "search_three_words": ("the dead baker", True, 0.0, 100.0, None),
+    "search_empty": ("", True, 0.0, 100.0, None),
+    "search_no_tokens": ("---", True, 1.0, 50.0, None),
+    "search_closed_word": ("sta ", True, 0.0, 100.0, None),
+    "search_no_typo_tolerance": ("windmil", False, 0.0, 100.0, None),
+    "search_repeated_word": ("star star ", True, 0.0, 100.0, None),
+    "search_page_two": ("dusty kettle ", True, 1.0, 40.0, None),
+    "search_page_clamped": ("windmil ", True, 1e15, 7.0, None),
+    "search_faceted": ("the", True, 0.0, 100.0, [["genre:Slapstick", "genre:Noir"], ["decade:1990s"]]),
+    "search_faceted_empty": ("", True, 0.0, 100.0, [["genre:Caper"], ["rating:8–9"]]),
+    "search_unknown_facet": ("the", True, 0.0, 100.0, [["studio:Any"]]),
+}
+
+
+def _search(name):
+    def run(spark, sf):
+        row = (0, *(SEARCHES[name][i] for i in (0, 2, 3, 1, 4)))
+        asked = batch.prepare(record_index(spark, sf), spark.createDataFrame([row], _REQUEST))
+        return asked.hits().select("hit_pos", "id", *scorer.CRITERIA)
+
+    run.__name__ = name
+    return run
+
+
+def _asked(spark, sf, name):
+    row = (0, *(SEARCHES[name][i] for i in (0, 2, 3, 1, 4)))
+    return batch.prepare(record_index(spark, sf), spark.createDataFrame([row], _REQUEST))
+
+
+def page_tie_breaks(spark, sf):
+    """The second page's hits with the criterion that parts each from the one before, across the page's border."""
+    hits = _asked(spark, sf, "search_page_two").hits(tie_break=True)
+    return hits.select("hit_pos", "id", "tie_break.criterion", "tie_break.previous", "tie_break.current")
+
+
+def proximity_pairs(spark, sf):
+    """Of every record holding both words their least distance, whatever its rank."""
+    asked = _asked(spark, sf, "search_two_words")
+    both = asked.scored.filter("words = 2").select("scope", "doc_ord")
+    return scorer.proximities(both, asked.words, asked.candidates, asked.index.postings, "scope").select("doc_ord", "proximity")
+
+
+def matched_terms(spark, sf):
+    asked = _asked(spark, sf, "search_three_words")
+    found = scorer.matched_terms(asked.hits().withColumn("scope", F.lit(asked.scopes.first()["scope"])), asked.words, asked.candidates, asked.index.postings, "scope")
+    return found.select("doc_ord", F.explode("matches").alias("m")).select("doc_ord", "m.word", "m.typos", "m.term", "m.exact")
+
+
+def facet_counts(spark, sf):
+    """Live counts under two filters, each value under the other facets' filters."""
+    return _asked(spark, sf, "search_faceted").facet_counts().select("facet", "value", "n")
+
+
+def facet_counts_wanted(spark, sf):
+    return _asked(spark, sf, "search_faceted").facet_counts(F.col("facet").isin("decade", "nothing")).select("facet", "value", "n")
+
+
+def facet_selected_zero(spark, sf):
+    """Selected values that count nothing are kept, unknown ones aren't."""
+    row = (0, "windmil ", 0.0, 20.0, True, [["genre:Puppet Film", "genre:None Such", "genre:Noir"], ["decade:2990s"]])
+    asked = batch.prepare(record_index(spark, sf), spark.createDataFrame([row], _REQUEST))
+    return asked.facet_counts().select("facet", "value", "n")
+
+
+def facet_display(spark, sf):
+    """The first eight genre values as they are shown: chosen ones first, then by count."""
+    counts = _asked(spark, sf, "search_faceted").facet_counts(F.col("facet") == "genre")
+    order = [F.col("value").isin("Slapstick", "Noir").desc(), F.desc("n"), F.asc("value")]
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(*order))).filter(F.col("place") <= facets.COLLAPSED).select("place", "value", "n")
+
+
+def _shown(spark, sf):
+    asked = _asked(spark, sf, "search_three_words")
+    hits = asked.hits().withColumn("scope", F.lit(asked.scopes.first()["scope"]))
+    found = scorer.matched_terms(hits, asked.words, asked.candidates, asked.index.postings, "scope")
+    words = F.array(*(F.lit(w) for w in ("the", "dead", "baker")))
+    page = F.broadcast(hits.select("scope", "doc_ord", "hit_pos").join(found, ["scope", "doc_ord"]).select("doc_ord", "hit_pos", "matches"))
+    return asked.index.records.join(page, "doc_ord"), words
+
+
+def highlight_title(spark, sf):
+    rows, words = _shown(spark, sf)
+    return rows.select("hit_pos", "id", highlight.highlight_column("title", "matches", words).alias("h")).select("hit_pos", "id", "h.*")
+
+
+def snippet_description(spark, sf):
+    rows, words = _shown(spark, sf)
+    return rows.select("hit_pos", "id", highlight.snippet_column("description", "matches", words, F.lit(12)).alias("s")).select("hit_pos", "id", "s.*")
+
+
+def response_json(spark, sf):
+    return as_json(_asked(spark, sf, "search_typo").hits())
+
+
+def suggest_alternatives(spark, sf):
+    """The nearest terms of every request word that no record holds."""
+    found = suggest.alternatives(unknown_words(spark, sf), record_index(spark, sf).terms)
+    return found.select("word", "term", "distance", "df", "place")
+
+
+def did_you_mean(spark, sf):
+    """Suggestions for a query without hits."""
+    from plumbline.plans.engine import SearchEngine
+
+    engine = SearchEngine(record_index(spark, sf))
+    return spark.createDataFrame([(s,) for s in engine.suggestions(["xwindmil", "zqket"])], "suggestion string")
+
+
+# --- batches of requests -------------------------------------------------------
+
+
+def batch_search_topk(spark, sf):
+    """The page of hits of every request."""
+    hits = batch.prepare(record_index(spark, sf), current_requests(spark, sf)).hits()
+    return hits.select("request_id", "hit_pos", "id", *scorer.CRITERIA)
+
+
+def batch_hit_counts(spark, sf):
+    """Of every request the number of hits and the page that is shown."""
+    pages = batch.prepare(record_index(spark, sf), current_requests(spark, sf)).pages()
+    return pages.select("request_id", "nb_hits", "nb_pages", "page", "hits_per_page")
+
+
+def request_bounds(spark, sf):
+    """Page and size of every request within their bounds."""
+    return current_requests(spark, sf).select(
+        "request_id", batch.bounded(F.col("hits_per_page"), 20, 1, 100).alias("size"), batch.bounded(F.col("page"), 0, 0, batch.FAR).alias("wanted_page")
+    )
+
+
+def request_filters(spark, sf):
+    """The facet values that every request selects."""
+    chosen = current_requests(spark, sf).select("request_id", F.explode(facets.selections(F.col("facet_filters"))).alias("facet", "values"))
+    return chosen.select("request_id", "facet", F.explode("values").alias("value"))
+
+
+def latest_wins(spark, sf):
+    return latest_requests(table(spark, sf, "search_requests")).select("channel", "request_id", "query")
+
+
+def latest_wins_stream(spark, sf):
+    """The same, over a stream of the requests' files."""
+    import uuid
+
+    schema: StructType = table(spark, sf, "search_requests").schema
+    path = f"{sf}/search_requests.parquet"
+    name = f"latest_{uuid.uuid4().hex}"
+    source = path if os.path.isdir(path) else f"{sf}/search_requests*.parquet"
+    newest = latest_requests(read_requests(spark, source, schema).select("channel", "request_id", "query"))
+    stream = newest.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def stale_requests(spark, sf):
+    """Of every request whether a later one of its channel had been sent when it arrived."""
+    return stale_answers(current_requests(spark, sf)).select("request_id", "stale")
+
+
+# --- logged hits ----------------------------------------------------------------
+
+
+def rerank_hits(spark, sf):
+    """The logged hits of every request in the order of their criteria."""
+    hits = table(spark, sf, "search_hits").withColumnRenamed("hit_pos", "doc_ord")
+    order = Window.partitionBy("request_id").orderBy(*(c for c in scorer.ranking_order()[:-1]), F.asc("id"), F.asc("doc_ord"), F.asc("logged_at"))
+    # A null proximity comes first, as nothing is known against it.
+    return hits.select("request_id", F.col("doc_ord").alias("hit_pos"), "id", F.row_number().over(order).alias("rank"))
+
+
+def hit_tie_breaks(spark, sf):
+    """Of every logged hit the criterion that parts it from the one before in its request."""
+    place = Window.partitionBy("request_id").orderBy("hit_pos", "id", "logged_at")
+    hits = table(spark, sf, "search_hits").withColumn("rank", F.row_number().over(place))
+    broken = scorer.with_tie_break(hits, "request_id")
+    return broken.select("request_id", "rank", "id", "tie_break.criterion", "tie_break.previous", "tie_break.current")
+
+
+def packed_scores(spark, sf):
+    """The criteria of every logged hit in one number."""
+    columns = {c: F.coalesce(F.col(c), F.lit(0)) for c in scorer.CRITERIA[:-1]} | {"pop_rank": F.col("hit_pos")}
+    return table(spark, sf, "search_hits").select("request_id", "hit_pos", "id", scorer.packed_score(columns).alias("score"))
+
+
+def latency_percentiles(spark, sf):
+    """Percentiles of the values by kind of event: the element at floor(p / 100 * n), the last at most."""
+    given = table(spark, sf, "events").filter(F.col("value").isNotNull()).select("event_type", "value")
+    counts = given.groupBy("event_type", "value").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    every = counts.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy("event_type")))
+    at = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n") / 100))
+    pick = lambda p: F.min(F.when(F.col("upto") > at(p), F.col("value")))
+    return every.groupBy("event_type").agg(pick(50).alias("p50"), pick(95).alias("p95"), pick(99).alias("p99"), F.max("value").alias("max"), F.max("n").alias("n"))
+
+
+_FUNCTIONS = (
+    current_records, tokens_titles, tokens_requests, token_counts_documents, token_offsets_titles, html_escape, html_unescape, postings_records,
+    term_df_records, term_df_documents, index_stats_records, index_stats_part, facet_index_records, popularity_rank, dataset_summary, decade_bucket,
+    rating_buckets, exact_term, unknown_words, prefix_terms, near_term_pairs, request_words, plan_sizes, plan_caps, page_tie_breaks, proximity_pairs,
+    matched_terms, facet_counts, facet_counts_wanted, facet_selected_zero, facet_display, highlight_title, snippet_description, response_json,
+    suggest_alternatives, did_you_mean, batch_search_topk, batch_hit_counts, request_bounds, request_filters, latest_wins, latest_wins_stream,
+    stale_requests, rerank_hits, hit_tie_breaks, packed_scores, latency_percentiles,
+)
+
+#: name -> the word that is looked up, its budget and whether it is open.
+LOOK_UPS = {
+    "fuzzy_terms_1": [("windmil", 1, False), ("ketle", 1, False), ("brige", 1, False)],
+    "fuzzy_terms_2": [("screwdrivr", 2, False), ("wendmill", 2, False)],
+    "fuzzy_prefix_terms_1": [("windm", 1, True), ("ketl", 1, True)],
+    "fuzzy_prefix_terms_2": [("screwdrv", 2, True)],
+    "prefix_terms_zero": [("sta", 0, True)],
+}
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in _FUNCTIONS} | {n: _search(n) for n in SEARCHES} | {n: _expanded(w) for n, w in LOOK_UPS.items()}

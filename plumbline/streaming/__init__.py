@@ -1 +1 @@
-
+"""Streams of requests."""
