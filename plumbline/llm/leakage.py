@@ -75,7 +75,6 @@ class Block:
     """The pieces of a block of items, by piece length."""
 
     def __init__(self, items: Iterable[tuple[int, list[str]]], window: int, budget: int):
-        self.window, self.budget = window, budget
         self.ids, cut = [], []
         for key, words in items:
             if words:
@@ -86,7 +85,8 @@ class Block:
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         self.lengths = np.minimum(sizes, window)
-        pieces = np.maximum(self.lengths // (budget + 1), 1)
+        self.budgets = np.minimum(budget, self.lengths - 1)
+        pieces = self.lengths // (self.budgets + 1)
         self.index: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         item = np.repeat(np.arange(len(sizes)), sizes)
         for size in sorted(set(pieces.tolist())):
@@ -125,7 +125,7 @@ class Block:
                 yield from self._verify(hashes, starts, ends, int(text[f]), int(item[f]), int(hit[f]), int(place[f]), run)
 
     def _verify(self, hashes, starts, ends, text, item, hit, place, run):
-        w, e = int(self.lengths[item]), self.budget
+        w, e = int(self.lengths[item]), int(self.budgets[item])
         lo, hi = int(starts[text]), int(ends[text])
         best = e + 1
         first = max(int(self.starts[item]), place + min(run, w) - w)
@@ -169,7 +169,7 @@ def leaks(
     """``(doc_key, item_key, distance, run)``: documents that hold a passage of an item with at most ``budget`` edits.
 
     A passage is ``window`` consecutive terms of the item, or the whole of a
-    shorter item; an edit inserts, deletes or replaces a term.  ``distance`` is the least
+    shorter item, of which at least one term must stand; an edit inserts, deletes or replaces a term.  ``distance`` is the least
     of all passages found, ``run`` the longest exact run of terms among their pieces.
 
     Whole texts are searched.  Null and empty texts and items, and null keys,

@@ -119,6 +119,7 @@ class Order:
     unknown: float  # what terms without an entry have at most
     sets: int
     t: float
+    postings: int = POSTINGS
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Frequency (0 for unknown terms) and class of each term."""
@@ -126,7 +127,7 @@ class Order:
         found = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
         frequency = np.where(found, self.frequency[at], 0) if len(self.hashes) else np.zeros(len(hashes), np.int64)
         share = np.clip(np.maximum(frequency, self.unknown) / max(self.sets, 1), 1e-12, 0.999)
-        needed = math.log(max(self.sets / POSTINGS, 1.0))
+        needed = math.log(max(self.sets / self.postings, 1.0))
         return frequency, np.clip(_ceil(needed / -np.log(share)), 1, 3)
 
     def schemes(self) -> list[tuple[int, float, int, int]]:
@@ -234,6 +235,7 @@ def _emit(order, buckets: int):
             if not batch.num_rows:
                 continue
             recs = batch.column(0).to_numpy()
+            base = int(recs.min())
             lists = batch.column(1)
             offsets = lists.offsets.to_numpy()
             hashes = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
@@ -248,8 +250,8 @@ def _emit(order, buckets: int):
             out: tuple[list, list] = ([], [])
             for a, b in zip(starts, np.r_[starts[1:], len(by)], strict=True):
                 held, counts = np.unique(of[a:b], return_counts=True)
-                columns = [_narrow(x) for x in (recs[held] - recs[0], sizes[held], counts)]
-                head = np.array([recs[0], len(held), b - a, *(c.itemsize for c in columns)], np.int64)
+                columns = [_narrow(x) for x in (recs[held] - base, sizes[held], counts)]
+                head = np.array([base, len(held), b - a, *(c.itemsize for c in columns)], np.int64)
                 out[0].append(int(bucket[a]))
                 out[1].append(b"".join(x.tobytes() for x in (head, *columns, sketch[held], value[a:b])))
             if out[0]:
@@ -339,7 +341,7 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     known = sets.select(F.explode("terms").alias("h")).groupBy("h").count().filter(F.col("count") >= least).toArrow()
     hashes = known.column("h").to_numpy().view(np.uint64)
     by = np.argsort(hashes)
-    order = spark.sparkContext.broadcast(Order(hashes[by], known.column("count").to_numpy()[by].astype(np.int64), least, whole["n"], t))
+    order = spark.sparkContext.broadcast(Order(hashes[by], known.column("count").to_numpy()[by].astype(np.int64), least, whole["n"], t, POSTINGS))
     buckets = max(1, round(whole["m"] * 2 / BUCKET))
     blobs = sets.select("rec", "terms").mapInArrow(_emit(order, buckets), "bucket int, blob binary")
     found = blobs.groupBy("bucket").applyInArrow(_joined(t), "a bigint, b bigint")

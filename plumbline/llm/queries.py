@@ -9,7 +9,9 @@ from plumbline.functions.text import terms
 from plumbline.functions.values import clean_values
 from plumbline.llm import burst, distinctive, leakage, lookalike, mixing, near_duplicates, ranking, topn
 from plumbline.llm.baskets import co_occurrences
+from plumbline.llm.components import grouped
 from plumbline.operators.current import latest
+from plumbline.session import materialize
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,6 +28,13 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_duplicates(rows, "id", ["title", "description"], counted=1, least_terms=12, t=0.6)
 
 
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every current record with the class of the same entry that it is in, and its number of links."""
+    rows = current(spark, sf, "title", "description")
+    pairs = near_duplicates.near_duplicates(rows, "id", ["title", "description"], counted=1, least_terms=12, t=0.6)
+    return grouped(rows, "id", materialize(pairs, "pairs"), "id_a", "id_b")
+
+
 def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows = current(spark, sf, "genres")
     return co_occurrences(rows, clean_values(F.col("genres")), min_count=5, min_share=1 / 2000)
@@ -129,7 +138,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p2_pairs, p2_found, p3_counts, p3_found, p4_ranking, p4_found, p5_top, p5_found, p6_terms, p6_found,
+        p1_found, p1_groups, p2_pairs, p2_found, p3_counts, p3_found, p4_ranking, p4_found, p5_top, p5_found, p6_terms, p6_found,
         p7_leaks, p7_found, p8_mix, p8_report, p8_found, p9_texts, p9_found,
     )
 }
