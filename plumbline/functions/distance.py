@@ -32,6 +32,8 @@ def osa_pairs(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def _osa_chunk(left: list[str], right: list[str]) -> np.ndarray:
+    if not left:
+        return np.zeros(0, np.int32)
     rows, cols = np.array([len(w) for w in left]), np.array([len(w) for w in right])
     m, n = int(rows.max()), int(cols.max())
     a, b = _codes(left, m, -1), _codes(right, n, -2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,7 +53,7 @@ class IndexConfig:
     popularity: str = "popularity"
 
 
-@dataclass(frozen=True)
+@dataclass
 class Index:
     """``docs(doc_ord, id, popularity, facets map, pop_rank)``, ``terms(term, df, n_chars)``,
     ``postings(term, doc_ord, attr, positions)``, ``records`` as given."""
@@ -67,6 +68,11 @@ class Index:
     def spark(self) -> SparkSession:
         return self.docs.sparkSession
 
+    @cached_property
+    def size(self) -> int:
+        """The number of documents."""
+        return self.docs.count()
+
     def facet_values(self) -> DataFrame:
         """``(doc_ord, facet, value)``, each value once per document."""
         return self.docs.select("doc_ord", F.explode("facets").alias("facet", "values")).select("doc_ord", "facet", F.explode("values").alias("value"))
@@ -150,6 +156,10 @@ def build_index(records: DataFrame, config: IndexConfig | None = None) -> Index:
     ranks after all others.  An empty table gives an empty index.
     """
     config = config or IndexConfig()
+    workers = records.sparkSession.sparkContext.defaultParallelism
+    if len(records.inputFiles()) < workers:
+        # A few files make few tasks, and all that follows multiplies their rows.
+        records = records.repartition(workers, config.ordinal)
     docs = records.select(
         F.col(config.ordinal).cast("bigint").alias("doc_ord"), F.col(config.key).alias("id"),
         F.col(config.popularity).cast("bigint").alias("popularity"), facet_map(config.facets()).alias("facets"),

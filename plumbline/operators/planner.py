@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.distance import deletions, osa_column
+from plumbline.functions.distance import deletions, osa_column, osa_pairs
 from plumbline.functions.text import terms
 
 MAX_WORDS = 16
@@ -96,6 +97,49 @@ def expand_words(words: DataFrame, terms_: DataFrame) -> DataFrame:
     return every.groupBy(*WORD, "term").agg(F.min("typos").alias("typos"), F.max("exact").alias("exact"), F.first("df").alias("df"))
 
 
+def scan_words(words: list[tuple[str, int, bool]], terms_: DataFrame) -> DataFrame:
+    """``expand_words`` for a few words: one pass over the dictionary, whose terms are compared with each word.
+
+    For a single query this is quicker than the neighbourhoods, which pay off over many words.
+    """
+    asked = list(dict.fromkeys(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, sizes = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            lengths = np.array([len(t) for t in found])
+            for word, k, is_open in asked:
+                best = np.full(len(found), k + 1)
+                near = np.flatnonzero((lengths >= len(word) - k) & (lengths <= len(word) + k))
+                whole = np.full(len(found), k + 1)
+                if k:
+                    whole[near] = osa_pairs([word] * len(near), [found[i] for i in near])
+                else:
+                    whole[[i for i in near if found[i] == word]] = 0
+                if is_open:
+                    best[[i for i, t in enumerate(found) if t.startswith(word)]] = 0
+                    begun: dict[str, list[int]] = {}
+                    for i in np.flatnonzero((lengths >= len(word) - k) & (best > 0)) if k else ():
+                        for n in range(max(len(word) - k, 1), min(len(word) + k, lengths[i]) + 1):
+                            begun.setdefault(found[i][:n], []).append(i)
+                    distances = osa_pairs([word] * len(begun), list(begun)).tolist()
+                    for of, d in zip(begun.values(), distances, strict=True):
+                        if d <= k:
+                            best[of] = np.minimum(best[of], d)
+                else:
+                    best = whole
+                at = np.flatnonzero(best <= k)
+                exact = (whole[at] <= k) if is_open else np.ones(len(at), bool)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([word] * len(at), pa.string()), pa.array([k] * len(at), pa.int32()), pa.array([is_open] * len(at), pa.bool_()),
+                     pa.array([found[i] for i in at], pa.string()), pa.array(best[at].astype(np.int32)), pa.array(exact), pa.array(sizes[at])],
+                    names=[*WORD, "term", "typos", "exact", "df"],
+                )
+
+    kind = "word string, max_typos int, prefix boolean, term string, typos int, exact boolean, df bigint"
+    return terms_.select("term", "df").mapInArrow(run, kind)
+
+
 def cap_candidates(candidates: DataFrame, zero_typo: int = MAX_ZERO_TYPO, typo: int = MAX_TYPO) -> DataFrame:
     """The first of each tier: fewer typos, exact, frequent, then by term."""
     tier = Window.partitionBy(*WORD, F.col("typos") == 0).orderBy("typos", F.desc("exact"), F.desc("df"), "term")

@@ -108,15 +108,18 @@ def contenders(scored: DataFrame, asked: DataFrame, key: str) -> DataFrame:
 
 
 def ranked_documents(
-    scored: DataFrame, asked: DataFrame, words: DataFrame, candidates: DataFrame, postings: DataFrame, docs: DataFrame, key: str
+    scored: DataFrame, asked: DataFrame, words: DataFrame, candidates: DataFrame, postings: DataFrame, docs: DataFrame, key: str, deepest: int
 ) -> DataFrame:
-    """``(key, doc_ord, id, rank, criteria...)``: of each query the first ``asked(key, k)`` documents, rank from 1."""
+    """``(key, doc_ord, id, rank, criteria...)``: of each query the first ``asked(key, k)`` documents, rank from 1.
+
+    ``deepest`` is the greatest k; as a constant it lets every task drop rows before the shuffle.
+    """
     near = contenders(scored, asked, key)
     near_words = proximities(near.filter("words > 1").select(key, "doc_ord"), words, candidates, postings, key)
     full = near.join(near_words, [key, "doc_ord"], "left").withColumn("proximity", F.coalesce("proximity", F.lit(0)))
     full = full.join(docs.select("doc_ord", "id", "popularity"), "doc_ord")
     ranked = full.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*ranking_order())))
-    return ranked.filter(F.col("rank") <= F.col("k")).select(key, "doc_ord", "id", "rank", *CRITERIA)
+    return ranked.filter((F.col("rank") <= deepest) & (F.col("rank") <= F.col("k"))).select(key, "doc_ord", "id", "rank", *CRITERIA)
 
 
 def with_tie_break(ranked: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import facets, scorer
 from plumbline.operators.index import Index
-from plumbline.operators.planner import plan_candidates, query_words
+from plumbline.operators.planner import cap_candidates, plan_candidates, plan_words, query_words, scan_words
+from plumbline.plans.params import bounded_integer
 from plumbline.session import materialize
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
 DEFAULT_SIZE, LARGEST_SIZE = 20, 100
 #: No page is asked beyond this one; it is clamped to the last page anyway.
 FAR = 1 << 52
@@ -38,13 +42,13 @@ class Batch:
     words: DataFrame
     candidates: DataFrame
     scored: DataFrame
-    total: int
+    keep: Keep = materialize
 
     def hit_counts(self) -> DataFrame:
         """``(scope, nb_hits)`` of every scope."""
         counted = self.scored.groupBy("scope").agg(F.count("*").alias("n"))
         every = self.scopes.select("scope", "everything").join(counted, "scope", "left")
-        return every.select("scope", F.when(F.col("everything"), F.lit(self.total)).otherwise(F.coalesce("n", F.lit(0))).cast("bigint").alias("nb_hits"))
+        return every.select("scope", F.when(F.col("everything"), F.lit(self.index.size)).otherwise(F.coalesce("n", F.lit(0))).cast("bigint").alias("nb_hits"))
 
     def pages(self) -> DataFrame:
         """``(request_id, scope, hits_per_page, nb_hits, nb_pages, page)`` with the clamped page."""
@@ -57,11 +61,12 @@ class Batch:
 
     def ranked(self, asked: DataFrame) -> DataFrame:
         """The first ``asked(scope, k)`` documents of scopes that have words or filters."""
-        return scorer.ranked_documents(self.scored, asked, self.words, self.candidates, self.index.postings, self.index.docs, "scope")
+        deepest = asked.agg(F.coalesce(F.max("k"), F.lit(0)).alias("k")).first()["k"]
+        return scorer.ranked_documents(self.scored, asked, self.words, self.candidates, self.index.postings, self.index.docs, "scope", deepest)
 
     def hits(self, tie_break: bool = False) -> DataFrame:
         """``(request_id, hit_pos, doc_ord, id, criteria...)`` of every request's page, ``hit_pos`` from 0."""
-        pages = materialize(self.pages(), "pages")
+        pages = self.keep(self.pages(), "pages")
         first = F.col("page") * F.col("hits_per_page")
         asked = pages.groupBy("scope").agg(F.max(first + F.col("hits_per_page")).alias("k"))
         ranked = self.ranked(asked)
@@ -125,19 +130,49 @@ def prepare(index: Index, requests: DataFrame) -> Batch:
     scopes = scopes.join(sizes, "plan", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0)))
     scopes = materialize(scopes.withColumn("everything", (F.col("n_words") == 0) & (F.size("selected") == 0)), "scopes")
 
+    by_scope = words.withColumnRenamed("query_id", "plan").join(scopes.select("plan", "scope"), "plan")
+    scored = materialize(score(index, scopes, by_scope, candidates), "scored")
+    return Batch(index, asked, scopes, by_scope, candidates, scored)
+
+
+def score(index: Index, scopes: DataFrame, words: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(scope, doc_ord, words, typos, exactness, attribute)`` of the documents that match and pass the filters.
+
+    Scopes without words match every document, and appear only if they have filters.
+    """
     matches = scorer.word_matches(candidates, index.postings)
-    by_plan = scorer.scored_documents(words, matches, "query_id").withColumnRenamed("query_id", "plan")
-    filled = by_plan.join(scopes.select("plan", "scope", "selected"), "plan")
-    passing = docs_passing(index, scopes.filter(F.size("selected") > 0).select("scope", "selected"))
-    scored = filled.filter(F.size("selected") == 0).drop("plan", "selected").unionByName(
-        filled.filter(F.size("selected") > 0).drop("plan", "selected").join(passing, ["scope", "doc_ord"], "left_semi")
-    )
+    filtering = scopes.filter(F.size("selected") > 0).select("scope", "selected")
+    if filtering.isEmpty():
+        return scorer.scored_documents(words, matches, "scope")
+    plain = scorer.scored_documents(words.join(filtering, "scope", "left_anti"), matches, "scope")
+    passing = docs_passing(index, filtering)
+    chosen = scorer.scored_documents(words.join(filtering, "scope", "left_semi"), matches, "scope").join(passing, ["scope", "doc_ord"], "left_semi")
     bare = passing.join(scopes.filter("n_words = 0").select("scope"), "scope")
     for name in ("words", "typos", "exactness", "attribute"):
         bare = bare.withColumn(name, F.lit(0))
-    scored = materialize(scored.unionByName(bare), "scored")
-    by_scope = words.withColumnRenamed("query_id", "plan").join(scopes.select("plan", "scope"), "plan")
-    return Batch(index, asked, scopes, by_scope, candidates, scored, index.docs.count())
+    return plain.unionByName(chosen).unionByName(bare)
+
+
+def _persisted(df: DataFrame, name: str) -> DataFrame:
+    """For one request: its rows are few and used at once; a lost block is computed again."""
+    return df.persist()
+
+
+def prepare_one(index: Index, query: str, typo_tolerance: bool, page: object, hits_per_page: object, filters: list[list[str]] | None) -> Batch:
+    """``prepare`` for one request: its words and candidates, which are bounded, are planned on the driver."""
+    spark = index.spark
+    planned = plan_words(query, typo_tolerance)
+    selected = {f: sorted(set(v)) for f, v in facets.parse_filters(filters).items()}
+    row = (0, 0, bounded_integer(hits_per_page, DEFAULT_SIZE, 1, LARGEST_SIZE), bounded_integer(page, 0, 0, FAR))
+    requests = spark.createDataFrame([row], "request_id bigint, scope bigint, hits_per_page bigint, page bigint")
+    scope = (0, selected, len(planned), not planned and not selected)
+    scopes = spark.createDataFrame([scope], "scope bigint, selected map<string, array<string>>, n_words int, everything boolean")
+    words = spark.createDataFrame([(0, i, len(planned), *w) for i, w in enumerate(planned)], "scope bigint, word_idx int, n_words int, word string, max_typos int, prefix boolean")
+    kind = "word string, max_typos int, prefix boolean, term string, typos int, exact boolean, df bigint, rank int"
+    kept = cap_candidates(scan_words(planned, index.terms)).collect() if planned else []
+    candidates = spark.createDataFrame([tuple(r) for r in kept], kind)
+    scored = score(index, scopes, words, candidates).persist()
+    return Batch(index, requests, scopes, words, candidates, scored, _persisted)
 
 
 def docs_passing(index: Index, chosen: DataFrame) -> DataFrame:
@@ -158,5 +193,5 @@ def count_hits(index: Index, queries: DataFrame) -> DataFrame:
     found = scorer.with_word_key(words).select("query_id", "wk").join(matches.select("wk", "doc_ord"), "wk")
     counts = found.groupBy("query_id").agg(F.count_distinct("doc_ord").alias("n"))
     sized = queries.select("query_id").join(words.select("query_id", F.lit(True).alias("worded")).distinct(), "query_id", "left").join(counts, "query_id", "left")
-    every = F.lit(index.docs.count())
+    every = F.lit(index.size)
     return sized.select("query_id", F.when(F.col("worded"), F.coalesce("n", F.lit(0))).otherwise(every).cast("bigint").alias("n"))

@@ -256,17 +256,15 @@ SEARCHES: dict[str, tuple[str, bool, float, float, list[list[str]] | None]] = {
 
 def _search(name):
     def run(spark, sf):
-        row = (0, *(SEARCHES[name][i] for i in (0, 2, 3, 1, 4)))
-        asked = batch.prepare(record_index(spark, sf), spark.createDataFrame([row], _REQUEST))
-        return asked.hits().select("hit_pos", "id", *scorer.CRITERIA)
+        return _asked(spark, sf, name).hits().select("hit_pos", "id", *scorer.CRITERIA)
 
     run.__name__ = name
     return run
 
 
 def _asked(spark, sf, name):
-    row = (0, *(SEARCHES[name][i] for i in (0, 2, 3, 1, 4)))
-    return batch.prepare(record_index(spark, sf), spark.createDataFrame([row], _REQUEST))
+    query, tolerance, page, size, filters = SEARCHES[name]
+    return batch.prepare_one(record_index(spark, sf), query, tolerance, page, size, filters)
 
 
 def page_tie_breaks(spark, sf):
