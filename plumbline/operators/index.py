@@ -73,6 +73,11 @@ class Index:
         """The number of documents."""
         return self.docs.count()
 
+    @cached_property
+    def vocabulary(self) -> int:
+        """The number of terms."""
+        return self.terms.count()
+
     def facet_values(self) -> DataFrame:
         """``(doc_ord, facet, value)``, each value once per document."""
         return self.docs.select("doc_ord", F.explode("facets").alias("facet", "values")).select("doc_ord", "facet", F.explode("values").alias("value"))

@@ -293,5 +293,6 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY typos,
 SELECT request_id, (rank - page * hits_per_page)::INT AS hit_pos, id, typos::INT AS typos, words::INT AS words, coalesce(proximity, 0)::INT AS proximity, attribute::INT AS attribute,
   exactness::INT AS exactness, popularity FROM ranked JOIN paged USING (request_id) WHERE rank >= page * hits_per_page AND rank < (page + 1) * hits_per_page""",
 }
+SQL["batch_search_relational"] = SQL["batch_search_topk"]
 SQL["latest_wins_stream"] = SQL["latest_wins"]
 SQL |= {name: search(name) for name in SEARCHES} | {name: _expanded(name) for name in LOOK_UPS}

@@ -20,13 +20,15 @@ from plumbline.operators.current import latest
 from plumbline.operators.index import Index, build_index, decade, index_stats, invert, rating_bucket, term_table
 from plumbline.operators.index import IndexConfig
 from plumbline.operators.planner import WORD, describe_plan, expand_words, near_strings, plan_candidates, prefixes_of, query_words
-from plumbline.plans import batch
+from plumbline.operators.shards import build_shards
+from plumbline.plans import batch, scatter
 from plumbline.session import materialize, shared_dir
 from plumbline.sources.io import as_json, summary
 from plumbline.streaming.requests import latest_requests, read_requests, stale_answers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _indexes: dict[tuple[str, str], Index] = {}
+_shards: dict[tuple[str, str], DataFrame] = {}
 _REQUEST = "request_id bigint, query string, page double, hits_per_page double, typo_tolerance boolean, facet_filters array<array<string>>"
 
 
@@ -349,8 +351,20 @@ def did_you_mean(spark, sf):
 # --- batches of requests -------------------------------------------------------
 
 
+def record_shards(spark: SparkSession, sf: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _shards:
+        _shards[key] = build_shards(record_index(spark, sf))
+    return _shards[key]
+
+
 def batch_search_topk(spark, sf):
-    """The page of hits of every request."""
+    """The page of hits of every request, by shards."""
+    return scatter.search(record_index(spark, sf), record_shards(spark, sf), current_requests(spark, sf))
+
+
+def batch_search_relational(spark, sf):
+    """The same by joins and aggregations."""
     hits = batch.prepare(record_index(spark, sf), current_requests(spark, sf)).hits()
     return hits.select("request_id", "hit_pos", "id", *scorer.CRITERIA)
 
@@ -438,7 +452,7 @@ _FUNCTIONS = (
     term_df_records, term_df_documents, index_stats_records, index_stats_part, facet_index_records, popularity_rank, dataset_summary, decade_bucket,
     rating_buckets, exact_term, unknown_words, prefix_terms, near_term_pairs, request_words, plan_sizes, plan_caps, page_tie_breaks, proximity_pairs,
     matched_terms, facet_counts, facet_counts_wanted, facet_selected_zero, facet_display, highlight_title, snippet_description, response_json,
-    suggest_alternatives, did_you_mean, batch_search_topk, batch_hit_counts, request_bounds, request_filters, latest_wins, latest_wins_stream,
+    suggest_alternatives, did_you_mean, batch_search_topk, batch_search_relational, batch_hit_counts, request_bounds, request_filters, latest_wins, latest_wins_stream,
     stale_requests, rerank_hits, hit_tie_breaks, packed_scores, latency_percentiles,
 )
 
