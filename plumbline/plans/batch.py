@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +14,6 @@ from plumbline.operators.planner import cap_candidates, plan_candidates, plan_wo
 from plumbline.plans.params import bounded_integer
 from plumbline.session import materialize
 
-Keep = Callable[[DataFrame, str], DataFrame]
-
 DEFAULT_SIZE, LARGEST_SIZE = 20, 100
 #: No page is asked beyond this one; it is clamped to the last page anyway.
 FAR = 1 << 52
@@ -42,7 +40,8 @@ class Batch:
     words: DataFrame
     candidates: DataFrame
     scored: DataFrame
-    keep: Keep = materialize
+    #: Of a single request its page, which the driver has worked out already.
+    place: dict | None = None
 
     def hit_counts(self) -> DataFrame:
         """``(scope, nb_hits)`` of every scope."""
@@ -52,6 +51,9 @@ class Batch:
 
     def pages(self) -> DataFrame:
         """``(request_id, scope, hits_per_page, nb_hits, nb_pages, page)`` with the clamped page."""
+        if self.place:
+            kind = "request_id bigint, scope bigint, hits_per_page bigint, nb_hits bigint, nb_pages bigint, page bigint"
+            return self.index.spark.createDataFrame([tuple(self.place[c.split()[0]] for c in kind.split(", "))], kind)
         counted = self.requests.join(self.hit_counts(), "scope")
         last = F.ceil(F.col("nb_hits") / F.col("hits_per_page"))
         counted = counted.withColumn("nb_pages", last.cast("bigint"))
@@ -61,12 +63,15 @@ class Batch:
 
     def ranked(self, asked: DataFrame) -> DataFrame:
         """The first ``asked(scope, k)`` documents of scopes that have words or filters."""
-        deepest = asked.agg(F.coalesce(F.max("k"), F.lit(0)).alias("k")).first()["k"]
+        if self.place:
+            deepest = (self.place["page"] + 1) * self.place["hits_per_page"]
+        else:
+            deepest = asked.agg(F.coalesce(F.max("k"), F.lit(0)).alias("k")).first()["k"]
         return scorer.ranked_documents(self.scored, asked, self.words, self.candidates, self.index.postings, self.index.docs, "scope", deepest)
 
     def hits(self, tie_break: bool = False) -> DataFrame:
         """``(request_id, hit_pos, doc_ord, id, criteria...)`` of every request's page, ``hit_pos`` from 0."""
-        pages = self.keep(self.pages(), "pages")
+        pages = self.pages() if self.place else materialize(self.pages(), "pages")
         first = F.col("page") * F.col("hits_per_page")
         asked = pages.groupBy("scope").agg(F.max(first + F.col("hits_per_page")).alias("k"))
         ranked = self.ranked(asked)
@@ -100,6 +105,8 @@ class Batch:
 
     def text_matches(self) -> DataFrame:
         """``(scope, doc_ord)`` without the filters; for scopes without words all documents."""
+        if self.place and self.place["plain"]:
+            return self.scored.select("scope", "doc_ord")
         matches = scorer.word_matches(self.candidates, self.index.postings)
         worded = scorer.scored_documents(self.words, matches, "scope").select("scope", "doc_ord")
         rest = self.scopes.filter("n_words = 0").select("scope")
@@ -135,14 +142,14 @@ def prepare(index: Index, requests: DataFrame) -> Batch:
     return Batch(index, asked, scopes, by_scope, candidates, scored)
 
 
-def score(index: Index, scopes: DataFrame, words: DataFrame, candidates: DataFrame) -> DataFrame:
+def score(index: Index, scopes: DataFrame, words: DataFrame, candidates: DataFrame, any_filters: bool | None = None) -> DataFrame:
     """``(scope, doc_ord, words, typos, exactness, attribute)`` of the documents that match and pass the filters.
 
-    Scopes without words match every document, and appear only if they have filters.
+    ``any_filters`` tells whether a scope has filters, if that is known.  Scopes without words match every document, and appear only if they have filters.
     """
     matches = scorer.word_matches(candidates, index.postings)
     filtering = scopes.filter(F.size("selected") > 0).select("scope", "selected")
-    if filtering.isEmpty():
+    if any_filters is False or any_filters is None and filtering.isEmpty():
         return scorer.scored_documents(words, matches, "scope")
     plain = scorer.scored_documents(words.join(filtering, "scope", "left_anti"), matches, "scope")
     passing = docs_passing(index, filtering)
@@ -153,26 +160,28 @@ def score(index: Index, scopes: DataFrame, words: DataFrame, candidates: DataFra
     return plain.unionByName(chosen).unionByName(bare)
 
 
-def _persisted(df: DataFrame, name: str) -> DataFrame:
-    """For one request: its rows are few and used at once; a lost block is computed again."""
-    return df.persist()
-
-
 def prepare_one(index: Index, query: str, typo_tolerance: bool, page: object, hits_per_page: object, filters: list[list[str]] | None) -> Batch:
     """``prepare`` for one request: its words and candidates, which are bounded, are planned on the driver."""
     spark = index.spark
     planned = plan_words(query, typo_tolerance)
     selected = {f: sorted(set(v)) for f, v in facets.parse_filters(filters).items()}
-    row = (0, 0, bounded_integer(hits_per_page, DEFAULT_SIZE, 1, LARGEST_SIZE), bounded_integer(page, 0, 0, FAR))
-    requests = spark.createDataFrame([row], "request_id bigint, scope bigint, hits_per_page bigint, page bigint")
-    scope = (0, selected, len(planned), not planned and not selected)
+    size, page = bounded_integer(hits_per_page, DEFAULT_SIZE, 1, LARGEST_SIZE), bounded_integer(page, 0, 0, FAR)
+    requests = spark.createDataFrame([(0, 0, size, page)], "request_id bigint, scope bigint, hits_per_page bigint, page bigint")
+    everything = not planned and not selected
+    scope = (0, selected, len(planned), everything)
     scopes = spark.createDataFrame([scope], "scope bigint, selected map<string, array<string>>, n_words int, everything boolean")
     words = spark.createDataFrame([(0, i, len(planned), *w) for i, w in enumerate(planned)], "scope bigint, word_idx int, n_words int, word string, max_typos int, prefix boolean")
     kind = "word string, max_typos int, prefix boolean, term string, typos int, exact boolean, df bigint, rank int"
     kept = cap_candidates(scan_words(planned, index.terms)).collect() if planned else []
     candidates = spark.createDataFrame([tuple(r) for r in kept], kind)
-    scored = score(index, scopes, words, candidates).persist()
-    return Batch(index, requests, scopes, words, candidates, scored, _persisted)
+    # The rows of one request are used at once; a lost block is computed again.
+    scored = score(index, scopes, words, candidates, bool(selected)).persist()
+    hits = index.size if everything else scored.count()
+    pages = -(-hits // size)
+    place = {"request_id": 0, "scope": 0, "hits_per_page": size, "nb_hits": hits, "nb_pages": pages, "page": min(page, max(pages - 1, 0)), "plain": bool(planned) and not selected}
+    counts = Counter((r["word"], r["max_typos"], r["prefix"]) for r in kept)
+    place["plan"] = [{"word": w[0], "maxTypos": w[1], "prefix": w[2], "candidates": counts[w]} for w in planned]
+    return Batch(index, requests, scopes, words, candidates, scored, place)
 
 
 def docs_passing(index: Index, chosen: DataFrame) -> DataFrame:
