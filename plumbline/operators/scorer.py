@@ -133,6 +133,15 @@ def with_tie_break(ranked: DataFrame, key: str) -> DataFrame:
     return ranked.withColumn("tie_break", F.when(F.lag("rank").over(order).isNotNull(), chain))
 
 
+def tie_break(before, this) -> dict | None:
+    """``with_tie_break`` for two rows on the driver."""
+    for name in CRITERIA:
+        if before[name] != this[name]:
+            number = lambda v: None if v is None else float(v)
+            return {"criterion": name, "previous": number(before[name]), "current": number(this[name])}
+    return None
+
+
 def matched_terms(hits: DataFrame, words: DataFrame, candidates: DataFrame, postings: DataFrame, key: str) -> DataFrame:
     """``(key, doc_ord, matches)`` of ``hits(key, doc_ord)``: the distinct (word, typos, term, exact) that matched, in that order."""
     needed = hits.select(key, "doc_ord").join(with_word_key(words).select(key, "word_idx", "word", "wk"), key)

@@ -344,7 +344,7 @@ def did_you_mean(spark, sf):
     """Suggestions for a query without hits."""
     from plumbline.plans.engine import SearchEngine
 
-    engine = SearchEngine(record_index(spark, sf))
+    engine = SearchEngine(record_index(spark, sf), parts=record_shards(spark, sf))
     return spark.createDataFrame([(s,) for s in engine.suggestions(["xwindmil", "zqket"])], "suggestion string")
 
 
