@@ -142,9 +142,9 @@ def distinctive_terms(
     with ``n >= min_count`` and ``records <= max_records`` come out, of these
     the ``top`` heaviest of each record (ties by term) if that is given.
 
-    The background covers all rows.  Of terms that make up at least one in
-    ``dictionary`` of all occurrences, at most so many, it is broadcast; of the
-    others, if there are any, it is joined.  Such terms are in few records each.
+    The background covers all rows.  It is broadcast if there are at most ``dictionary``
+    different terms; else only for terms that make up at least one in ``dictionary``
+    of all occurrences, again at most so many, and joined for the others, which are in few records each.
 
     Null or empty texts have no terms, and records without terms no rows; rows
     with a null key are left out; repeated rows count as records of their own,
@@ -153,7 +153,7 @@ def distinctive_terms(
     cells = rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.array(*texts).alias("cells"))
     counts = materialize(count_values(cells, {"cells": _cut}).drop("field"), "background")
     sums = counts.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("n"), F.count("*").alias("m")).first()
-    often = F.col("occurrences") * dictionary >= sums["n"]
+    often = F.lit(True) if sums["m"] <= dictionary else F.col("occurrences") * dictionary >= sums["n"]
     frequent = counts.filter(often).toArrow()
     words, occurrences, records = (frequent.column(c) for c in ("value", "occurrences", "records"))
     known = rows.sparkSession.sparkContext.broadcast(
