@@ -258,7 +258,9 @@ SEARCHES: dict[str, tuple[str, bool, float, float, list[list[str]] | None]] = {
 
 def _search(name):
     def run(spark, sf):
-        return _asked(spark, sf, name).hits().select("hit_pos", "id", *scorer.CRITERIA)
+        query, tolerance, page, size, filters = SEARCHES[name]
+        asked = spark.createDataFrame([(0, query, page, size, tolerance, filters)], _REQUEST)
+        return scatter.search(record_index(spark, sf), record_shards(spark, sf), asked).drop("request_id")
 
     run.__name__ = name
     return run
