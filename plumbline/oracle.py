@@ -197,6 +197,8 @@ SQL: dict[str, str] = {
     "index_stats_records": "WITH " + _stats(f"{CUR}, {TOK}", FACETS),
     "index_stats_part": "WITH " + _stats(f"{_PART}, {TOK}", FACETS),
     "facet_index_records": f"WITH {CUR}, {FACETS} SELECT facet, value, count(*) AS n FROM fv GROUP BY ALL",
+    "facet_intersections": f"""WITH {CUR}, {FACETS} SELECT a.value AS genre, b.value AS decade, count(*) AS n FROM fv a JOIN fv b USING (doc_ord)
+  WHERE a.facet = 'genre' AND b.facet = 'decade' GROUP BY ALL""",
     "popularity_rank": f"WITH {CUR} SELECT id, row_number() OVER (ORDER BY popularity DESC NULLS LAST, doc_ord) - 1 AS pop_rank FROM cur",
     "dataset_summary": f"""WITH {CUR} SELECT count(*) AS records, min(year) AS first_year, max(year) AS last_year,
   (SELECT count(DISTINCT g) FROM (SELECT unnest(genres) AS g FROM cur)) AS genres FROM cur""",

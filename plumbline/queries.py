@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from plumbline.functions import text
 from plumbline.functions.distance import osa_column
-from plumbline.operators import facets, highlight, scorer, suggest
+from plumbline.operators import docsets, facets, highlight, scorer, suggest
 from plumbline.operators.current import latest
 from plumbline.operators.index import Index, build_index, decade, index_stats, invert, rating_bucket, term_table
 from plumbline.operators.index import IndexConfig
@@ -159,6 +159,13 @@ def facet_index_records(spark, sf):
     return record_index(spark, sf).facet_values().groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
+def facet_intersections(spark, sf):
+    """How many records have a genre and are of a decade, by bitmaps."""
+    values = record_index(spark, sf).facet_values()
+    pick = lambda name: docsets.pack(values.filter(F.col("facet") == name).withColumnRenamed("value", name), name)
+    return docsets.common_counts(pick("genre"), pick("decade"), "genre", "decade")
+
+
 def popularity_rank(spark, sf):
     return record_index(spark, sf).docs.select("id", "pop_rank")
 
@@ -451,7 +458,7 @@ def latency_percentiles(spark, sf):
 
 _FUNCTIONS = (
     current_records, tokens_titles, tokens_requests, token_counts_documents, token_offsets_titles, html_escape, html_unescape, postings_records,
-    term_df_records, term_df_documents, index_stats_records, index_stats_part, facet_index_records, popularity_rank, dataset_summary, decade_bucket,
+    term_df_records, term_df_documents, index_stats_records, index_stats_part, facet_index_records, facet_intersections, popularity_rank, dataset_summary, decade_bucket,
     rating_buckets, exact_term, unknown_words, prefix_terms, near_term_pairs, request_words, plan_sizes, plan_caps, page_tie_breaks, proximity_pairs,
     matched_terms, facet_counts, facet_counts_wanted, facet_selected_zero, facet_display, highlight_title, snippet_description, response_json,
     suggest_alternatives, did_you_mean, batch_search_topk, batch_search_relational, batch_hit_counts, request_bounds, request_filters, latest_wins, latest_wins_stream,
