@@ -305,11 +305,15 @@ def _joined(t: float):
         of = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
         flag = (packed >> np.uint64(32)) & np.uint64(1) == 1
         kept = []
+        small = _narrow(sizes)  # stays in the cache
         for i, j in pairs(of, place):
-            x, y = of[i], of[j]
-            sx, sy = sizes[x], sizes[y]
-            good = ((flag[i] & (sx <= sy)) | (flag[j] & (sy <= sx))) & (np.minimum(sx, sy) >= t * np.maximum(sx, sy) - 1e-9) & (x != y)
-            x, y, limit = x[good], y[good], most * (sx + sy)[good] + 1e-9
+            fi, fj = flag[i], flag[j]
+            either = np.flatnonzero(fi | fj)
+            x, y, fi, fj = of[i[either]], of[j[either]], fi[either], fj[either]
+            sx, sy = small[x], small[y]
+            good = ((fi & (sx <= sy)) | (fj & (sy <= sx))) & (np.minimum(sx, sy) >= t * np.maximum(sx, sy) - 1e-9) & (x != y)
+            x, y = x[good], y[good]
+            limit = most * (sizes[x] + sizes[y]) + 1e-9
             apart = np.bitwise_count(sketch[x, 0] ^ sketch[y, 0])
             near = apart <= limit
             x, y, limit, apart = x[near], y[near], limit[near], apart[near]
