@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import terms
+from plumbline.llm.components import components
 from plumbline.operators.current import SLOTS, split_repeated
 from plumbline.session import materialize
 
@@ -363,6 +364,32 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     )
 
 
+@dataclass
+class Classes:
+    """Rows with equal term sets, and the links between such classes; rows alone in their class are no members."""
+
+    members: DataFrame  # rec, head, id, n: the rows of classes of n > 1 rows, with the class's smallest key
+    linked: DataFrame  # a, b, ida, idb, similarity, na, nb: linked classes by their heads, with their numbers of rows
+
+
+def classes(rows: DataFrame, key: str, texts: list[str], counted: int, least_terms: int, t: float) -> Classes:
+    named = [F.col(key).cast("string").alias("id"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(texts))]
+    sets = rows.filter(F.col(key).isNotNull()).select(*named).mapInArrow(
+        _analyse(counted, max(least_terms, 1)), "id string, rec bigint, h1 bigint, h2 bigint, terms array<bigint>"
+    )
+    sets = materialize(sets, "sets")
+    once, maybe = split_repeated(sets, ["h1", "h2"])
+    firsts = maybe.groupBy("h1", "h2").agg(F.min(F.struct("id", "rec", "terms")).alias("r"), F.count("*").alias("n"))
+    firsts = materialize(firsts, "classes")
+    single = materialize(once.select("id", "rec", "terms").unionByName(firsts.select("r.*")), "representatives")
+    links = similar_sets(single, t)
+    many = firsts.filter("n > 1").select("h1", "h2", F.col("r.id").alias("head"), F.col("r.rec").alias("rec"), "n")
+    members = materialize(maybe.select("h1", "h2", "id").join(many, ["h1", "h2"]).select("rec", "head", "id", "n"), "members")
+    size = lambda rec, n: many.select(F.col("rec").alias(rec), F.col("n").alias(n))
+    sized = links.join(size("a", "na"), "a", "left").join(size("b", "nb"), "b", "left").fillna(1, ["na", "nb"])
+    return Classes(members, materialize(sized, "linked"))
+
+
 def near_duplicates(
     rows: DataFrame, key: str, texts: list[str], counted: int = 1, least_terms: int = 12, t: float = 0.6, expand: int = 16
 ) -> DataFrame:
@@ -377,19 +404,8 @@ def near_duplicates(
     with the smallest key there, so that no link between different texts is lost.
     An empty table gives no rows; extra columns don't matter.
     """
-    named = [F.col(key).cast("string").alias("id"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(texts))]
-    sets = rows.filter(F.col(key).isNotNull()).select(*named).mapInArrow(
-        _analyse(counted, max(least_terms, 1)), "id string, rec bigint, h1 bigint, h2 bigint, terms array<bigint>"
-    )
-    sets = materialize(sets, "sets")
-    once, maybe = split_repeated(sets, ["h1", "h2"])
-    firsts = maybe.groupBy("h1", "h2").agg(F.min(F.struct("id", "rec", "terms")).alias("r"), F.count("*").alias("n"))
-    firsts = materialize(firsts, "classes")
-    single = materialize(once.select("id", "rec", "terms").unionByName(firsts.select("r.*")), "representatives")
-    links = similar_sets(single, t)
-    many = firsts.filter("n > 1").select("h1", "h2", F.col("r.id").alias("head"), F.col("r.rec").alias("rec"), "n")
-    members = materialize(maybe.select("h1", "h2", "id").join(many, ["h1", "h2"]).select("rec", "head", "id", "n"), "members")
-    linked = materialize(links, "linked")
+    found = classes(rows, key, texts, counted, least_terms, t)
+    members, linked = found.members, found.linked
     small, large = members.filter(F.col("n") <= expand), members.filter(F.col("n") > expand)
     side = lambda df, rec, name: df.select(F.col("rec").alias(rec), F.col("id").alias(name))
     spread = linked.join(side(small, "a", "ma"), "a", "left").join(side(small, "b", "mb"), "b", "left")
@@ -405,3 +421,24 @@ def near_duplicates(
     for more in out[1:]:
         pairs = pairs.unionByName(more)
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def near_duplicate_groups(rows: DataFrame, key: str, texts: list[str], counted: int = 1, least_terms: int = 12, t: float = 0.6) -> DataFrame:
+    """``(key, class, links)``: every row with the least key of the group it is linked into, and its number of near duplicates.
+
+    The groups and links are those of all similar pairs, whatever the size of a
+    class of equal term sets: a row is linked to the others of its class and
+    to every row of the classes linked to it, so sizes are added up and no
+    pair is made.  Rows that take no part are groups of their own; null keys
+    are left out.
+    """
+    found = classes(rows, key, texts, counted, least_terms, t)
+    ends = found.linked.select(F.explode(F.array(F.struct(F.col("ida").alias("head"), F.col("nb").alias("n")), F.struct(F.col("idb").alias("head"), F.col("na").alias("n")))).alias("e"))
+    ends = ends.groupBy("e.head").agg(F.sum("e.n").alias("others"))
+    groups = components(found.linked, "ida", "idb").withColumnRenamed("node", "head")
+    own = found.members.select(F.col("id").alias("__id"), F.col("head").alias("__head"), F.col("n").alias("__n"))
+    every = rows.select(F.col(key).alias("__key"), F.col(key).cast("string").alias("__id")).dropna().join(own, "__id", "left")
+    every = every.select("__key", F.coalesce("__head", "__id").alias("head"), F.coalesce("__n", F.lit(1)).alias("n"))
+    joined = every.join(groups, "head", "left").join(ends, "head", "left")
+    links = F.col("n") - 1 + F.coalesce("others", F.lit(0))
+    return joined.select(F.col("__key").alias(key), F.coalesce("component", "head").alias("class"), links.cast("bigint").alias("links"))

@@ -9,9 +9,7 @@ from plumbline.functions.text import terms
 from plumbline.functions.values import clean_values
 from plumbline.llm import burst, distinctive, leakage, lookalike, mixing, near_duplicates, ranking, topn
 from plumbline.llm.baskets import co_occurrences
-from plumbline.llm.components import grouped
 from plumbline.operators.current import latest
-from plumbline.session import materialize
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,8 +29,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Every current record with the class of the same entry that it is in, and its number of links."""
     rows = current(spark, sf, "title", "description")
-    pairs = near_duplicates.near_duplicates(rows, "id", ["title", "description"], counted=1, least_terms=12, t=0.6)
-    return grouped(rows, "id", materialize(pairs, "pairs"), "id_a", "id_b")
+    return near_duplicates.near_duplicate_groups(rows, "id", ["title", "description"], counted=1, least_terms=12, t=0.6)
 
 
 def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 
 from plumbline.functions.text import terms
 from plumbline.llm import near_duplicates as nd
+from plumbline.llm import queries
 from plumbline.llm.components import components, grouped
 
 SCHEMA = "id string, title string, description string, rec long, terms string, h1 int"
@@ -116,3 +117,25 @@ def test_grouped_gives_every_row_a_class(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "id string")
     pairs = spark.createDataFrame([("a", "b")], "id_a string, id_b string")
     assert {tuple(r) for r in grouped(rows, "id", pairs, "id_a", "id_b").collect()} == {("a", "a", 1), ("b", "a", 1), ("c", "c", 0)}
+
+
+def test_groups_count_the_links_of_large_classes(spark, tmp_path):
+    rng = random.Random(13)
+    same, other = [f"a{i}" for i in range(20)], [f"a{i}" for i in range(18)] + ["b0", "b1"]
+    rows = [(f"x{i:02d}", None, " ".join(rng.sample(same, 20))) for i in range(20)] + [(f"w{i:02d}", "t", " ".join(other)) for i in range(18)]
+    rows += [("y", None, " ".join(same) + " more"), ("z", None, "alone"), ("v", "t", None), (None, None, " ".join(same))] + corpus(14, 80)
+    pairs = brute(rows, 12, 0.6)
+    group = {r[0]: r[0] for r in rows if r[0] is not None}
+    for _ in group:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    want = {(k, g, sum(k in p for p in pairs)) for k, g in group.items()}
+    df = spark.createDataFrame([(*r, 1, 1) for r in rows], "id string, title string, description string, updated_at int, doc_ord int")
+    df.write.parquet(f"{tmp_path}/records.parquet")
+    got = queries.p1_groups(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_groups_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert nd.near_duplicate_groups(empty, "id", ["title", "description"]).count() == 0
