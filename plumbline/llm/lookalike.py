@@ -37,6 +37,9 @@ LOOK_ALIKES = (
 INVISIBLE = "­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿"
 BLANKS = "   -   　"
 
+#: A key of a join takes about so many rows of either side.
+BLOCK = 1024
+
 _LATIN = str.maketrans({a: b for seen, latin in LOOK_ALIKES for a, b in zip(seen, latin, strict=True)})
 _GONE = re.compile(f"[{INVISIBLE}]")
 _BLANK = re.compile(f"[{BLANKS}]")
@@ -102,33 +105,34 @@ def _canonical_batch(texts: pa.Array) -> pa.Array:
 _canonical = F.arrow_udf(_canonical_batch, StringType())
 
 
-def look_alike_pairs(df: DataFrame, key: str, text: str, expand: int = 16) -> DataFrame:
+def look_alike_pairs(df: DataFrame, key: str, text: str, expand: int | None = None) -> DataFrame:
     """``(a, b)``, a < b: keys of different texts that look the same.
 
     Null and empty texts take no part.  Equal texts are one variant, stood for
-    by its smallest key.  Up to ``expand`` variants of one look are all paired;
-    of a look with more variants each is paired with the smallest.  Of a pair of variants every
+    by its smallest key.  All variants of one look are paired; only if ``expand``
+    is given is each variant of a look with more than that many paired with the
+    smallest alone.  Of a pair of variants every
     key is given with the smallest key of the other, so each link between
     different texts is there and copies aren't multiplied.  A repeated key
     counts once; an empty table gives no rows.
 
-    Only 128-bit hashes are shuffled, never texts.
+    Only 128-bit hashes are shuffled, never texts.  The keys and the variants
+    of a look are joined in blocks of about ``BLOCK`` by ``BLOCK``.
     """
     seen = df.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), F.col(text).alias("t"))
     seen = seen.select("k", "t", canonical_column(F.col("t")).alias("c"))
     both = [F.xxhash64(*x).alias(n) for n, x in (("c1", ["c"]), ("c2", [F.lit("c"), "c"]), ("t1", ["t"]), ("t2", [F.lit("t"), "t"]))]
     seen = materialize(seen.select("k", *both), "look")
-    variants = seen.groupBy("c1", "c2", "t1", "t2").agg(F.min("k").alias("rep"))
-    looks = variants.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("rep").alias("head")).filter("n > 1")
-    known = materialize(variants.join(looks, ["c1", "c2"]), "variants")
-    left = known.select("c1", "c2", F.col("t1").alias("l1"), F.col("t2").alias("l2"), F.col("rep").alias("lrep"))
-    right = known.select("c1", "c2", F.col("t1").alias("r1"), F.col("t2").alias("r2"), F.col("rep").alias("rrep"), "n")
-    few = left.join(right.filter(F.col("n") <= expand).drop("n"), ["c1", "c2"]).filter("lrep < rrep")
-    many = right.filter(F.col("n") > expand).drop("n")
-    heads = known.filter((F.col("n") > expand) & (F.col("rep") == F.col("head")))
-    heads = heads.select("c1", "c2", F.col("t1").alias("l1"), F.col("t2").alias("l2"), F.col("rep").alias("lrep"))
-    links = materialize(few.unionByName(heads.join(many, ["c1", "c2"]).filter("lrep < rrep")), "links")
-    from_left = seen.join(links.select(F.col("l1").alias("t1"), F.col("l2").alias("t2"), F.col("rrep").alias("o")), ["t1", "t2"])
-    from_right = seen.join(links.select(F.col("r1").alias("t1"), F.col("r2").alias("t2"), F.col("lrep").alias("o")), ["t1", "t2"])
-    pairs = from_left.select("k", "o").unionByName(from_right.select("k", "o"))
+    variants = seen.groupBy("c1", "c2", "t1", "t2").agg(F.min("k").alias("rep"), F.count("*").alias("keys"))
+    looks = variants.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.sum("keys").alias("keys"), F.min("rep").alias("head")).filter("n > 1")
+    parts = [F.ceil(F.col(n) / BLOCK).cast("int").alias(f"{n}_parts") for n in ("n", "keys")]
+    known = materialize(variants.drop("keys").join(looks.select("c1", "c2", "n", "head", *parts), ["c1", "c2"]), "variants")
+    every = seen.join(known, ["c1", "c2", "t1", "t2"]).withColumn("at", F.pmod(F.xxhash64("k"), "keys_parts").cast("int"))
+    every = every.select("c1", "c2", "t1", "t2", "k", "rep", "n", "head", "at", F.explode(F.expr("sequence(0, n_parts - 1)")).alias("by"))
+    other = known.withColumn("by", F.pmod("t1", "n_parts").cast("int"))
+    other = other.select("c1", "c2", F.col("t1").alias("o1"), F.col("t2").alias("o2"), F.col("rep").alias("o"), "by", F.explode(F.expr("sequence(0, keys_parts - 1)")).alias("at"))
+    # Of two smallest keys only the greater is given with the other.
+    pairs = every.join(other, ["c1", "c2", "at", "by"]).filter("(t1 <> o1 or t2 <> o2) and k <> o and (k <> rep or k > o)")
+    if expand is not None:
+        pairs = pairs.filter((F.col("n") <= expand) | (F.col("rep") == F.col("head")) | (F.col("o") == F.col("head")))
     return pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()

@@ -1,10 +1,11 @@
+import itertools
 import random
 import unicodedata
 
 import numpy as np
 import pytest
 
-from plumbline.llm import leakage, mixing
+from plumbline.llm import leakage, lookalike, mixing, queries
 from plumbline.llm.lookalike import canonical, look_alike_pairs, with_canonical
 
 SAME = [
@@ -47,6 +48,17 @@ def test_look_alike_pairs(spark):
     assert [r.canonical for r in with_canonical(df, "text").orderBy("doc_id").limit(3).collect()] == ["Café noir"] * 3
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_all_variants_of_a_look_are_paired(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(lookalike, "BLOCK", block, raising=False)
+    variants = ["".join(x) + " film" for x in itertools.product("oо", "aа", "cс", "eе", "pр")][:20]
+    rows = [(i * 7 % 20, v) for i, v in enumerate(variants)] + [(100, variants[3]), (101, variants[3]), (102, "other")]
+    spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, rep string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries.p9_found(spark, str(tmp_path)).collect()]
+    copies = [(i, k) for i in range(20) for k in (100, 101) if rows[3][0] != i]
+    assert sorted(got) == sorted([*itertools.combinations(range(20), 2), *copies])
+
+
 def _distance(pattern, text):
     """The least edit distance of a pattern to any part of a text."""
     row = [0] * (len(text) + 1)
