@@ -40,6 +40,8 @@ DICTIONARY = 500_000
 POSTINGS = 64
 #: A task joins about so many combinations, in pieces of so many pairs.
 BUCKET, PIECE = 6_000_000, 2_000_000
+#: A key of the join of two classes takes about so many rows of either.
+BLOCK = 1024
 #: Groups of the classes of pairs and of triples, from the least to the most losses: (pair groups, triple groups).
 GROUPINGS = ((0, 0), (1, 1), (1, 3), (2, 6))
 
@@ -72,7 +74,12 @@ def _counted(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-_SETS = pa.schema([("id", pa.string()), ("rec", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("terms", pa.list_(pa.int64()))])
+_SETS = pa.schema([("id", pa.string()), ("rec", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("whole", pa.binary()), ("terms", pa.list_(pa.int64()))])
+
+
+def _whole(texts: list[str | None]) -> bytes:
+    """A 128-bit hash of a row's texts: equal only for exact copies."""
+    return xxhash.xxh3_128_digest("".join("-" if t is None else f"{len(t)}:{t}" for t in texts))
 
 
 def _analyse(counted: int, least: int):
@@ -106,7 +113,8 @@ def _analyse(counted: int, least: int):
             ids = batch.column(0).take(pa.array(keep))
             recs = pa.array(part + seen + np.arange(len(keep)))
             seen += len(keep)
-            yield pa.RecordBatch.from_arrays([ids, recs, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], schema=_SETS)
+            whole = pa.array([_whole([col[row] for col in texts]) for row in keep], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, recs, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), whole, lists], schema=_SETS)
 
     return run
 
@@ -368,14 +376,14 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
 class Classes:
     """Rows with equal term sets, and the links between such classes; rows alone in their class are no members."""
 
-    members: DataFrame  # rec, head, id, n: the rows of classes of n > 1 rows, with the class's smallest key
+    members: DataFrame  # rec, head, id, n, whole: the rows of classes of n > 1 rows, with the class's smallest key and a hash of the texts
     linked: DataFrame  # a, b, ida, idb, similarity, na, nb: linked classes by their heads, with their numbers of rows
 
 
 def classes(rows: DataFrame, key: str, texts: list[str], counted: int, least_terms: int, t: float) -> Classes:
     named = [F.col(key).cast("string").alias("id"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(texts))]
     sets = rows.filter(F.col(key).isNotNull()).select(*named).mapInArrow(
-        _analyse(counted, max(least_terms, 1)), "id string, rec bigint, h1 bigint, h2 bigint, terms array<bigint>"
+        _analyse(counted, max(least_terms, 1)), "id string, rec bigint, h1 bigint, h2 bigint, whole binary, terms array<bigint>"
     )
     sets = materialize(sets, "sets")
     once, maybe = split_repeated(sets, ["h1", "h2"])
@@ -384,7 +392,7 @@ def classes(rows: DataFrame, key: str, texts: list[str], counted: int, least_ter
     single = materialize(once.select("id", "rec", "terms").unionByName(firsts.select("r.*")), "representatives")
     links = similar_sets(single, t)
     many = firsts.filter("n > 1").select("h1", "h2", F.col("r.id").alias("head"), F.col("r.rec").alias("rec"), "n")
-    members = materialize(maybe.select("h1", "h2", "id").join(many, ["h1", "h2"]).select("rec", "head", "id", "n"), "members")
+    members = materialize(maybe.select("h1", "h2", "id", "whole").join(many, ["h1", "h2"]).select("rec", "head", "id", "n", "whole"), "members")
     size = lambda rec, n: many.select(F.col("rec").alias(rec), F.col("n").alias(n))
     sized = links.join(size("a", "na"), "a", "left").join(size("b", "nb"), "b", "left").fillna(1, ["na", "nb"])
     return Classes(members, materialize(sized, "linked"))
@@ -398,29 +406,38 @@ def near_duplicates(
     Only rows whose last ``counted`` text columns have ``least_terms`` distinct
     terms take part, and none without a term or with a null key; keys must be unique.  A null or
     empty text has no terms; texts are used whole, whatever their length.
-    Rows with equal term sets form a class that is joined once.  Classes of up
-    to ``expand`` rows come out as all their pairs; a larger class as each row
-    with the smallest key, and its links to other classes as each of its rows
-    with the smallest key there, so that no link between different texts is lost.
+    Rows with equal term sets form a class that is joined once; all pairs of
+    its rows and of the rows of linked classes come out.  Only exact copies,
+    equal in all ``texts``, are abbreviated: of more than ``expand`` of them
+    all but the smallest key are paired with every row but such copies, and
+    so with that smallest key too, not with each other.
     An empty table gives no rows; extra columns don't matter.
+
+    The rows of two classes are joined in blocks of about ``BLOCK`` by ``BLOCK``.
     """
     found = classes(rows, key, texts, counted, least_terms, t)
-    members, linked = found.members, found.linked
-    small, large = members.filter(F.col("n") <= expand), members.filter(F.col("n") > expand)
-    side = lambda df, rec, name: df.select(F.col("rec").alias(rec), F.col("id").alias(name))
-    spread = linked.join(side(small, "a", "ma"), "a", "left").join(side(small, "b", "mb"), "b", "left")
-    inside = small.alias("x").join(small.alias("y"), F.expr("x.rec = y.rec and x.id < y.id"))
-    out = [
-        spread.select(F.coalesce("ma", "ida").alias("x"), F.coalesce("mb", "idb").alias("y")),
-        linked.join(side(large, "a", "m"), "a").select(F.col("m").alias("x"), F.col("idb").alias("y")),
-        linked.join(side(large, "b", "m"), "b").select(F.col("ida").alias("x"), F.col("m").alias("y")),
-        inside.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")),
-        large.filter("head < id").select(F.col("head").alias("x"), F.col("id").alias("y")),
-    ]
-    pairs = out[0]
-    for more in out[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    copies = found.members.groupBy("rec", "whole").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter(F.col("copies") > expand)
+    members = found.members.join(copies, ["rec", "whole"], "left").withColumn("full", F.col("rep").isNull() | (F.col("rep") == F.col("id")))
+    members = materialize(members.select("rec", "head", "id", "full"), "rows")
+    sizes = members.groupBy("rec", "head").agg(F.count("*").alias("n"), F.count_if("full").alias("n_full"))
+    parts = materialize(sizes.select("rec", "head", *(F.ceil(F.col(n) / BLOCK).cast("int").alias(p) for n, p in (("n", "parts"), ("n_full", "full_parts")))), "parts")
+    alone = (F.col("na") == 1) & (F.col("nb") == 1)
+    linked = found.linked.filter(~alone)
+    ends = lambda a, b: linked.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"id{a}").alias("ida"), F.col(f"id{b}").alias("idb"))
+    ways = ends("a", "b").unionByName(ends("b", "a")).unionByName(parts.select(F.col("rec").alias("a"), F.col("rec").alias("b"), F.col("head").alias("ida"), F.col("head").alias("idb")))
+    ways = ways.join(parts.select(F.col("rec").alias("a"), "parts"), "a", "left").join(parts.select(F.col("rec").alias("b"), "full_parts"), "b", "left")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    ways = materialize(ways.withColumn("i", span("parts")).withColumn("j", span("full_parts")), "ways")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    placed = members.join(parts.drop("head"), "rec")
+    every = placed.select(F.col("rec").alias("a"), block("parts").alias("i"), F.col("id").alias("x"), "full")
+    whole = placed.filter("full").select(F.col("rec").alias("b"), block("full_parts").alias("j"), F.col("id").alias("y"))
+    # A class without parts is one row, its head.
+    left = ways.join(every, ["a", "i"], "left").select("a", "b", "i", "j", F.when(F.col("parts").isNull(), F.col("ida")).otherwise(F.col("x")).alias("x"), F.coalesce("full", F.lit(True)).alias("full"))
+    right = ways.join(whole, ["b", "j"], "left").select("a", "b", "i", "j", F.when(F.col("full_parts").isNull(), F.col("idb")).otherwise(F.col("y")).alias("y"))
+    pairs = left.join(right, ["a", "b", "i", "j"]).filter("x < y or (not full and x <> y)").select("x", "y")
+    pairs = pairs.unionByName(found.linked.filter(alone).select(F.col("ida").alias("x"), F.col("idb").alias("y")))
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def near_duplicate_groups(rows: DataFrame, key: str, texts: list[str], counted: int = 1, least_terms: int = 12, t: float = 0.6) -> DataFrame:

@@ -62,6 +62,20 @@ def test_large_classes_come_out_as_stars_and_keep_their_links(spark):
     assert got == {("x00", f"x{i:02d}") for i in range(1, 30)} | {(f"x{i:02d}", "y") for i in range(30)}
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_different_texts_of_large_classes_come_out_in_full(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block, raising=False)
+    rng = random.Random(15)
+    same, other = [f"a{i}" for i in range(20)], [f"a{i}" for i in range(18)] + ["b0", "b1"]
+    rows = [(f"x{i:02d}", None, " ".join(rng.sample(same, 20))) for i in range(20)]
+    rows += [(f"w{i:02d}", rng.choice([None, "a1"]), " ".join(rng.sample(other, 20))) for i in range(18)]
+    rows += [("c0", "", rows[0][2]), ("c1", None, rows[0][2]), ("y", None, " ".join(same) + " more"), ("z", None, "alone")]
+    assert found(spark, rows) == brute(rows, 12, 0.6)
+    copies = [(f"k{i:02d}", None, rows[1][2]) for i in range(20)]
+    inside = {(a, b) for a, b in brute(rows + copies, 12, 0.6) if not (a > "k00" and b > "k00" and {a, b} <= {c[0] for c in copies} | {"x01"})}
+    assert found(spark, rows + copies) == inside
+
+
 def test_empty_table_and_long_text(spark):
     assert found(spark, []) == set()
     long = " ".join(f"w{i}" for i in range(70_000))
