@@ -32,14 +32,18 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(rows, "id", ["title", "description"], counted=1, least_terms=12, t=0.6)
 
 
+def _genre_pairs(spark: SparkSession, sf: str, **least) -> DataFrame:
+    return co_occurrences(current(spark, sf, "genres"), clean_values(F.col("genres")), **least)
+
+
 def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = current(spark, sf, "genres")
-    return co_occurrences(rows, clean_values(F.col("genres")), min_count=5, min_share=1 / 2000)
+    """Every pair of genre values that stand together, with its count and excess over chance."""
+    return _genre_pairs(spark, sf)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     n, a, b, all_ = (F.col(c).cast("decimal(19,0)") for c in ("n", "n_a", "n_b", "n_all"))
-    found = p2_pairs(spark, sf).filter((n >= 5) & (n * 2000 >= all_) & (n * all_ >= a * b * 3))
+    found = _genre_pairs(spark, sf, min_count=5, min_share=1 / 2000).filter((n >= 5) & (n * 2000 >= all_) & (n * all_ >= a * b * 3))
     return found.select(F.col("item_a").alias("genre_a"), F.col("item_b").alias("genre_b"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import terms
 from plumbline.functions.values import clean_values
-from plumbline.llm import burst, distinctive
+from plumbline.llm import burst, distinctive, queries
 from plumbline.llm.baskets import co_occurrences
 
 
@@ -32,6 +32,14 @@ def test_pairs_of_an_empty_table(spark):
     assert co_occurrences(spark.createDataFrame([], "g array<string>"), clean_values(F.col("g"))).count() == 0
 
 
+def test_rare_pairs_come_out(spark, tmp_path):
+    rows = [("a", ["Noir", "spy "]), ("b", ["noir", "War"]), ("c", ["NOIR", "war"]), ("d", None)] + [(f"x{i}", ["Noir", "x"]) for i in range(5)]
+    df = spark.createDataFrame([(*r, 1, 1) for r in rows], "id string, genres array<string>, updated_at int, doc_ord int")
+    df.write.parquet(f"{tmp_path}/records.parquet")
+    got = {(r.item_a, r.item_b, r.n, r.n_a, r.n_b, r.n_all) for r in queries.p2_pairs(spark, str(tmp_path)).collect()}
+    assert got == {("noir", "spy", 1, 8, 1, 9), ("noir", "war", 2, 8, 2, 9), ("noir", "x", 5, 8, 5, 9)}
+
+
 def test_burst_trie_keeps_its_counts():
     rng = random.Random(4)
     want: dict[str, list[int]] = {}
