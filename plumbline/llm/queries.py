@@ -84,6 +84,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_top(spark, sf).select("genre", "id")
 
 
+def p6_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Every term of every current record with its weight."""
+    rows = current(spark, sf, "title", "description")
+    return distinctive.distinctive_terms(rows, "id", ["title", "description"])
+
+
 def p6_terms(spark: SparkSession, sf: str) -> DataFrame:
     """The ten most distinctive terms of every current record."""
     rows = current(spark, sf, "title", "description")
@@ -139,7 +145,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_groups, p2_pairs, p2_found, p3_counts, p3_found, p4_ranking, p4_found, p5_top, p5_found, p6_terms, p6_found,
-        p7_leaks, p7_found, p8_mix, p8_report, p8_found, p9_texts, p9_found,
+        p1_found, p1_groups, p2_pairs, p2_found, p3_counts, p3_found, p4_ranking, p4_found, p5_top, p5_found, p6_weights, p6_terms,
+        p6_found, p7_leaks, p7_found, p8_mix, p8_report, p8_found, p9_texts, p9_found,
     )
 }

@@ -113,6 +113,15 @@ def test_distinctive_terms_equal_a_plain_model(spark, monkeypatch, dictionary):
     assert {(r.id, r.term) for r in kept} == {k for k, r in got.items() if r.n >= 3 and r.records <= 5}
 
 
+def test_every_term_has_a_weight(spark, tmp_path):
+    rows = [("a", "The Sea", " ".join(f"w{i}" for i in range(40))), ("b", None, "the the sea"), ("c", "", None)]
+    spark.createDataFrame([(*r, 1, 1) for r in rows], "id string, title string, description string, updated_at int, doc_ord int").write.parquet(f"{tmp_path}/records.parquet")
+    got = queries.QUERIES["p6_weights"](spark, str(tmp_path)).collect()
+    want = {(k, w): n for k, *texts in rows for w, n in Counter(w for t in texts for w in terms(t)).items()}
+    assert len(got) == len(want) and {(r.id, r.term): r.n for r in got} == want
+    assert all(sum(r.weight for r in got if r.id == k) == pytest.approx(1) for k in "ab")
+
+
 def test_distinctive_terms_of_an_empty_table(spark):
     assert distinctive.distinctive_terms(spark.createDataFrame([], "id string, t string"), "id", ["t"]).count() == 0
 
