@@ -16,7 +16,7 @@ from plumbline.session import materialize
 
 #: At most so many terms, the most frequent, have their background probability broadcast; those of the others are joined.
 DICTIONARY = 500_000
-#: The share of a record's mass that is its own, and when the iteration has converged.
+#: The share of a record's mass that is its own, and when a record has converged; without such a bound (0) there are ROUNDS rounds.
 OWN, CLOSE, ROUNDS = 0.1, 1e-4, 50
 
 
@@ -42,25 +42,37 @@ class Background:
         return np.where(found, self.occurrences[at], 0), np.where(found, self.records[at], 0)
 
 
-def own_mass(of: np.ndarray, n: int, counts: np.ndarray, background: np.ndarray) -> np.ndarray:
+def own_mass(of: np.ndarray, n: int, counts: np.ndarray, background: np.ndarray, close: float | None = None) -> np.ndarray:
     """Expectation-maximisation for ``n`` records at once: the converged probability of each (record, term).
 
-    ``of`` is the record of each entry, in ascending order.
+    ``of`` is the record of each entry, in ascending order.  A record is left
+    as it is once none of its own probabilities moves by ``close`` (``CLOSE``) or more, and
+    the rounds go on until that holds for all; each round raises a record's
+    likelihood, so it always comes.  What the other records are makes no difference.
     """
     if not len(of):
         return np.zeros(0)
+    close = CLOSE if close is None else close
+    # Sums are taken in an order that only the record itself sets.
+    at = np.lexsort((background, counts, of))
+    counts, background = counts[at], background[at]
     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     spread = np.diff(np.r_[starts, len(of)])
     share = counts / np.repeat(np.add.reduceat(counts, starts), spread)
-    for _ in range(ROUNDS):
+    out, rounds = np.empty(len(of)), 0
+    while len(at):
         own = OWN * share
         mass = counts * own / (own + (1 - OWN) * background)
         new = mass / np.repeat(np.maximum(np.add.reduceat(mass, starts), 1e-300), spread)
-        moved = np.abs(new - share).max()
-        share = new
-        if moved < CLOSE:
-            break
-    return share
+        moved = np.maximum.reduceat(np.abs(new - share), starts)
+        share, rounds = new, rounds + 1
+        done = moved < close if close > 0 else np.full(len(starts), rounds >= ROUNDS)
+        if done.any():
+            over = np.repeat(done, spread)
+            out[at[over]] = share[over]
+            at, counts, background, share, spread = at[~over], counts[~over], background[~over], share[~over], spread[~done]
+            starts = np.cumsum(spread) - spread
+    return out
 
 
 def _cut(cells: list[str | None] | None) -> list[str]:
@@ -80,7 +92,7 @@ def _entries(keys: pa.Array, cells: list, known):
 _OUT = pa.schema([("key", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("records", pa.int64()), ("weight", pa.float64())])
 
 
-def _weigh(known, min_count: int, max_records: int | None, top: int | None):
+def _weigh(known, min_count: int, max_records: int | None, top: int | None, close: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         background = known.value
         for batch in batches:
@@ -95,7 +107,7 @@ def _weigh(known, min_count: int, max_records: int | None, top: int | None):
                 for i in missing:
                     e = joined[of[i]][words[word[i]]]
                     occurrences[i], records[i] = e["occurrences"], e["records"]
-            weight = own_mass(of, batch.num_rows, counts.astype(float), occurrences / background.total)
+            weight = own_mass(of, batch.num_rows, counts.astype(float), occurrences / background.total, close)
             keep = counts >= min_count
             if max_records is not None:
                 keep &= records <= max_records
@@ -167,5 +179,5 @@ def distinctive_terms(
         cells = cells.join(strange, "key", "left")
     else:
         cells = cells.withColumn("extra", F.lit(None).cast(extra))
-    found = cells.mapInArrow(_weigh(known, min_count, max_records, top), "key string, term string, n bigint, records bigint, weight double")
+    found = cells.mapInArrow(_weigh(known, min_count, max_records, top, CLOSE), "key string, term string, n bigint, records bigint, weight double")
     return found.withColumnRenamed("key", key)

@@ -113,6 +113,33 @@ def test_distinctive_terms_equal_a_plain_model(spark, monkeypatch, dictionary):
     assert {(r.id, r.term) for r in kept} == {k for k, r in got.items() if r.n >= 3 and r.records <= 5}
 
 
+def _random_records(seed, n):
+    rng = np.random.default_rng(seed)
+    of = np.repeat(np.arange(n), rng.integers(1, 40, n))
+    return of, rng.integers(1, 6, len(of)).astype(float), 10.0 ** rng.uniform(-6, -1, len(of))
+
+
+def test_weights_dont_depend_on_the_other_records():
+    of, counts, background = _random_records(16, 60)
+    together = distinctive.own_mass(of, 60, counts, background)
+    for r in range(60):
+        own = np.flatnonzero(of == r)
+        for order in (own, own[::-1]):
+            assert distinctive.own_mass(np.zeros(len(own), int), 1, counts[order], background[order]).tolist() == together[order].tolist()
+
+
+def test_every_record_converges():
+    """A record that takes more than 50 rounds."""
+    of, counts, background = np.array([0, 0]), np.array([1.0, 1.0]), np.array([0.4, 0.5])
+    of, counts, background = (np.r_[x, y] for x, y in zip((of, counts, background), (_random_records(17, 200)[0] + 1, *_random_records(17, 200)[1:])))
+    share = distinctive.own_mass(of, 201, counts, background)
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    own = distinctive.OWN * share
+    mass = counts * own / (own + (1 - distinctive.OWN) * background)
+    again = mass / np.repeat(np.add.reduceat(mass, starts), np.diff(np.r_[starts, len(of)]))
+    assert np.abs(again - share).max() < distinctive.CLOSE
+
+
 def test_every_term_has_a_weight(spark, tmp_path):
     rows = [("a", "The Sea", " ".join(f"w{i}" for i in range(40))), ("b", None, "the the sea"), ("c", "", None)]
     spark.createDataFrame([(*r, 1, 1) for r in rows], "id string, title string, description string, updated_at int, doc_ord int").write.parquet(f"{tmp_path}/records.parquet")
