@@ -93,9 +93,10 @@ def tokens_requests(spark, sf):
 
 
 def token_counts_documents(spark, sf):
-    """Of every document the number of its tokens and of its different terms."""
-    found = _token_rows(table(spark, sf, "documents"), "doc_id", "text")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("term").alias("n_terms"))
+    """Of every document the number of its tokens and of its different terms, 0 for one without tokens."""
+    docs = table(spark, sf, "documents")
+    found = _token_rows(docs, "doc_id", "text").select("doc_id", "term").unionByName(docs.select("doc_id", F.lit(None).cast("string").alias("term")))
+    return found.groupBy("doc_id").agg(F.count("term").alias("n_tokens"), F.count_distinct("term").alias("n_terms"))
 
 
 def token_offsets_titles(spark, sf):

@@ -73,3 +73,12 @@ def test_near_strings_share_a_deletion(spark):
 def test_clean_values(spark):
     df = spark.createDataFrame([([" Noir", "noir\t", "", None, "\xa0 ", "Spy"],), (None,), ([],)], "g array<string>")
     assert [r.v for r in df.select(clean_values(F.col("g")).alias("v")).collect()] == [["noir", "spy"], [], []]
+
+
+def test_documents_without_tokens_are_counted(spark, tmp_path):
+    from plumbline.queries import token_counts_documents
+
+    rows = [(1, "The sea, the sea"), (2, None), (3, ""), (4, "--- !"), (5, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in token_counts_documents(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(1, 4, 2), (2, 0, 0), (3, 0, 0), (4, 0, 0), (5, 1, 1)]
