@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: The tables of the shared folder that this driver has written.
+_made: dict[str, SparkSession] = {}
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -44,13 +48,45 @@ def shared_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is removed with its scratch, or when the driver ends."""
+    path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove_all)
+    _made[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage with something that outlives a lost executor, and fixes
     values such as partition numbers that a recomputation could change.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(path: str) -> None:
+    """Delete a table of the shared folder, on whatever file system it is."""
+    spark = _made.pop(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_all() -> None:
+    for path in list(_made):
+        with suppress(Exception):  # the session may have ended already
+            remove(path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes on leaving the tables that were written meanwhile; for long-lived sessions, around work whose result has been saved."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before]:
+            remove(path)

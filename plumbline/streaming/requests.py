@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from plumbline.operators.index import Index
 from plumbline.plans import batch
+from plumbline.session import scratch
 
 
 def latest_requests(requests: DataFrame, channel: str = "channel", order: str = "request_id") -> DataFrame:
@@ -53,10 +54,12 @@ def answer_stream(requests: DataFrame, index: Index, sink: Callable[[DataFrame,
     """Answer each micro-batch's requests against a static index; ``sink(hits, epoch)`` must be idempotent per epoch.
 
     A request that was delivered more than once within a micro-batch is answered once.
+    ``sink`` must save the hits: the tables that a micro-batch has written are removed after it.
     """
 
     def answer(rows: DataFrame, epoch: int) -> None:
         once = rows.dropDuplicates(["request_id"])
-        sink(batch.prepare(index, once).hits(), epoch)
+        with scratch():
+            sink(batch.prepare(index, once).hits(), epoch)
 
     return requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
