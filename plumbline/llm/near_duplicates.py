@@ -31,20 +31,24 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import terms
 from plumbline.llm.components import components
-from plumbline.operators.current import SLOTS, split_repeated
+from plumbline.operators.current import FILE, ROW, bitmaps, kept
 from plumbline.session import materialize
 
 #: At most so many terms have their frequency broadcast: those that fill at least this fraction of all sets' places.
 DICTIONARY = 500_000
 #: A combination should be in about so many records.
 POSTINGS = 64
-#: A task joins about so many combinations, in pieces of so many pairs.
-BUCKET, PIECE = 6_000_000, 2_000_000
+#: A task joins about so many combinations, in pieces of so many pairs; the cores share them as long as each has so many.
+BUCKET, PIECE, LEAST_BUCKET = 6_000_000, 2_000_000, 1_000_000
 #: A key of the join of two classes takes about so many rows of either.
 BLOCK = 1024
+#: Classes of more than this share of the rows are hot; there can't be more than its inverse of them.
+HOT_SHARE = 1 / 1000
 #: Groups of the classes of pairs and of triples, from the least to the most losses: (pair groups, triple groups).
 GROUPINGS = ((0, 0), (1, 1), (1, 3), (2, 6))
 
+#: Sets are numbered by their task, above so many bits, and within it.
+_TASK = 36
 _C = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -86,7 +90,7 @@ def _analyse(counted: int, least: int):
     """Rows (id, text...) to sets of 64-bit term hashes; ``counted`` text columns must have ``least`` distinct terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId() << 36, 0
+        part, seen = TaskContext.get().partitionId() << _TASK, 0
         for batch in batches:
             texts = [c.to_pylist() for c in batch.columns[1:]]
             cut = [[terms(t) for t in col] for col in texts]
@@ -299,8 +303,10 @@ def _joined(t: float):
             yield later, later - 1 - _counted(times)
             a = b
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_read(blob) for batch in batches for blob in batch.column("blob").to_pylist()]
+        if not parts:
+            return
         recs, sizes, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
         sketch, sig = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
         del parts
@@ -343,8 +349,13 @@ def _links(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _addresses(rec: str) -> list:
+    """Where a set stands in the bitmaps: sets are numbered within the task that made them."""
+    return [F.shiftright(rec, _TASK).alias(FILE), F.col(rec).bitwiseAND(F.lit((1 << _TASK) - 1)).alias(ROW)]
+
+
 def similar_sets(sets: DataFrame, t: float) -> DataFrame:
-    """``(a, b, ida, idb, similarity)``: all pairs of ``sets(rec, id, terms)`` with a Jaccard similarity of at least ``t``.
+    """``(a, b, ida, idb, similarity)``: all pairs of ``sets(rec, id, terms, __file, __row)`` with a Jaccard similarity of at least ``t``.
 
     No two sets may be equal.
     """
@@ -355,14 +366,13 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     hashes = known.column("h").to_numpy().view(np.uint64)
     by = np.argsort(hashes)
     order = spark.sparkContext.broadcast(Order(hashes[by], known.column("count").to_numpy()[by].astype(np.int64), least, whole["n"], t, POSTINGS))
-    buckets = max(1, round(whole["m"] * 2 / BUCKET))
+    buckets = max(1, round(whole["m"] * 2 / BUCKET), min(spark.sparkContext.defaultParallelism, round(whole["m"] * 2 / LEAST_BUCKET)))
     blobs = sets.select("rec", "terms").mapInArrow(_emit(order, buckets), "bucket int, blob binary")
-    found = blobs.groupBy("bucket").applyInArrow(_joined(t), "a bigint, b bigint")
+    # Each bucket is a task of its own; two that met in one would only make more candidates.
+    found = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_joined(t), "a bigint, b bigint")
     found = materialize(found.distinct(), "candidates")
-    # Only sets that are in a candidate are shuffled for the verification; their slots are at most SLOTS longs.
-    slot = F.pmod(F.xxhash64("rec"), F.lit(SLOTS))
-    slots = found.select(F.explode(F.array("a", "b")).alias("rec")).select(slot.alias("__slot")).distinct()
-    held = sets.withColumn("__slot", slot).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
+    # Only sets that are in a candidate are shuffled for the verification.
+    held = kept(sets, bitmaps(found.select(F.explode(F.array("a", "b")).alias("rec")).select(*_addresses("rec"))))
     both = found.join(held.select(F.col("rec").alias("a"), F.col("id").alias("ida"), F.col("terms").alias("ta")), "a")
     both = both.join(held.select(F.col("rec").alias("b"), F.col("id").alias("idb"), F.col("terms").alias("tb")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("ta", "tb")))
@@ -386,13 +396,19 @@ def classes(rows: DataFrame, key: str, texts: list[str], counted: int, least_ter
         _analyse(counted, max(least_terms, 1)), "id string, rec bigint, h1 bigint, h2 bigint, whole binary, terms array<bigint>"
     )
     sets = materialize(sets, "sets")
-    once, maybe = split_repeated(sets, ["h1", "h2"])
-    firsts = maybe.groupBy("h1", "h2").agg(F.min(F.struct("id", "rec", "terms")).alias("r"), F.count("*").alias("n"))
-    firsts = materialize(firsts, "classes")
-    single = materialize(once.select("id", "rec", "terms").unionByName(firsts.select("r.*")), "representatives")
-    links = similar_sets(single, t)
-    many = firsts.filter("n > 1").select("h1", "h2", F.col("r.id").alias("head"), F.col("r.rec").alias("rec"), "n")
-    members = materialize(maybe.select("h1", "h2", "id", "whole").join(many, ["h1", "h2"]).select("rec", "head", "id", "n", "whole"), "members")
+    firsts = materialize(sets.groupBy("h1", "h2").agg(F.min(F.struct("id", "rec", "whole")).alias("r"), F.count("*").alias("n")), "classes")
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    heads = bitmaps(firsts.select("r.rec").select(*_addresses("rec")))
+    placed = sets.select("*", *_addresses("rec"))
+    links = similar_sets(kept(placed.select("id", "rec", "terms", FILE, ROW), heads), t)
+    many = firsts.filter("n > 1").select("h1", "h2", F.col("r.id").alias("head"), F.col("r.rec").alias("rec"), "n", F.col("r.whole").alias("first"))
+    # The other rows of a class; those of hot classes find it without a shuffle.
+    others = kept(placed.select("h1", "h2", "id", "whole", FILE, ROW), heads, marked=False).select("h1", "h2", "id", "whole")
+    hot = F.col("n") > total * HOT_SHARE
+    met = others.join(F.broadcast(many.filter(hot)), ["h1", "h2"], "left")
+    cold = met.filter("head is null").select(*others.columns).join(many.filter(~hot), ["h1", "h2"])
+    every = [x.select("rec", "head", "id", "n", "whole") for x in (met.filter("head is not null"), cold, many.select("rec", "head", F.col("head").alias("id"), "n", F.col("first").alias("whole")))]
+    members = materialize(every[0].unionByName(every[1]).unionByName(every[2]), "members")
     size = lambda rec, n: many.select(F.col("rec").alias(rec), F.col("n").alias(n))
     sized = links.join(size("a", "na"), "a", "left").join(size("b", "nb"), "b", "left").fillna(1, ["na", "nb"])
     return Classes(members, materialize(sized, "linked"))
