@@ -4,7 +4,7 @@ Each worker counts its rows into a burst trie: inner nodes branch on one
 character, leaves are containers of suffixes with their two counters, and a
 container that grows past a bound bursts into an inner node.  The containers,
 keyed by their path, are written; heavy paths of the whole collection make a
-routing table; matching subtrees are merged under it.
+routing table; matching subtrees are merged under it, suffix by suffix.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,10 +95,18 @@ def _unpack(blob: bytes) -> Iterable[tuple[str, int, int]]:
     return zip(*pickle.loads(blob), strict=True)
 
 
+_ROUTED = pa.schema([("field", pa.string()), ("path", pa.string()), ("part", pa.int32()), ("blob", pa.binary())])
 _LEAF = pa.schema([("field", pa.string()), ("path", pa.string()), ("entries", pa.int64()), ("blob", pa.binary())])
 _COUNT = pa.schema([("field", pa.string()), ("value", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
 
+def _leaves(tries: dict[str, BurstTrie]) -> Iterator[pa.RecordBatch]:
+    for field, trie in tries.items():
+        rows = [(field, path, len(held), _pack(held)) for path, held in trie.containers()]
+        for i in range(0, len(rows), 2000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000], strict=True), _LEAF.types, strict=True)], schema=_LEAF)
+
+
 def _count_partition(split: dict[str, Callable[[object], list[str]]], container: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries = {f: BurstTrie(container) for f in split}
@@ -112,55 +121,86 @@ def _count_partition(split: dict[str, Callable[[object], list[str]]], container:
                 trie = tries[field]
                 for term, n in occurrences.items():
                     trie.add(term, n, records[term])
-        for field, trie in tries.items():
-            rows = [(field, path, len(held), _pack(held)) for path, held in trie.containers()]
-            for i in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000], strict=True), _LEAF.types, strict=True)], schema=_LEAF)
+        yield from _leaves(tries)
+
+    return run
+
+
+def _add_partition(container: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = BurstTrie(container)
+        for batch in batches:
+            for lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for term, n, m in zip(*lists, strict=True):
+                    trie.add(term, n, m)
+        yield from _leaves({"": trie})
 
     return run
 
 
-def _route(routes: dict[str, set[str]]):
-    """Splits each container by the longest route that its entries pass."""
+def _route(routes: dict[str, dict[str, int]]):
+    """Splits each container by the longest route that its entries pass, and those by a hash where the route asks for parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for field, path, _, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                known, parts = routes.get(field, set()), {}
+                known = routes.get(field, {})
+                split: dict[tuple[str, int], dict[str, list[int]]] = {}
                 for suffix, n, m in _unpack(blob):
                     term = path + suffix
-                    at = 0
+                    at, parts = 0, 1
                     while at < len(term) and term[:at] in known:  # heavy prefixes are closed under prefixes
+                        parts = known[term[:at]]
                         at += 1
-                    parts.setdefault(term[:at], {})[term] = [n, m]
-                rows += [(field, route, len(part), _pack(part)) for route, part in parts.items()]
+                    part = xxhash.xxh3_64_intdigest(term) % parts if parts > 1 else 0
+                    split.setdefault((term[:at], part), {})[term[at:]] = [n, m]
+                rows += [(field, route, part, _pack(held)) for (route, part), held in split.items()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _LEAF.types, strict=True)], schema=_LEAF)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROUTED.types, strict=True)], schema=_ROUTED)
 
     return run
 
 
 def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the subtrees of all workers that have the same route."""
-    field, total = key[0].as_py(), {}
+    """Merges the subtrees of all workers that have the same route, suffix by suffix."""
+    field, path, total = key[0].as_py(), key[1].as_py(), {}
     for batch in batches:
         for blob in batch.column("blob").to_pylist():
-            for term, n, m in _unpack(blob):
-                held = total.get(term)
+            for suffix, n, m in _unpack(blob):
+                held = total.get(suffix)
                 if held is None:
-                    total[term] = [n, m]
+                    total[suffix] = [n, m]
                 else:
                     held[0] += n
                     held[1] += m
-    terms = sorted(total)
-    for i in range(0, len(terms), 50_000):
-        part = terms[i : i + 50_000]
+    found = sorted(total)
+    for i in range(0, len(found), 50_000):
+        part = found[i : i + 50_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([field] * len(part)), pa.array(part), pa.array([total[t][0] for t in part]), pa.array([total[t][1] for t in part])], schema=_COUNT
+            [pa.array([field] * len(part)), pa.array([path + t for t in part]), pa.array([total[t][0] for t in part]), pa.array([total[t][1] for t in part])], schema=_COUNT
         )
 
 
+def _merged(leaves: DataFrame, subtree: int) -> DataFrame:
+    leaves = materialize(leaves, "tries")
+    sizes = leaves.select("field", "entries", F.substring("path", 1, DEPTH).alias("path")).groupBy("field", "path").agg(F.sum("entries").alias("n"))
+    every = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring("path", F.lit(1), i))
+    heavy = (
+        sizes.select("field", "n", "path", F.explode(every).alias("prefix"))
+        .groupBy("field", "prefix").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("prefix") == F.col("path"), F.col("n")).otherwise(0)).alias("own"))
+        .filter(F.col("n") > subtree)
+    )
+    routes: dict[str, dict[str, int]] = {}
+    for row in heavy.collect():
+        routes.setdefault(row["field"], {})[row["prefix"]] = -(-row["own"] // subtree) or 1
+    routed = leaves.mapInArrow(_route(routes), "field string, path string, part int, blob binary")
+    return routed.groupBy("field", "path", "part").applyInArrow(_merge, "field string, value string, occurrences bigint, records bigint")
+
+
+_TRIES = "field string, path string, entries bigint, blob binary"
+
+
 def count_values(
     rows: DataFrame, split: dict[str, Callable[[object], list[str]]], container: int = CONTAINER, subtree: int = SUBTREE
 ) -> DataFrame:
@@ -174,23 +214,18 @@ def count_values(
 
     A value is at most one entry per worker, however frequent it is.  A subtree
     with more than ``subtree`` entries is split at its next character, down to
-    ``DEPTH``, so what a task merges stays bounded unless values agree in their
-    first ``DEPTH`` characters.  The routing table that reaches the driver has
+    ``DEPTH``, and what the workers hold under one path without having burst it
+    by a hash of the value; so what a task merges stays bounded, also
+    where values agree in a long prefix.  The routing table that reaches the driver has
     at most ``DEPTH`` prefixes per ``subtree`` entries of the containers.
     """
-    leaves = materialize(
-        rows.select(*split).mapInArrow(_count_partition(split, container), "field string, path string, entries bigint, blob binary"), "tries"
-    )
-    routes: dict[str, set[str]] = {}
-    sizes = leaves.select("field", "path", "entries")
-    heavy = (
-        sizes.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("path"), F.lit(DEPTH - 1))), lambda i: F.substring("path", F.lit(1), i))))
-        .groupBy("field", "prefix").agg(F.sum("entries").alias("n")).filter(F.col("n") > subtree)
-    )
-    for row in heavy.collect():
-        routes.setdefault(row["field"], set()).add(row["prefix"])
-    routed = leaves.mapInArrow(_route(routes), leaves.schema)
-    return routed.groupBy("field", "path").applyInArrow(_merge, "field string, value string, occurrences bigint, records bigint")
+    return _merged(rows.select(*split).mapInArrow(_count_partition(split, container), _TRIES), subtree)
+
+
+def sum_counts(lists: DataFrame, container: int = CONTAINER, subtree: int = SUBTREE) -> DataFrame:
+    """``(value, occurrences, records)``: the counters of ``lists(values, occurrences, records)``, arrays of one length, added up in the same way."""
+    found = lists.select("values", "occurrences", "records").mapInArrow(_add_partition(container), _TRIES)
+    return _merged(found, subtree).drop("field")
 
 
 def marked_values(counts: DataFrame, n_records: int, rare: int = 1, common: float = 0.2) -> DataFrame:

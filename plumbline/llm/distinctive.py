@@ -1,4 +1,11 @@
-"""How distinctive a term is for a record: parsimonious language models."""
+"""How distinctive a term is for a record: parsimonious language models.
+
+Texts are cut once.  What is kept of them is a *model* per some thousand
+records: its different terms, and for each record which of these it holds how
+often.  Counts of the whole collection are joined to the terms of models, each
+of which has a term once however many of its records hold it; texts and pairs of
+record and term are never shuffled.
+"""
 
 from __future__ import annotations
 
@@ -6,42 +13,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import terms
-from plumbline.llm.burst import count_values
+from plumbline.llm.burst import sum_counts
 from plumbline.session import materialize
 
-#: At most so many terms, the most frequent, have their background probability broadcast; those of the others are joined.
-DICTIONARY = 500_000
+#: Terms that make up more than this share of all occurrences meet the models by a broadcast; there can't be more than its inverse of them.
+HOT_SHARE = 1 / 100_000
+#: A model ends after so many terms, counted with repeats, or at the end of its Arrow batch.
+MODEL = 2_000_000
 #: The share of a record's mass that is its own, and when a record has converged; without such a bound (0) there are ROUNDS rounds.
 OWN, CLOSE, ROUNDS = 0.1, 1e-4, 50
 
 
-def _hash(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-
-
-class Background:
-    """Occurrences and records of the frequent terms, and the total of all occurrences."""
-
-    def __init__(self, words: list[str], occurrences: np.ndarray, records: np.ndarray, total: int):
-        hashes = _hash(words)
-        by = np.argsort(hashes)
-        self.hashes, self.occurrences, self.records, self.total = hashes[by], occurrences[by], records[by], max(total, 1)
-
-    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences and records, 0 for terms that aren't in it."""
-        hashes = _hash(words)
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        found = self.hashes[at] == hashes
-        return np.where(found, self.occurrences[at], 0), np.where(found, self.records[at], 0)
-
-
 def own_mass(of: np.ndarray, n: int, counts: np.ndarray, background: np.ndarray, close: float | None = None) -> np.ndarray:
     """Expectation-maximisation for ``n`` records at once: the converged probability of each (record, term).
 
@@ -75,76 +62,99 @@ def own_mass(of: np.ndarray, n: int, counts: np.ndarray, background: np.ndarray,
     return out
 
 
-def _cut(cells: list[str | None] | None) -> list[str]:
-    return [t for cell in cells or [] for t in terms(cell)]
+_MODEL = pa.schema([
+    ("model", pa.int64()), ("values", pa.list_(pa.string())), ("occurrences", pa.list_(pa.int64())), ("records", pa.list_(pa.int64())),
+    ("keys", pa.list_(pa.string())), ("blob", pa.binary()),
+])
+_MODEL_SQL = "model bigint, values array<string>, occurrences array<bigint>, records array<bigint>, keys array<string>, blob binary"
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    small = [_narrow(a) for a in arrays]
+    head = np.array([len(small), *(v for a in small for v in (a.itemsize, len(a)))], np.int64)
+    return b"".join(x.tobytes() for x in (head, *small))
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    sizes = np.frombuffer(blob, np.int64, 2 * n, 8).tolist()
+    at, out = 8 + 16 * n, []
+    for width, length in zip(sizes[::2], sizes[1::2], strict=True):
+        out.append(np.frombuffer(blob, f"u{width}", length, at).astype(np.int64))
+        at += width * length
+    return out
 
 
-def _entries(keys: pa.Array, cells: list, known):
-    """The distinct terms of each record of a batch: (words, record, word, count)."""
-    found = [_cut(c) for c in cells]
+def _model(number: int, keys: list[str], found: list[list[str]]) -> tuple:
     coded = pa.array([t for f in found for t in f], pa.string()).dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = len(coded.dictionary)
     of = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    both, counts = np.unique(of * max(len(words), 1) + coded.indices.to_numpy(), return_counts=True)
-    return words, both // max(len(words), 1), both % max(len(words), 1), counts
-
+    both, counts = np.unique(of * words + coded.indices.to_numpy(), return_counts=True)
+    of, word = both // words, both % words
+    occurrences = np.bincount(word, counts, words).astype(np.int64)
+    return number, coded.dictionary.to_pylist(), occurrences.tolist(), np.bincount(word, minlength=words).tolist(), keys, _pack(np.bincount(of, minlength=len(found)), word, counts)
 
-_OUT = pa.schema([("key", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("records", pa.int64()), ("weight", pa.float64())])
 
+def _models(most: int):
+    """Rows (key, texts) to models; records without terms have no part in any."""
 
-def _weigh(known, min_count: int, max_records: int | None, top: int | None, close: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background = known.value
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            words, of, word, counts = _entries(batch.column(0), batch.column(1).to_pylist(), known)
-            if not len(of):
-                continue
-            occurrences, records = (x[word] for x in background.look_up(words))
-            missing = np.flatnonzero(occurrences == 0)
-            if len(missing):
-                joined = [{e["term"]: e for e in cell or []} for cell in batch.column(2).to_pylist()]
-                occurrences, records = occurrences.copy(), records.copy()
-                for i in missing:
-                    e = joined[of[i]][words[word[i]]]
-                    occurrences[i], records[i] = e["occurrences"], e["records"]
-            weight = own_mass(of, batch.num_rows, counts.astype(float), occurrences / background.total, close)
-            keep = counts >= min_count
-            if max_records is not None:
-                keep &= records <= max_records
-            kept = np.flatnonzero(keep)
-            if top is not None and len(kept):
-                rank = np.unique(words, return_inverse=True)[1] if words else np.empty(0, int)
-                by = kept[np.lexsort((rank[word[kept]], -np.round(weight[kept], 9), of[kept]))]
-                starts = np.flatnonzero(np.r_[True, of[by][1:] != of[by][:-1]])
-                place = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
-                kept = by[place < top]
-            for at in range(0, len(kept), 100_000):
-                part = kept[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(of[part])), pa.array(words, pa.string()).take(pa.array(word[part])), pa.array(counts[part]), pa.array(records[part]), pa.array(weight[part])],
-                    schema=_OUT,
-                )
+            keys: list[str] = []
+            found: list[list[str]] = []
+            size = 0
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for last, (key, cells) in enumerate(rows, 1):
+                cut = [t for cell in cells for t in terms(cell)]
+                if cut:
+                    keys.append(key)
+                    found.append(cut)
+                    size += len(cut)
+                if keys and (size >= most or last == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(_model(number, keys, found), _MODEL.types, strict=True)], schema=_MODEL)
+                    keys, found, size, number = [], [], 0, number + 1
 
     return run
 
 
-def _strangers(known):
-    """The terms of each record that aren't broadcast."""
+_OUT = pa.schema([("key", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("records", pa.int64()), ("weight", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, of, word, _ = _entries(batch.column(0), batch.column(1).to_pylist(), known)
-            if len(of):
-                part = np.flatnonzero(known.value.look_up(words)[0][word] == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[part])), pa.array(words, pa.string()).take(pa.array(word[part]))], names=["key", "term"])
+
+def _weigh(total: int, min_count: int, max_records: int | None, top: int | None, close: float):
+    def run(models: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        by = np.argsort(known.column("at").to_numpy(), kind="stable")
+        occurrences, records = (known.column(c).to_numpy()[by] for c in ("occurrences", "records"))
+        for keys, words, blob in zip(models.column("keys"), models.column("values"), models.column("blob"), strict=True):
+            spread, word, counts = _unpack(blob.as_py())
+            of = np.repeat(np.arange(len(spread)), spread)
+            weight = own_mass(of, len(spread), counts.astype(float), occurrences[word] / total, close)
+            keep = counts >= min_count
+            if max_records is not None:
+                keep &= records[word] <= max_records
+            held = np.flatnonzero(keep)
+            if top is not None and len(held):
+                rank = np.unique(words.as_py(), return_inverse=True)[1]
+                order = held[np.lexsort((rank[word[held]], -np.round(weight[held], 9), of[held]))]
+                starts = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
+                place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+                held = order[place < top]
+            out.append(pa.RecordBatch.from_arrays(
+                [keys.values.take(pa.array(of[held])), words.values.take(pa.array(word[held])), pa.array(counts[held]), pa.array(records[word[held]]), pa.array(weight[held])], schema=_OUT,
+            ))
+        return pa.Table.from_batches(out, _OUT)
 
     return run
 
 
 def distinctive_terms(
-    rows: DataFrame, key: str, texts: list[str], min_count: int = 1, max_records: int | None = None, top: int | None = None,
-    dictionary: int = DICTIONARY,
-) -> DataFrame:
+    rows: DataFrame, key: str, texts: list[str], min_count: int = 1, max_records: int | None = None, top: int | None = None
+) -> DataFrame:
     """``(key, term, n, records, weight)``: how characteristic each term is of its record.
 
     ``n`` is the term's count over all ``texts`` of the record, ``records`` the
@@ -154,30 +164,22 @@ def distinctive_terms(
     with ``n >= min_count`` and ``records <= max_records`` come out, of these
     the ``top`` heaviest of each record (ties by term) if that is given.
 
-    The background covers all rows.  It is broadcast if there are at most ``dictionary``
-    different terms; else only for terms that make up at least one in ``dictionary``
-    of all occurrences, again at most so many, and joined for the others, which are in few records each.
+    The background covers all rows and all terms.  Hot terms, at most the
+    inverse of ``HOT_SHARE``, meet the models by a broadcast, all others by a join.
 
     Null or empty texts have no terms, and records without terms no rows; rows
     with a null key are left out; repeated rows count as records of their own,
     each with its rows.  An empty table gives no rows.
     """
     cells = rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.array(*texts).alias("cells"))
-    counts = materialize(count_values(cells, {"cells": _cut}).drop("field"), "background")
-    sums = counts.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("n"), F.count("*").alias("m")).first()
-    often = F.lit(True) if sums["m"] <= dictionary else F.col("occurrences") * dictionary >= sums["n"]
-    frequent = counts.filter(often).toArrow()
-    words, occurrences, records = (frequent.column(c) for c in ("value", "occurrences", "records"))
-    known = rows.sparkSession.sparkContext.broadcast(
-        Background(words.to_pylist(), occurrences.to_numpy(), records.to_numpy(), sums["n"])
-    )
-    extra = "array<struct<term string, occurrences bigint, records bigint>>"
-    if frequent.num_rows < sums["m"]:
-        rest = counts.filter(~often).withColumnRenamed("value", "term")
-        strange = cells.mapInArrow(_strangers(known), "key string, term string").join(rest, "term")
-        strange = strange.groupBy("key").agg(F.collect_set(F.struct("term", "occurrences", "records")).alias("extra"))
-        cells = cells.join(strange, "key", "left")
-    else:
-        cells = cells.withColumn("extra", F.lit(None).cast(extra))
-    found = cells.mapInArrow(_weigh(known, min_count, max_records, top, CLOSE), "key string, term string, n bigint, records bigint, weight double")
-    return found.withColumnRenamed("key", key)
+    models = materialize(cells.mapInArrow(_models(MODEL), _MODEL_SQL), "models")
+    counts = materialize(sum_counts(models).withColumnRenamed("value", "word"), "background")
+    total = counts.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col("occurrences") > total * HOT_SHARE
+    asked = models.select(F.col("model").alias("of"), F.posexplode("values").alias("at", "word"))
+    met = asked.join(F.broadcast(counts.filter(hot)), "word", "left")
+    met = met.filter("occurrences is not null").unionByName(met.filter("occurrences is null").select("of", "at", "word").join(counts.filter(~hot), "word"))
+    known = met.select("of", "at", "occurrences", "records").groupBy("of")
+    found = models.select("model", "values", "keys", "blob").groupBy("model").cogroup(known)
+    out = found.applyInArrow(_weigh(max(total, 1), min_count, max_records, top, CLOSE), "key string, term string, n bigint, records bigint, weight double")
+    return out.withColumnRenamed("key", key)

@@ -75,6 +75,23 @@ def test_counts_equal_brute_force(spark, subtree):
     assert burst.count_values(df.limit(0), {"a": terms}).count() == 0
 
 
+def test_long_common_prefixes_are_split(spark):
+    """A million values of one 30-character prefix: no task merges all of them."""
+    from plumbline.session import materialize
+
+    prefix = "https://example.org/a/b/c/d/e/"
+    df = spark.range(1_000_000, numPartitions=8).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("v"), (F.col("id") % 3).alias("part"))
+    counts = materialize(burst.count_values(df, {"v": lambda v: [v]}).withColumn("task", F.spark_partition_id()), "test")
+    assert counts.agg(F.count("*"), F.count_distinct("value"), F.min("records"), F.max("occurrences")).first()[:] == (1_000_000, 1_000_000, 1, 1)
+    routed = burst._route({"v": {prefix[:i]: 5 if i == burst.DEPTH else 1 for i in range(burst.DEPTH + 1)}})
+    import pyarrow as pa
+
+    leaf = [("v", prefix, 100, burst._pack({str(i): [1, 1] for i in range(100)}))]
+    got = [r for b in routed([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*leaf), burst._LEAF.types)], schema=burst._LEAF)]) for r in b.to_pylist()]
+    assert {r["part"] for r in got} == set(range(5)) and {r["path"] for r in got} == {prefix[: burst.DEPTH + 1]}
+    assert {r["path"] + s for r in got for s, _, _ in burst._unpack(r["blob"])} == {f"{prefix}{i}" for i in range(100)}
+
+
 def test_marks(spark):
     counts = spark.createDataFrame([("a", "x", 5, 1), ("a", "y", 9, 2), ("a", "z", 9, 20)], "field string, value string, occurrences long, records long")
     assert {r.value: r.mark for r in burst.marked_values(counts, 100).collect()} == {"x": "rare", "y": None, "z": "common"}
@@ -93,23 +110,25 @@ def _model(rows, total):
     return out
 
 
-@pytest.mark.parametrize("dictionary", [5, 500_000])
-def test_distinctive_terms_equal_a_plain_model(spark, monkeypatch, dictionary):
+@pytest.mark.parametrize(("hot", "model"), [(0.05, 40), (1 / 100_000, 2_000_000), (1.0, 1)])
+def test_distinctive_terms_equal_a_plain_model(spark, monkeypatch, hot, model):
     monkeypatch.setattr(distinctive, "CLOSE", 0.0)
+    monkeypatch.setattr(distinctive, "HOT_SHARE", hot)
+    monkeypatch.setattr(distinctive, "MODEL", model)
     rng = random.Random(6)
     rows = {f"r{i}": [rng.choice(["the", "of", "a", "sea", f"rare{rng.randrange(60)}"]) for _ in range(rng.randint(1, 30))] for i in range(60)}
     data = [(k, " ".join(w[:2]), " ".join(w[2:]), "x", 1) for k, w in rows.items()] + [("none", None, None, "x", 1), ("empty", "", "", "x", 1), (None, "the", "the", "x", 1)]
     df = spark.createDataFrame(data, "id string, title string, description string, term string, n int").repartition(3)
-    got = {(r.id, r.term): r for r in distinctive.distinctive_terms(df, "id", ["title", "description"], dictionary=dictionary).collect()}
+    got = {(r.id, r.term): r for r in distinctive.distinctive_terms(df, "id", ["title", "description"]).collect()}
     every = Counter(w for ws in rows.values() for w in ws)
     records = Counter(w for ws in rows.values() for w in set(ws))
     want = _model(rows, {w: n / sum(every.values()) for w, n in every.items()})
     assert got.keys() == want.keys()
     for (key, word), r in got.items():
         assert r.weight == pytest.approx(want[key, word], abs=1e-6) and (r.n, r.records) == (rows[key].count(word), records[word])
-    top = distinctive.distinctive_terms(df, "id", ["title", "description"], top=2, dictionary=dictionary).collect()
+    top = distinctive.distinctive_terms(df, "id", ["title", "description"], top=2).collect()
     assert all(sum(1 for r in top if r.id == k) == min(2, len(set(w))) for k, w in rows.items())
-    kept = distinctive.distinctive_terms(df, "id", ["title", "description"], min_count=3, max_records=5, dictionary=dictionary).collect()
+    kept = distinctive.distinctive_terms(df, "id", ["title", "description"], min_count=3, max_records=5).collect()
     assert {(r.id, r.term) for r in kept} == {k for k, r in got.items() if r.n >= 3 and r.records <= 5}
 
 
