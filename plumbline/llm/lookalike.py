@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -60,14 +60,14 @@ def _segment(text: str) -> str:
 
 @cache
 def _unstable() -> re.Pattern[str]:
-    """Matches maximal segments that may change, with the character before them as context.
+    """Matches maximal segments that may change.
 
     A character belongs in there if it fails the quick check for NFC (not
     normalized alone, a combining mark, or one that can compose with what
     stands before it) or if its own canonical form is another string.
     """
     runs: list[list[int]] = []
-    for cp in [*range(0x80, 0xD800), *range(0xE000, 0x1FB00), *range(0xE0100, 0xE01F0)]:
+    for cp in [*range(0x80, 0xD800), *range(0xE000, 0x10000)]:
         ch = chr(cp)
         stable = unicodedata.is_normalized("NFC", ch) and not unicodedata.category(ch).startswith("M") and _segment(ch) == ch
         if stable and not 0x1160 <= cp <= 0x11FF:  # the second and third parts of Hangul syllables compose
@@ -76,15 +76,28 @@ def _unstable() -> re.Pattern[str]:
             runs[-1][1] = cp
         else:
             runs.append([cp, cp])
+    runs.append([0x10000, 0x10FFFF])  # few texts have any of these, and one range is found quicker than many
     inside = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
-    return re.compile(f"(?s:.)?[{inside}]+")
+    return re.compile(f"[{inside}]+")
+
+
+_short_segment = lru_cache(maxsize=1 << 16)(_segment)
 
 
 def canonical(text: str | None) -> str | None:
     """The form that all texts looking like ``text`` share; null stays null."""
     if not text or text.isascii():
         return text
-    changed = _unstable().sub(lambda m: _segment(m.group()), text)
+    parts, at = [], 0
+    for m in _unstable().finditer(text):
+        # The character before a segment is its context: a mark may compose with it.
+        begin, end = max(m.start() - 1, at), m.end()
+        parts += (text[at:begin], (_short_segment if end - begin < 16 else _segment)(text[begin:end]))
+        at = end
+    if not at:
+        return text
+    parts.append(text[at:])
+    changed = "".join(parts)
     # Removing an invisible character can bring a mark next to a new base.
     return changed if unicodedata.is_normalized("NFC", changed) else canonical(unicodedata.normalize("NFC", changed))
 
