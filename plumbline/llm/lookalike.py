@@ -2,7 +2,7 @@
 
 ``canonical`` removes invisible characters, makes every single blank a plain
 one, folds full and half width, composes accents (NFC) and replaces look-alike
-Greek and Cyrillic letters by their Latin ones.  Letter case, the presence of
+Greek and Cyrillic letters by their Latin ones; letters of other scripts stay.  Letter case, the presence of
 accents, punctuation and the number of blanks stay as they are.
 
 The Unicode quick-check properties tell which characters can be part of an
@@ -20,25 +20,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from plumbline.operators.joins import join_by_heat
 from plumbline.session import materialize
 
 # Letters that look like a Latin one, by script.
 LOOK_ALIKES = (
     # Cyrillic
-    ("АВЕЅІЈКМНОРСТУҮХԌԚԜҺӀ", "ABESIJKMHOPCTYYXGQWhI"),
-    ("аеѕіјорсухԁԛԝһүӏ", "aesijopcyxdqwhyl"),
+    ("АВЕЅІЈКМНОРСТУҮХԌԚԜӀѴ", "ABESIJKMHOPCTYYXGQWIV"),
+    ("аеѕіјорсухԁԛԝһүӏѵ", "aesijopcyxdqwhylv"),
     # Greek
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),
     ("αιονρυϲϳ", "aiovpucj"),
     # Latin letters made for phonetics
     ("ɑɡɩ", "agi"),
 )
-# Characters without any width, and blanks that are as wide as one.
-INVISIBLE = "­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿"
-BLANKS = "   -   　"
+# Characters that aren't seen (joiners, marks of direction, selectors of variants, tags, fillers), and blanks as wide as one.
+INVISIBLE = (
+    r"\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0"
+    r"\U000e0000-\U000e0fff"
+)
+BLANKS = r"\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 
 #: A key of a join takes about so many rows of either side.
 BLOCK = 1024
+#: Variants of more than this share of the texts are hot; there can't be more than its inverse of them.
+HOT_SHARE = 1 / 1000
 
 _LATIN = str.maketrans({a: b for seen, latin in LOOK_ALIKES for a, b in zip(seen, latin, strict=True)})
 _GONE = re.compile(f"[{INVISIBLE}]")
@@ -118,34 +124,36 @@ def _canonical_batch(texts: pa.Array) -> pa.Array:
 _canonical = F.arrow_udf(_canonical_batch, StringType())
 
 
-def look_alike_pairs(df: DataFrame, key: str, text: str, expand: int | None = None) -> DataFrame:
+def look_alike_pairs(df: DataFrame, key: str, text: str, expand: int = 16) -> DataFrame:
     """``(a, b)``, a < b: keys of different texts that look the same.
 
-    Null and empty texts take no part.  Equal texts are one variant, stood for
-    by its smallest key.  All variants of one look are paired; only if ``expand``
-    is given is each variant of a look with more than that many paired with the
-    smallest alone.  Of a pair of variants every
-    key is given with the smallest key of the other, so each link between
-    different texts is there and copies aren't multiplied.  A repeated key
-    counts once; an empty table gives no rows.
+    Null and empty texts take no part.  Equal texts are copies of one variant,
+    and all pairs of keys of different variants of a look come out.  Only
+    copies are abbreviated: of a variant with more than ``expand`` of them all
+    but the smallest key are paired with every key but such copies of other
+    variants, so each link between different texts is there and copies of
+    copies aren't multiplied.  A repeated key counts once; an empty table gives
+    no rows.
 
-    Only 128-bit hashes are shuffled, never texts.  The keys and the variants
-    of a look are joined in blocks of about ``BLOCK`` by ``BLOCK``.
+    Only 128-bit hashes are shuffled, never texts.  The keys of a look are
+    joined in blocks of about ``BLOCK`` by ``BLOCK``.
     """
     seen = df.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), F.col(text).alias("t"))
     seen = seen.select("k", "t", canonical_column(F.col("t")).alias("c"))
     both = [F.xxhash64(*x).alias(n) for n, x in (("c1", ["c"]), ("c2", [F.lit("c"), "c"]), ("t1", ["t"]), ("t2", [F.lit("t"), "t"]))]
     seen = materialize(seen.select("k", *both), "look")
-    variants = seen.groupBy("c1", "c2", "t1", "t2").agg(F.min("k").alias("rep"), F.count("*").alias("keys"))
-    looks = variants.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.sum("keys").alias("keys"), F.min("rep").alias("head")).filter("n > 1")
-    parts = [F.ceil(F.col(n) / BLOCK).cast("int").alias(f"{n}_parts") for n in ("n", "keys")]
-    known = materialize(variants.drop("keys").join(looks.select("c1", "c2", "n", "head", *parts), ["c1", "c2"]), "variants")
-    every = seen.join(known, ["c1", "c2", "t1", "t2"]).withColumn("at", F.pmod(F.xxhash64("k"), "keys_parts").cast("int"))
-    every = every.select("c1", "c2", "t1", "t2", "k", "rep", "n", "head", "at", F.explode(F.expr("sequence(0, n_parts - 1)")).alias("by"))
-    other = known.withColumn("by", F.pmod("t1", "n_parts").cast("int"))
-    other = other.select("c1", "c2", F.col("t1").alias("o1"), F.col("t2").alias("o2"), F.col("rep").alias("o"), "by", F.explode(F.expr("sequence(0, keys_parts - 1)")).alias("at"))
-    # Of two smallest keys only the greater is given with the other.
-    pairs = every.join(other, ["c1", "c2", "at", "by"]).filter("(t1 <> o1 or t2 <> o2) and k <> o and (k <> rep or k > o)")
-    if expand is not None:
-        pairs = pairs.filter((F.col("n") <= expand) | (F.col("rep") == F.col("head")) | (F.col("o") == F.col("head")))
+    look, variant = ["c1", "c2"], ["c1", "c2", "t1", "t2"]
+    variants = seen.groupBy(*variant).agg(F.min("k").alias("rep"), F.count("*").alias("keys"))
+    variants = materialize(variants.withColumn("few", F.col("keys") <= expand), "variants")
+    counted = variants.agg(F.coalesce(F.sum("keys"), F.lit(0)).alias("n")).first()["n"]
+    looks = variants.groupBy(*look).agg(F.count("*").alias("n"), F.sum("keys").alias("all"), F.sum(F.when(F.col("few"), F.col("keys")).otherwise(1)).alias("full")).filter("n > 1")
+    parts = [F.ceil(F.col(n) / BLOCK).cast("int").alias(f"{n}_parts") for n in ("all", "full")]
+    known = materialize(variants.join(looks.select(*look, *parts), look), "looks")
+    placed = join_by_heat(seen, known, variant, F.col("keys") > counted * HOT_SHARE).withColumn("is_full", F.col("few") | (F.col("k") == F.col("rep")))
+    placed = materialize(placed.select(*variant, "k", "is_full", "all_parts", "full_parts"), "placed")
+    at, by = (F.pmod(F.xxhash64("k"), n).cast("int") for n in ("all_parts", "full_parts"))
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = placed.select(*variant, "k", "is_full", at.alias("at"), span("full_parts").alias("by"))
+    other = placed.filter("is_full").select(*look, F.col("t1").alias("o1"), F.col("t2").alias("o2"), F.col("k").alias("o"), by.alias("by"), span("all_parts").alias("at"))
+    pairs = every.join(other, [*look, "at", "by"]).filter("(t1 <> o1 or t2 <> o2) and (k < o or (not is_full and k <> o))")
     return pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()

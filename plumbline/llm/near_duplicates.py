@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import terms
 from plumbline.llm.components import components
 from plumbline.operators.current import FILE, ROW, bitmaps, kept
+from plumbline.operators.joins import join_by_heat
 from plumbline.session import materialize
 
 #: At most so many terms have their frequency broadcast: those that fill at least this fraction of all sets' places.
@@ -404,11 +405,8 @@ def classes(rows: DataFrame, key: str, texts: list[str], counted: int, least_ter
     many = firsts.filter("n > 1").select("h1", "h2", F.col("r.id").alias("head"), F.col("r.rec").alias("rec"), "n", F.col("r.whole").alias("first"))
     # The other rows of a class; those of hot classes find it without a shuffle.
     others = kept(placed.select("h1", "h2", "id", "whole", FILE, ROW), heads, marked=False).select("h1", "h2", "id", "whole")
-    hot = F.col("n") > total * HOT_SHARE
-    met = others.join(F.broadcast(many.filter(hot)), ["h1", "h2"], "left")
-    cold = met.filter("head is null").select(*others.columns).join(many.filter(~hot), ["h1", "h2"])
-    every = [x.select("rec", "head", "id", "n", "whole") for x in (met.filter("head is not null"), cold, many.select("rec", "head", F.col("head").alias("id"), "n", F.col("first").alias("whole")))]
-    members = materialize(every[0].unionByName(every[1]).unionByName(every[2]), "members")
+    met = join_by_heat(others, many, ["h1", "h2"], F.col("n") > total * HOT_SHARE).select("rec", "head", "id", "n", "whole")
+    members = materialize(met.unionByName(many.select("rec", "head", F.col("head").alias("id"), "n", F.col("first").alias("whole"))), "members")
     size = lambda rec, n: many.select(F.col("rec").alias(rec), F.col("n").alias(n))
     sized = links.join(size("a", "na"), "a", "left").join(size("b", "nb"), "b", "left").fillna(1, ["na", "nb"])
     return Classes(members, materialize(sized, "linked"))

@@ -41,13 +41,27 @@ def test_look_alike_pairs(spark):
     rows = [(1, "Café noir"), (2, "Café noir"), (3, "Café noir"), (4, "Café noir"), (5, "cafe noir"), (6, None), (7, ""), (8, "​"), (9, "­"), (9, "­")]
     df = spark.createDataFrame([(*r, 0, "c") for r in rows], "doc_id long, text string, c1 int, k string")
     got = {tuple(r) for r in look_alike_pairs(df, "doc_id", "text").collect()}
-    assert got == {(1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (8, 9)}
-    star = {tuple(r) for r in look_alike_pairs(df, "doc_id", "text", expand=2).collect()}
-    assert star == {(1, 2), (1, 3), (2, 4), (3, 4), (8, 9)}
+    shown = {k: t for k, t in rows if t}
+    pairs = {p for p in itertools.combinations(sorted(shown), 2) if shown[p[0]] != shown[p[1]] and canonical(shown[p[0]]) == canonical(shown[p[1]])}
+    assert got == pairs and len(pairs) > 4
+    few = {tuple(r) for r in look_alike_pairs(df, "doc_id", "text", expand=1).collect()}
+    assert few == {p for p in pairs if not all(any(shown[o] == shown[k] and o < k for o in shown) for k in p)}
     assert look_alike_pairs(df.limit(0), "doc_id", "text").count() == 0
     assert [r.canonical for r in with_canonical(df, "text").orderBy("doc_id").limit(3).collect()] == ["Café noir"] * 3
 
 
+@pytest.mark.parametrize("gone", ["\u200d", "\ufe0f", "\U000e0101", "\U000e0041", "\u3164", "\u2064"])
+def test_invisible_characters(gone):
+    assert canonical(f"a{gone}b") == "ab" and canonical(gone) == "" and canonical(f"e{gone}\u0301") == "\u00e9"
+
+
+def test_copies_of_two_variants_are_paired_with_each_other(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "HOT_SHARE", 0.1)
+    rows = [(i, "noir") for i in range(5)] + [(i, "nоir") for i in range(5, 9)] + [(i, f"text {i}") for i in range(20, 60)]
+    df = spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, few boolean")
+    assert sorted(map(tuple, look_alike_pairs(df, "doc_id", "text").collect())) == [(a, b) for a in range(5) for b in range(5, 9)]
+
+
 @pytest.mark.parametrize("block", [3, 1024])
 def test_all_variants_of_a_look_are_paired(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(lookalike, "BLOCK", block, raising=False)
