@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from plumbline.session import materialize
 
-ROUNDS = 100
-
-
 def _directed(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
 
@@ -29,8 +26,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Links with a null end are left out; loops make components of one node; repeated links don't matter;
     an empty table gives no rows.  Each round is written, and only the number
-    of its links and their sums come to the driver.  The number of rounds grows
-    with the logarithm of the longest path.
+    of its links and their sums come to the driver.  Rounds go on until one
+    changes nothing; their number grows with the logarithm of the longest path.
+
+    A node's links meet its least neighbour in a join by the node; the side of
+    many rows for a hub with very many links is left to Spark's skew join
+    (``spark.sql.adaptive.skewJoin.enabled``, on by default), which splits it over
+    tasks, as the other side has one row for each node.
     """
     kind = dict(links.dtypes)[a]
     given = links.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
@@ -38,7 +40,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = materialize(_directed(given), "edges")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(edges)
-    for _ in range(ROUNDS):
+    while True:
         edges = materialize(_star(_star(edges, True), False), "edges")
         after = mark(edges)
         if after == before:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import join_by_heat
 from plumbline.operators.ordinals import running_totals
 from plumbline.session import materialize
 
@@ -24,11 +25,23 @@ def _ranks(rows: DataFrame, name: str, total: int, higher: bool) -> DataFrame:
         "ranks",
     )
     # A hot value has its rows joined without a shuffle; the others can't make a large group.
-    hot = F.col("__n") > total * HOT_SHARE
-    held = rows.withColumn("__v", F.col(name))
-    joined = held.join(F.broadcast(ranked.filter(hot)), "__v", "left")
-    cold = joined.filter(F.col("__n").isNull()).select(*held.columns).join(ranked.filter(~hot), "__v")
-    return joined.filter(F.col("__n").isNotNull()).unionByName(cold).drop("__v", "__n")
+    return join_by_heat(rows.withColumn("__v", F.col(name)), ranked, ["__v"], F.col("__n") > total * HOT_SHARE).drop("__v", "__n")
+
+
+def first_component(correlation: np.ndarray) -> np.ndarray:
+    """The loadings of the first principal component of scores that are oriented so that more is better.
+
+    Of several components with the greatest variance (uncorrelated scores) it is
+    the one nearest to equal loadings.  The component as a whole is turned so
+    that its loadings sum to more than 0; if they sum to 0, so that the first one
+    that isn't 0 is positive.
+    """
+    values, vectors = np.linalg.eigh(correlation)
+    space = vectors[:, values > values[-1] - 1e-9]
+    nearest = space @ space.sum(axis=0)
+    if np.abs(nearest).max() < 1e-9:
+        nearest = space[:, 0] * np.sign(space[np.flatnonzero(np.abs(space[:, 0]) > 1e-9)[0], 0])
+    return nearest / np.linalg.norm(nearest)
 
 
 def combined_ranking(rows: DataFrame, key: str, scores: Mapping[str, int]) -> DataFrame:
@@ -41,9 +54,12 @@ def combined_ranking(rows: DataFrame, key: str, scores: Mapping[str, int]) -> Da
     of its ties over the number of rows, 1 the best), ``projection``,
     ``position`` (from 1; equal projections by key) and ``ranked``, the number of rows.
 
-    The correlation matrix of the ranks is one distributed aggregation.  The
-    first eigenvector's loadings get the signs of the declared directions, so a
-    score never counts against its direction; scores without variation get
+    The correlation matrix of the ranks, which are 1 for the best in the
+    declared direction, is one distributed aggregation; see ``first_component``
+    for its orientation.  Where scores disagree, the first component is the contrast
+    between them, and a score then counts against its direction: of two scores with a
+    negative correlation the second does.  That is what the component is; such
+    scores have no common order to be found.  Scores without variation get
     loading 0 unless all have none, in which case all are equal.  An empty
     table gives no rows; repeated rows each have a position.
     """
@@ -63,9 +79,9 @@ def combined_ranking(rows: DataFrame, key: str, scores: Mapping[str, int]) -> Da
         cov[names.index(a), names.index(b)] = cov[names.index(b), names.index(a)] = got[i] or 0.0
     spread = np.sqrt(np.diag(cov))
     scale = np.where(spread > 0, spread, 1.0)
-    loadings = np.abs(np.linalg.eigh(cov / np.outer(scale, scale))[1][:, -1])
-    if not spread.any():
-        loadings = np.full(len(names), 1 / np.sqrt(len(names)))
+    vary = np.flatnonzero(spread > 0) if spread.any() else np.arange(len(names))
+    loadings = np.zeros(len(names))
+    loadings[vary] = first_component((cov / np.outer(scale, scale))[np.ix_(vary, vary)])
     projection = sum((F.col(f"rank_{n}") - 0.5) * float(w / s) for n, w, s in zip(names, loadings, scale, strict=True))
     placed = kept.withColumn("projection", F.round(projection, 9)).withColumn("__one", F.lit(1))
     placed = running_totals(placed, [F.desc("projection"), F.asc(key)], "__one", "position")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from plumbline.llm.ranking import combined_ranking
+from plumbline.llm.ranking import combined_ranking, first_component
 from plumbline.llm.topn import top_n
 
 
@@ -22,13 +22,38 @@ def test_ranking(spark):
     order = sorted(got.values(), key=lambda r: r.position)
     assert [r.position for r in order] == list(range(1, 401)) and {r.ranked for r in order} == {400}
     assert all((-a.projection, a.id) <= (-b.projection, b.id) for a, b in zip(order, order[1:]))
-    # The projection is the first principal component of the standardized ranks.
+    # The projection is the first principal component of the standardized ranks, here a contrast as they disagree a little.
     ranks = np.array([[r.rank_rating, r.rank_popularity] for r in order])
     first = np.linalg.eigh(np.corrcoef(ranks.T))[1][:, -1]
-    want = ((ranks - 0.5) / ranks.std(axis=0)) @ np.abs(first)
+    want = ((ranks - 0.5) / ranks.std(axis=0)) @ (first * np.sign(first[0]))
     assert np.allclose([r.projection for r in order], want, atol=1e-6)
 
 
+def test_scores_that_disagree(spark):
+    rng = random.Random(4)
+    rows = [(f"r{i:03d}", float(i), -i + rng.randint(0, 20)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, a double, b long")
+    got = combined_ranking(df, "id", {"a": 1, "b": 1}).collect()
+    ranks = np.array([[r.rank_a, r.rank_b] for r in got])
+    values, vectors = np.linalg.eigh(np.corrcoef(ranks.T))
+    first = vectors[:, -1] * np.sign(vectors[0, -1])
+    assert first[0] > 0 > first[1] and values[-1] > 1.9
+    projection = np.array([r.projection for r in got])
+    assert np.allclose(projection, ((ranks - ranks.mean(axis=0)) / ranks.std(axis=0)) @ first, atol=1e-6)
+    assert abs(projection.var() - values[-1]) < 1e-6  # the variance of the first component, not of the last
+    turned = combined_ranking(df, "id", {"a": 1, "b": -1}).collect()
+    assert max(turned, key=lambda r: r.projection).a > 190
+
+
+def test_orientation_of_the_first_component():
+    half = np.sqrt(0.5)
+    assert np.allclose(first_component(np.array([[1, 0.3], [0.3, 1]])), [half, half])
+    assert np.allclose(first_component(np.array([[1, -0.3], [-0.3, 1]])), [half, -half])
+    assert np.allclose(first_component(np.eye(2)), [half, half]) and np.allclose(first_component(np.eye(3)), np.full(3, 3**-0.5))
+    mixed = first_component(np.array([[1, 0.9, -0.8], [0.9, 1, -0.7], [-0.8, -0.7, 1]]))
+    assert mixed[0] > 0 and mixed[1] > 0 > mixed[2]
+
+
 def test_directions_and_flat_scores(spark):
     df = spark.createDataFrame([("a", 1.0, 9, 4), ("b", 2.0, 8, 4), ("c", 3.0, 7, 4)], "id string, up double, down int, flat int")
     got = combined_ranking(df, "id", {"up": 1, "down": -1, "flat": 1}).orderBy("position").collect()
@@ -51,6 +76,18 @@ def test_top_n_equals_sorting(spark):
     assert top_n(df.filter(F.lit(False)), "genre", "popularity", "id", 5).count() == 0
 
 
+def test_top_n_of_other_types(spark):
+    from datetime import date
+    from decimal import Decimal
+
+    df = spark.createDataFrame([("g", 4.2, "a"), ("g", 4.9, "b"), ("g", 4.5, "c"), ("g", float("nan"), "d"), ("h", -0.0, "b"), ("h", 0.0, "c"), ("h", 0.0, "a"), ("h", None, "e")], "g string, s double, i string")
+    got = [tuple(r) for r in top_n(df, "g", "s", "i", 2).orderBy("g", "rank").collect()]
+    assert got == [("g", "b", 4.9, 1), ("g", "c", 4.5, 2), ("h", "a", 0.0, 1), ("h", "b", 0.0, 2)]
+    for kind, values in (("decimal(20,3)", [Decimal("1.001"), Decimal("1.002")]), ("date", [date(2000, 1, 1), date(2001, 1, 1)]), ("smallint", [1, 2])):
+        df = spark.createDataFrame([("g", v, str(v)) for v in values], f"g string, s {kind}, i string")
+        assert [tuple(r) for r in top_n(df, "g", "s", "i", 1).collect()] == [("g", str(values[1]), values[1], 1)]
+
+
 def test_top_n_in_many_folds(spark, monkeypatch):
     from plumbline.llm import topn
 
