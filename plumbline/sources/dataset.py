@@ -1,134 +1,119 @@
-"""A deterministic synthetic corpus of film-like records, and a mix of queries over it.
+"""A deterministic synthetic corpus of catalogue records, and a mix of queries over it.
 
-The same seed and size always give the same rows.  All texts are assembled from
-the word lists below.
+The same seed and size always give the same rows.  Words are made of syllables;
+how often each of them stands follows a power law, so that a few are in nearly
+every record and most are in few, as in natural text.
 """
 
 from __future__ import annotations
 
 import math
+import random
+import string
+from bisect import bisect
 from dataclasses import dataclass
+from itertools import accumulate
 
-from plumbline.functions.text import capitalize, terms
+from plumbline.functions.text import terms
 
-_U32 = 0xFFFFFFFF
+_MASK = (1 << 32) - 1
 
 
-def _turn(x: int, k: int) -> int:
-    return (x << k | x >> (32 - k)) & _U32
+class Xoshiro(random.Random):
+    """xoshiro128**, seeded by splitmix32, under the standard library's distributions."""
 
-
-class Rng:
-    """xoshiro128** seeded by splitmix32."""
-
-    def __init__(self, seed: int):
-        self.state = []
-        x = seed & _U32
+    def seed(self, a: int = 0, version: int = 2) -> None:
+        # The constants of splitmix32 and the rotations of xoshiro128**.
+        words, x = [], int(a)
         for _ in range(4):
-            # The constants of splitmix32.
-            x = (x + 0x9E3779B9) & _U32
-            z = ((x ^ x >> 16) * 0x21F0AAAD) & _U32
-            z = ((z ^ z >> 15) * 0x735A2D97) & _U32
-            self.state.append(z ^ z >> 15)
-        if not any(self.state):
-            self.state[0] = 1
-
-    def bits(self) -> int:
-        a, b, c, d = self.state
-        out = _turn(b * 5 & _U32, 7) * 9 & _U32
-        c, d = c ^ a, d ^ b
-        self.state = [a ^ d, b ^ c, c ^ (b << 9 & _U32), _turn(d, 11)]
+            x += 0x9E3779B9
+            z = x & _MASK
+            for shift, factor in ((16, 0x21F0AAAD), (15, 0x735A2D97)):
+                z = (z ^ z >> shift) * factor & _MASK
+            words.append(z ^ z >> 15)
+        self._words = words if any(words) else [1, 0, 0, 0]
+
+    def _next(self) -> int:
+        turned = lambda x, k: (x << k | x >> 32 - k) & _MASK
+        w0, w1, w2, w3 = self._words
+        out = turned(w1 * 5 & _MASK, 7) * 9 & _MASK
+        w2, w3 = w2 ^ w0, w3 ^ w1
+        self._words = [w0 ^ w3, w1 ^ w2, w2 ^ (w1 << 9 & _MASK), turned(w3, 11)]
         return out
 
     def random(self) -> float:
-        return self.bits() / 2**32
+        return self._next() * 2.0**-32
 
-    def integer(self, low: int, high: int) -> int:
-        return low + int(self.random() * (high - low + 1))
+    def getrandbits(self, k: int) -> int:
+        out = 0
+        for _ in range(-(-k // 32)):
+            out = out << 32 | self._next()
+        return out >> -k % 32
 
-    def chance(self, p: float) -> bool:
-        return self.random() < p
 
-    def pick(self, items):
-        return items[int(self.random() * len(items))]
+CLASSES = "Almanac Ballad Chronicle Diary Elegy Fable Guide Hymn Idyll Journal Lament Memoir Novella Ode Parable Riddle Saga Treatise".split()
+_JOINING = "the of and with from that under"
+_ONSETS, _NUCLEI, _CODAS = "b br c d f g gr h j l m n p r s st t tr v w".split(), "a e i o u ai ea ou é ø".split(), " n r l s t nd rk st".split(" ")
+#: Different words, tokens of a record (title and description), and the power by which a word's frequency falls with its rank.
+WORDS, LENGTH, FALL = 1_250, 38, 1.05
 
-    def sample(self, items, k: int) -> list:
-        pool, out = list(items), []
-        while pool and len(out) < k:
-            at = int(self.random() * len(pool))
-            pool[at], pool[-1] = pool[-1], pool[at]
-            out.append(pool.pop())
-        return out
 
-    def normal(self, mean: float = 0.0, spread: float = 1.0) -> float:
-        u = 0.0
-        while u == 0.0:
-            u = self.random()
-        return mean + spread * math.sqrt(-2 * math.log(u)) * math.cos(2 * math.pi * self.random())
+class Vocabulary:
+    def __init__(self, rng: random.Random, size: int = WORDS):
+        found = dict.fromkeys(_JOINING.split())
+        while len(found) < size:
+            found["".join(rng.choice(part) for _ in range(rng.choice((1, 2, 2, 3))) for part in (_ONSETS, _NUCLEI, _CODAS))] = None
+        self.words = list(found)
+        self.ends = list(accumulate((rank + 3) ** -FALL for rank in range(size)))
 
+    def draw(self, rng: random.Random) -> str:
+        return self.words[bisect(self.ends, rng.random() * self.ends[-1], hi=len(self.words) - 1)]
 
-GENRES = "Action Adventure Comedy Crime Drama Fantasy History Horror Musical Mystery Romance Sci-Fi Sport Thriller War Western".split()
-_KINDS = "amber brittle crooked distant eager faded gentle hollow idle jagged keen lonely mellow narrow odd pale quiet restless silver tangled uneven vivid weary young".split()
-_THINGS = "anchor bridge candle doorway engine ferry garden harbour island journal kettle ladder mirror notebook orchard piano quarry river shadow tower umbrella valley window yard".split()
-_PLACES = "Arlen Brookmere Castellan Dunmoor Eastvale Fennwick Galway Hollin Ivrea Jutland Kestrel Lorne Marrow Northby".split()
-_NAMES = "Ada Béla Chloé Dmitri Elif Søren Zoë Ravi Noor Íris Łukasz Yuki".split()
-_WORK = "baker cartographer diver editor falconer gardener judge locksmith nurse pilot surveyor teacher weaver".split()
-_DEEDS = ("find a missing {}", "sell the last {}", "repair an old {}", "hide a stolen {}", "trade a {} for a {}", "guard a {} until dawn", "return the {} to its owner")
-_WHILE = ("before winter comes", "while the river rises", "with no money left", "against the mayor’s orders", "under a borrowed name", "in a single night")
-_TITLES = ("The {kind} {thing}", "{thing} of {place}", "{kind} {thing}s", "{thing} and {other}", "The Last {thing}", "{name}’s {thing}", "{thing}: A {other} Story", "{kind}{thing}", "A {thing} in {place}", "{name} {thing}")
+    def rare(self, rng: random.Random) -> str:
+        return self.words[rng.randrange(len(_JOINING.split()), len(self.words))]
 
 
-def _title(rng: Rng) -> str:
-    words = {
-        "kind": capitalize(rng.pick(_KINDS)), "thing": capitalize(rng.pick(_THINGS)), "other": capitalize(rng.pick(_THINGS)),
-        "place": rng.pick(_PLACES), "name": rng.pick(_NAMES),
-    }
-    return rng.pick(_TITLES).format(**words)
+def _heading(rng: random.Random, known: Vocabulary) -> str:
+    """Two to four words; now and then two of them are joined, with a capital inside."""
+    words = [known.rare(rng).capitalize() for _ in range(rng.randint(2, 3))]
+    if rng.random() < 0.08:
+        words[:2] = ["".join(words[:2])]
+    return " ".join([known.draw(rng), *words] if rng.random() < 0.4 else words)
 
 
-def _description(rng: Rng) -> str:
-    who = f"{rng.pick(_NAMES)}, a {rng.pick(_WORK)}" if rng.chance(0.5) else f"a {rng.pick(_KINDS)} {rng.pick(_WORK)}"
-    deed = rng.pick(_DEEDS)
-    deed = deed.format(*(rng.pick(_THINGS) for _ in range(deed.count("{}"))))
-    tone = f"{rng.pick(_KINDS)} and {rng.pick(_KINDS)}"
-    return f"In {rng.pick(_PLACES)}, {who} must {deed} {rng.pick(_WHILE)}. {capitalize(tone)}, it was shot beside a {rng.pick(_THINGS)}."
+def _text(rng: random.Random, known: Vocabulary) -> str:
+    words = [known.draw(rng) for _ in range(round(rng.triangular(LENGTH / 2, LENGTH * 3 / 2)))]
+    stops = sorted(rng.sample(range(3, len(words)), len(words) // 12))
+    parts = [words[a:b] for a, b in zip([0, *stops], [*stops, len(words)], strict=True)]
+    return " ".join(" ".join(p).capitalize() + "." for p in parts if p)
 
 
-def generate_records(seed: int = 20260907, total: int = 10_000) -> list[dict]:
-    """Unique ids and titles; years 1920 to 2025, ratings 2.1 to 9.6, popularity 1 to 90000."""
-    rng = Rng(seed)
+def generate_records(seed: int = 7, total: int = 10_000) -> list[dict]:
+    """Unique ids and titles; years 1850 to 2029, ratings 0 to 10 in tenths, popularity from 1."""
+    rng = Xoshiro(seed)
+    known = Vocabulary(rng)
     records: list[dict] = []
-    seen: dict[str, int] = {}
+    taken: dict[str, int] = {}
     while len(records) < total:
-        title = _title(rng)
-        n = seen[title.lower()] = seen.get(title.lower(), 0) + 1
-        if n > 1:
-            title = f"{title} {n}"
-            if title.lower() in seen:
-                continue
-            seen[title.lower()] = 1
-        first, *rest = rng.sample(GENRES, 1 if rng.chance(0.15) else 2 if rng.chance(0.55) else 3)
-        rating = round(min(9.6, max(2.1, rng.normal(6.4, 1.1))), 1)
+        title = _heading(rng, known)
+        times = taken[title.lower()] = taken.get(title.lower(), 0) + 1
+        if times > 1:
+            title += f" vol {times}"
+        quality = rng.betavariate(5, 3)
         records.append({
-            "id": f"rec-{len(records) + 1:05d}", "title": title, "description": _description(rng), "genres": [first, *sorted(rest)],
-            "year": 2025 - math.floor(105 * rng.random() ** 1.7), "rating": rating,
-            "popularity": max(1, min(90_000, round(math.exp(rng.normal(6.2 + (rating - 6.4) * 0.35, 1.5))))),
+            "id": f"item-{len(records):06d}", "title": title, "description": _text(rng, known), "genres": rng.sample(CLASSES, rng.choices((1, 2, 3), (2, 5, 4))[0]),
+            "year": int(rng.triangular(1850, 2030, 2005)), "rating": round(10 * quality, 1), "popularity": math.ceil(100 * (1 + quality) * rng.paretovariate(1.2)),
         })
     return records
 
 
-def inject_typo(rng: Rng, word: str) -> str:
-    """One deletion, insertion, replacement or swap; words under four letters stay."""
+def misspelt(rng: random.Random, word: str) -> str:
+    """A word one edit away, any letter and any place alike; words under four letters stay."""
     if len(word) < 4:
         return word
-    at, letter = rng.integer(0, len(word) - 1), rng.pick("aeortx")
-    kind = rng.integer(0, 3)
-    if kind == 0:
-        return word[:at] + word[at + 1 :]
-    if kind < 3:
-        return word[:at] + letter + word[at + kind - 1 :]
-    at = min(at, len(word) - 2)
-    return word[:at] + word[at + 1] + word[at] + word[at + 2 :]
+    cut = rng.randrange(1, len(word))
+    head, tail, letter = word[:cut], word[cut:], rng.choice(string.ascii_lowercase)
+    return rng.choice([head[:-1] + tail, head + letter + tail, head[:-1] + letter + tail, head[:-1] + tail[0] + head[-1] + tail[1:]])
 
 
 @dataclass(frozen=True)
@@ -138,36 +123,32 @@ class MixedQuery:
     facet_filters: list[list[str]] | None = None
 
 
-KINDS = ("word", "prefix", "typo", "two-words", "three-words", "faceted")
+def _faceted(rng: random.Random, record: dict, words: list[str]) -> tuple[str, list[list[str]]]:
+    decade = f"{record['year'] // 10}0s"
+    return rng.choice(words)[:3], [[f"genre:{rng.choice(record['genres'])}"], [f"decade:{decade}"]]
+
+
+#: Each kind of query, made of a record and its words of three letters or more.
+_MADE = {
+    "word": lambda rng, record, words: (rng.choice(words), None),
+    "prefix": lambda rng, record, words: ((w := rng.choice(words))[: rng.randrange(1, len(w))], None),
+    "typo": lambda rng, record, words: (misspelt(rng, rng.choice(words)), None),
+    "two-words": lambda rng, record, words: (" ".join(rng.choices(words, k=2)), None),
+    "three-words": lambda rng, record, words: (" ".join(rng.choices(words, k=3)), None),
+    "faceted": _faceted,
+}
+KINDS = tuple(_MADE)
 
 
-def query_mix(records: list[dict], n: int = 1000, seed: int = 4242) -> list[MixedQuery]:
-    """Queries of six kinds, made of words of random records."""
-    rng = Rng(seed)
+def query_mix(records: list[dict], n: int = 1000, seed: int = 11) -> list[MixedQuery]:
+    """Queries of all kinds, made of words of random records; records without words, and for some kinds without genre or year, are passed over."""
+    rng = Xoshiro(seed)
     out: list[MixedQuery] = []
     while len(out) < n:
-        record = rng.pick(records)
+        record, kind = rng.choice(records), rng.choice(KINDS)
         words = [w for w in terms(f"{record['title'] or ''} {record['description'] or ''}") if len(w) >= 3]
-        if not words:
-            continue
-        a, b, c = (rng.pick(words) for _ in range(3))
-        kind = rng.pick(KINDS)
-        filters = None
-        if kind == "word":
-            query = a
-        elif kind == "prefix":
-            query = a[: rng.integer(1, len(a) - 1)]
-        elif kind == "typo":
-            query = inject_typo(rng, a)
-        elif kind == "two-words":
-            query = f"{a} {b}"
-        elif kind == "three-words":
-            query = f"{a} {b} {c}"
-        else:
-            if not record["genres"] or record["year"] is None:
-                continue
-            query, filters = a[:3], [[f"genre:{rng.pick(record['genres'])}"], [f"decade:{record['year'] // 10 * 10}s"]]
-        out.append(MixedQuery(kind, query, filters))
+        if words and (kind != "faceted" or record["genres"] and record["year"] is not None):
+            out.append(MixedQuery(kind, *_MADE[kind](rng, record, words)))
     return out
 
 

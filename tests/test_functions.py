@@ -8,9 +8,9 @@ from plumbline.functions.distance import deletions, osa, osa_pairs
 from plumbline.functions.values import clean_values
 
 CASES = {
-    "Amélie": "amelie", "ﬁne": "fine", "Søren Łukasz Straße Ærø": "soren lukasz strasse aero", "sci-fi": "sci fi", "WALL·E": "wall e", "BladeRunner": "blade runner",
-    "iPhone": "i phone", "NASA": "nasa", "3D": "3d", "Ocean's Eleven": "oceans eleven", "Zoë’s Lantern": "zoes lantern", "---": "", "": "", "o'Brien": "o brien",
-    "O'Brien": "obrien", "½ ™": "tm", "éB": "e b", "ВижуМир": "вижу мир", "ΣΑΣ": "σασ", "ẚA": "aʾ a", "İ": "i",
+    "Solène": "solene", "ﬂat": "flat", "Bjørn Đuro Weiß Pæl Œuf": "bjorn duro weiss pael oeuf", "half-open": "half open", "a·b": "a b", "SaltRoad": "salt road",
+    "eBay": "e bay", "HTTP": "http", "4K": "4k", "baker's dozen": "bakers dozen", "Chloé’s drum": "chloes drum", "?!": "", "": "", "d'Arc": "d arc",
+    "D'Arc": "darc", "½ ™": "tm", "éB": "e b", "ВижуМир": "вижу мир", "ΣΑΣ": "σασ", "ẚA": "aʾ a", "İ": "i",
 }
 
 
@@ -29,16 +29,16 @@ def test_both_tokenizers_agree():
 
 
 def test_offsets():
-    assert [t[1:] for t in text.tokens("Crouching Tiger, Hidden Dragon")] == [(0, 9), (10, 15), (17, 23), (24, 30)]
-    assert text.tokens("Amélie's café")[0] == ("amelies", 0, 8)
+    assert [t[1:] for t in text.tokens("Salt, bread & oil")] == [(0, 4), (6, 11), (14, 17)]
+    assert text.tokens("Solène's drum")[0] == ("solenes", 0, 8) and text.tokens("e\u0301a b")[0] == ("ea", 0, 3)
     assert text.terms(None) == [] and text.tokens(None) == []
     assert len(text.terms("word " * 200_000)) == 200_000
 
 
 def test_small_functions():
-    assert text.normalize_word("O'Briën!") == "obrien" and text.capitalize("two words") == "Two words"
-    raw = """<a href="x">Tom & 'Jerry'</a>"""
-    assert text.escape_html(raw) == "&lt;a href=&quot;x&quot;&gt;Tom &amp; &#39;Jerry&#39;&lt;/a&gt;" and text.unescape_html(text.escape_html(raw)) == raw
+    assert text.normalize_word("D'Arçy!") == "darcy" and text.capitalize("two words") == "Two words"
+    raw = """<b id="1">salt & 'oil'</b>"""
+    assert text.escape_html(raw) == "&lt;b id=&quot;1&quot;&gt;salt &amp; &#39;oil&#39;&lt;/b&gt;" and text.unescape_html(text.escape_html(raw)) == raw
     assert (text.format_int(1234567), text.format_ms(123.4), text.format_ms(12.34), text.format_ms(1.234)) == ("1,234,567", "123", "12.3", "1.23")
 
 
@@ -53,7 +53,7 @@ def _osa(a, b):
 
 
 def test_distance():
-    assert (osa("ab", "ba"), osa("matirx", "matrix"), osa("kitten", "sitting"), osa("ca", "abc"), osa("abcdef", "x", 2)) == (1, 1, 3, 3, 3)
+    assert (osa("no", "on"), osa("ketlte", "kettle"), osa("saddle", "paddles"), osa("ca", "abc"), osa("abcdef", "x", 2)) == (1, 1, 2, 3, 3)
     rng = random.Random(2)
     pairs = [tuple("".join(rng.choice("abcd") for _ in range(rng.randint(0, 9))) for _ in "ab") for _ in range(2000)]
     assert osa_pairs(*map(list, zip(*pairs))).tolist() == [_osa(*p) for p in pairs]
