@@ -10,7 +10,7 @@ import time
 from plumbline.operators.index import build_index
 from plumbline.operators.shards import build_shards
 from plumbline.plans import scatter
-from plumbline.queries import QUERIES, current_records, record_index, record_shards
+from plumbline.queries import QUERIES, latest_records, record_index, record_shards
 from plumbline.session import local_session, materialize
 from plumbline.sources.dataset import KINDS, generate_records, query_mix
 from plumbline.sources.io import records_from_rows
@@ -59,7 +59,7 @@ def main() -> None:
         times[f"mix_1000_{kind}_over_10k"] = timed(lambda kind=kind: run_mix(spark, held, [q for q in many if q.kind == kind][:1000]))
 
     # The tables of the given size.
-    current = materialize(current_records(spark, sf), "bench")
+    current = materialize(latest_records(spark, sf), "bench")
     times["build_index_records"] = timed(lambda: indexed(current))
     record_shards(spark, sf)
     some = [r.asDict() for r in current.select("title", "description", "genres", "year").sample(0.05, seed=1).collect()]

@@ -42,12 +42,12 @@ TOK = f"""vals AS (
   UNION ALL SELECT doc_ord, id, 2, 0, {tokens("description")} FROM cur WHERE description IS NOT NULL
   UNION ALL SELECT doc_ord, id, 1, vi, {tokens("g")} FROM (SELECT doc_ord, id, unnest(genres) AS g, unnest(range(len(genres))) AS vi FROM cur) WHERE g IS NOT NULL),
 based AS (SELECT *, coalesce(sum(len(w) + 8) OVER (PARTITION BY doc_ord, attr ORDER BY vi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM vals),
-tok AS (SELECT doc_ord, attr, unnest(w) AS term, least(base + unnest(range(len(w))), 65535) AS pos FROM based),
-terms AS (SELECT term, count(DISTINCT doc_ord) AS df FROM tok GROUP BY term)"""
+tok AS MATERIALIZED (SELECT doc_ord, attr, unnest(w) AS term, least(base + unnest(range(len(w))), 65535) AS pos FROM based),
+terms AS MATERIALIZED (SELECT term, count(DISTINCT doc_ord) AS df FROM tok GROUP BY term)"""
 BUCKET = """CASE WHEN isnan(rating) THEN '<6' WHEN rating >= 9 THEN '9+' WHEN rating >= 8 THEN '8–9' WHEN rating >= 7 THEN '7–8'
   WHEN rating >= 6 THEN '6–7' ELSE '<6' END"""
 DECADE = "(floor(year / 10) * 10)::INT::VARCHAR || 's'"
-FACETS = f"""fv AS (
+FACETS = f"""fv AS MATERIALIZED (
   SELECT DISTINCT doc_ord, 'genre' AS facet, g AS value FROM (SELECT doc_ord, unnest(genres) AS g FROM cur) WHERE g IS NOT NULL
   UNION ALL SELECT doc_ord, 'decade', {DECADE} FROM cur WHERE year IS NOT NULL
   UNION ALL SELECT doc_ord, 'rating', {BUCKET} FROM cur WHERE rating IS NOT NULL)"""
@@ -78,11 +78,11 @@ begun AS (SELECT *, CASE WHEN prefix THEN unnest(list_transform(range(greatest(0
   ELSE term END AS s FROM rough WHERE rough <= k),
 near AS (SELECT idx, word, k, prefix, term, df, min({osa("word", "s")}) AS typos FROM begun GROUP BY ALL),
 cands AS (SELECT *, CASE WHEN NOT prefix THEN true WHEN k = 0 THEN term = word ELSE {osa("word", "term")} <= k END AS exact FROM near WHERE typos <= k)"""
-CAPPED = """capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx, typos = 0 ORDER BY typos, exact DESC, df DESC, term) AS rn FROM cands)
+CAPPED = """capped AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx, typos = 0 ORDER BY typos, exact DESC, df DESC, term) AS rn FROM cands)
   WHERE rn <= CASE WHEN typos = 0 THEN 4096 ELSE 64 END)"""
-SCORED = """hit AS (SELECT idx, doc_ord, min(typos) AS typos, max(exact::INT) AS exact, min(attr) AS attr
+SCORED = """hit AS MATERIALIZED (SELECT idx, doc_ord, min(typos) AS typos, max(exact::INT) AS exact, min(attr) AS attr
   FROM capped JOIN (SELECT DISTINCT term, doc_ord, attr FROM tok) USING (term) GROUP BY ALL),
-scored AS (SELECT doc_ord, count(*) AS words, sum(typos) AS typos, sum(exact) AS exactness, min(attr) AS attribute FROM hit GROUP BY doc_ord),
+scored AS MATERIALIZED (SELECT doc_ord, count(*) AS words, sum(typos) AS typos, sum(exact) AS exactness, min(attr) AS attribute FROM hit GROUP BY doc_ord),
 next AS (SELECT doc_ord, idx, lead(idx) OVER (PARTITION BY doc_ord ORDER BY idx) AS other FROM hit),
 place AS (SELECT DISTINCT idx, doc_ord, attr, pos FROM capped JOIN tok USING (term)),
 dist AS (SELECT n.doc_ord, n.idx, min(CASE WHEN b.pos > a.pos THEN b.pos - a.pos ELSE a.pos - b.pos + 1 END) AS d
@@ -153,11 +153,12 @@ def _expanded(name: str) -> str:
 def _facet_counts(query: str, filters: dict[str, list[str]], wanted: str = "true") -> str:
     words = _plan(query, True)
     passed = lambda skip: _filter([[f"{f}:{v}" for v in vs] for f, vs in filters.items() if f != skip])
+    # What several facets refer to is worked out once.
     per = " UNION ALL ".join(
         f"SELECT facet, value, count(*) AS n FROM fv WHERE facet = '{f}' AND doc_ord IN (SELECT doc_ord FROM scored) AND {passed(f)} GROUP BY ALL" for f in ("genre", "decade", "rating")
     )
     chosen = ", ".join(f"('{f}', '{v}')" for f, vs in filters.items() for v in vs)
-    return f"""WITH {CUR}, {TOK}, {FACETS}, {_literals(words)}, {EXPAND}, {CAPPED}, {SCORED}, counts AS ({per}),
+    return f"""WITH {CUR}, {TOK}, {FACETS}, {_literals(words)}, {EXPAND}, {CAPPED}, {SCORED}, counts AS MATERIALIZED ({per}),
 chosen(facet, value) AS (VALUES {chosen}),
 kept AS (SELECT facet, value, 0 AS n FROM chosen c WHERE EXISTS (SELECT 1 FROM fv WHERE fv.facet = c.facet AND fv.value = c.value)
   AND NOT EXISTS (SELECT 1 FROM counts t WHERE t.facet = c.facet AND t.value = c.value)),
@@ -183,11 +184,12 @@ _PART = """cur AS (SELECT p_partkey::VARCHAR AS id, p_name AS title, [p_type, p_
   1970 + p_size AS year, (p_partkey % 101)::DOUBLE / 10 AS rating, p_partkey * 7919 % 100000 AS popularity, p_partkey AS doc_ord FROM part)"""
 
 SQL: dict[str, str] = {
-    "current_records": f"WITH {CUR} SELECT id, title, genres, description, year, rating, popularity, doc_ord FROM cur",
+    "current_records": f"""WITH {CUR} SELECT id, title, genres, description, year, CASE WHEN NOT isnan(rating) THEN rating END AS rating,
+  coalesce(isnan(rating), false) AS rating_is_nan, popularity, doc_ord FROM cur""",
     "tokens_titles": f"WITH {CUR} SELECT id, unnest(w) AS term, unnest(range(len(w)))::INT AS position FROM (SELECT id, {tokens('title')} AS w FROM cur)",
     "tokens_requests": f"WITH {REQ} SELECT request_id, unnest(w) AS term, unnest(range(len(w)))::INT AS position FROM (SELECT request_id, {tokens('query')} AS w FROM req)",
-    "token_counts_documents": f"""SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM
-  (SELECT doc_id, unnest({tokens(PLAIN_TEXT)}) AS term FROM documents) GROUP BY doc_id""",
+    "token_counts_documents": f"""SELECT doc_id, sum(coalesce(len(w), 0))::BIGINT AS n_tokens, max(coalesce(len(list_distinct(w)), 0))::BIGINT AS n_terms FROM
+  (SELECT doc_id, {tokens(PLAIN_TEXT)} AS w FROM documents) GROUP BY doc_id""",
     "term_df_documents": f"""SELECT term, count(DISTINCT doc_id) AS df, any_value(length(term))::INT AS n_chars FROM
   (SELECT doc_id, unnest({tokens(PLAIN_TEXT)}) AS term FROM documents) GROUP BY term""",
     "html_escape": f"SELECT doc_id, md5({_ESCAPED}) AS escaped_md5, length({_ESCAPED})::INT AS n_chars_escaped FROM documents",

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from plumbline.functions import text
 from plumbline.functions.distance import osa_column
+from plumbline.functions.values import escape_html_column, unescape_html_column
 from plumbline.operators import docsets, facets, highlight, scorer, suggest
 from plumbline.operators.current import latest
 from plumbline.operators.index import Index, build_index, decade, index_stats, invert, rating_bucket, term_table
@@ -36,11 +37,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def current_records(spark: SparkSession, sf: str) -> DataFrame:
+def latest_records(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["title", "genres", "description", "year", "rating", "popularity", "doc_ord"]
     return latest(table(spark, sf, "records"), "id", ["updated_at", "doc_ord"], columns)
 
 
+def current_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest state of every id; a NaN, which not every comparison holds equal to itself, is a null rating with a flag."""
+    odd = F.coalesce(F.isnan("rating"), F.lit(False))
+    return latest_records(spark, sf).withColumn("rating_is_nan", odd).withColumn("rating", F.when(~odd, F.col("rating")))
+
+
 def current_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Each request once, as it arrived last."""
     given = table(spark, sf, "search_requests")
@@ -50,7 +57,7 @@ def current_requests(spark: SparkSession, sf: str) -> DataFrame:
 def record_index(spark: SparkSession, sf: str) -> Index:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _indexes:
-        _indexes[key] = build_index(materialize(current_records(spark, sf), "records"))
+        _indexes[key] = build_index(materialize(latest_records(spark, sf), "records"))
     return _indexes[key]
 
 
@@ -85,7 +92,7 @@ def _token_rows(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def tokens_titles(spark, sf):
-    return _token_rows(current_records(spark, sf), "id", "title")
+    return _token_rows(latest_records(spark, sf), "id", "title")
 
 
 def tokens_requests(spark, sf):
@@ -112,23 +119,17 @@ def token_offsets_titles(spark, sf):
 
     cut.__annotations__ = {"values": pa.Array, "return": pa.Array}
     offsets = F.arrow_udf(cut, "array<struct<text string, start int, end int>>")
-    return current_records(spark, sf).select("id", F.explode(offsets("title")).alias("t")).select("id", "t.*")
+    return latest_records(spark, sf).select("id", F.explode(offsets("title")).alias("t")).select("id", "t.*")
 
 
 def html_escape(spark, sf):
-    escaped = F.col("text")
-    for ch, entity in text.ESCAPES.items():
-        escaped = F.replace(escaped, F.lit(ch), F.lit(entity))
+    escaped = escape_html_column(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.md5(escaped).alias("escaped_md5"), F.length(escaped).alias("n_chars_escaped"))
 
 
 def html_unescape(spark, sf):
     """Escaping and unescaping gives every text back."""
-    back = F.col("text")
-    for ch, entity in text.ESCAPES.items():
-        back = F.replace(back, F.lit(ch), F.lit(entity))
-    for ch, entity in reversed(text.ESCAPES.items()):
-        back = F.replace(back, F.lit(entity), F.lit(ch))
+    back = unescape_html_column(escape_html_column(F.col("text")))
     return table(spark, sf, "documents").select("doc_id", (back == F.col("text")).alias("same"))
 
 
@@ -172,15 +173,15 @@ def popularity_rank(spark, sf):
 
 
 def dataset_summary(spark, sf):
-    return summary(current_records(spark, sf))
+    return summary(latest_records(spark, sf))
 
 
 def decade_bucket(spark, sf):
-    return current_records(spark, sf).filter(F.col("year").isNotNull()).groupBy(decade(F.col("year")).alias("decade")).agg(F.count("*").alias("n"))
+    return latest_records(spark, sf).filter(F.col("year").isNotNull()).groupBy(decade(F.col("year")).alias("decade")).agg(F.count("*").alias("n"))
 
 
 def rating_buckets(spark, sf):
-    return current_records(spark, sf).filter(F.col("rating").isNotNull()).groupBy(rating_bucket(F.col("rating")).alias("bucket")).agg(F.count("*").alias("n"))
+    return latest_records(spark, sf).filter(F.col("rating").isNotNull()).groupBy(rating_bucket(F.col("rating")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 # --- dictionary and planning ------------------------------------------------
