@@ -25,40 +25,82 @@ from plumbline.session import materialize
 HOT_SHARE = 1 / 100_000
 #: A model ends after so many terms, counted with repeats, or at the end of its Arrow batch.
 MODEL = 2_000_000
-#: The share of a record's mass that is its own, and when a record has converged; without such a bound (0) there are ROUNDS rounds.
-OWN, CLOSE, ROUNDS = 0.1, 1e-4, 50
+#: The share of a record's mass that is its own; how little its shares move when its maximum is looked for; and the least that this is lowered to.
+OWN, CLOSE, LEAST = 0.1, 1e-6, 1e-14
 
 
-def own_mass(of: np.ndarray, n: int, counts: np.ndarray, background: np.ndarray, close: float | None = None) -> np.ndarray:
-    """Expectation-maximisation for ``n`` records at once: the converged probability of each (record, term).
+def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, starts) if len(x) else x
 
-    ``of`` is the record of each entry, in ascending order.  A record is left
-    as it is once none of its own probabilities moves by ``close`` (``CLOSE``) or more, and
-    the rounds go on until that holds for all; each round raises a record's
-    likelihood, so it always comes.  What the other records are makes no difference.
+
+def _settled(counts: np.ndarray, background: np.ndarray, spread: np.ndarray, support: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shares at which rounds stand still if only the terms of ``support`` have one, and for which records these are the maximum.
+
+    There the likelihood's slope is the same at all terms with a share and no
+    greater at those without.  Terms whose share isn't positive are left out.
+    """
+    starts = np.cumsum(spread) - spread
+    price = (1 - OWN) / OWN * background
+    while True:
+        slope = (1 + _sums(np.where(support, price, 0.0), starts)) / np.maximum(_sums(np.where(support, counts, 0.0), starts), 1e-300)
+        share = counts * np.repeat(slope, spread) - price
+        fewer = support & (share > 0)
+        if (fewer == support).all():
+            return np.where(support, share, 0.0), np.logical_and.reduceat(support | (share <= 1e-9 * price), starts)
+        support = fewer
+
+
+def own_mass(of: np.ndarray, counts: np.ndarray, background: np.ndarray) -> np.ndarray:
+    """Expectation-maximisation for many records at once: the converged probability of each (record, term).
+
+    ``of`` is the record of each entry, in ascending order.  Two rounds and a
+    step along the way that they went alternate.  When none of a record's shares moves
+    by ``CLOSE``, the terms that still have one are tried: if the shares at
+    which the rounds would stand still are the maximum of the likelihood, the
+    record is done, with these; else its rounds go on, to a hundredth of that movement.
+    So a record's shares don't depend on where its rounds end or on the other records.
     """
     if not len(of):
         return np.zeros(0)
-    close = CLOSE if close is None else close
     # Sums are taken in an order that only the record itself sets.
     at = np.lexsort((background, counts, of))
     counts, background = counts[at], background[at]
     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     spread = np.diff(np.r_[starts, len(of)])
-    share = counts / np.repeat(np.add.reduceat(counts, starts), spread)
-    out, rounds = np.empty(len(of)), 0
+    share = counts / np.repeat(_sums(counts, starts), spread)
+    close = np.full(len(starts), CLOSE)
+    out = np.empty(len(of))
+
+    def next_round(x: np.ndarray) -> np.ndarray:
+        mass = counts * OWN * x / (OWN * x + (1 - OWN) * background)
+        return mass / np.repeat(np.maximum(_sums(mass, starts), 1e-300), spread)
+
     while len(at):
-        own = OWN * share
-        mass = counts * own / (own + (1 - OWN) * background)
-        new = mass / np.repeat(np.maximum(np.add.reduceat(mass, starts), 1e-300), spread)
-        moved = np.maximum.reduceat(np.abs(new - share), starts)
-        share, rounds = new, rounds + 1
-        done = moved < close if close > 0 else np.full(len(starts), rounds >= ROUNDS)
-        if done.any():
-            over = np.repeat(done, spread)
-            out[at[over]] = share[over]
-            at, counts, background, share, spread = at[~over], counts[~over], background[~over], share[~over], spread[~done]
+        one = next_round(share)
+        two = next_round(one)
+        slow = np.maximum.reduceat(np.abs(two - one), starts) < close
+        if slow.any():
+            tried = np.repeat(slow, spread)
+            settled, best = _settled(counts[tried], background[tried], spread[slow], two[tried] > np.repeat(close, spread)[tried])
+            done = np.zeros(len(starts), bool)
+            done[slow] = best
+            kept = np.repeat(best, spread[slow])
+            out[at[tried][kept]] = settled[kept]
+            spent = slow & ~done & (close < LEAST)  # no rounds can tell these terms apart any more
+            out[at[np.repeat(spent, spread)]] = two[np.repeat(spent, spread)]
+            close[slow] /= 100
+            left = ~(done | spent)
+            stay = np.repeat(left, spread)
+            at, counts, background, share, one, two = (x[stay] for x in (at, counts, background, share, one, two))
+            spread, close = spread[left], close[left]
             starts = np.cumsum(spread) - spread
+            if not len(at):
+                break
+        first, bend = one - share, two - 2 * one + share
+        far = np.sqrt(_sums(first * first, starts) / np.maximum(_sums(bend * bend, starts), 1e-300))
+        far = np.repeat(np.clip(far, 1, 1000), spread)
+        ahead = np.maximum(share + 2 * far * first + far * far * bend, two / 10)
+        share = next_round(ahead / np.repeat(_sums(ahead, starts), spread))
     return out
 
 
@@ -125,7 +167,7 @@ def _models(most: int):
 _OUT = pa.schema([("key", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("records", pa.int64()), ("weight", pa.float64())])
 
 
-def _weigh(total: int, min_count: int, max_records: int | None, top: int | None, close: float):
+def _weigh(total: int, min_count: int, max_records: int | None, top: int | None):
     def run(models: pa.Table, known: pa.Table) -> pa.Table:
         out = []
         by = np.argsort(known.column("at").to_numpy(), kind="stable")
@@ -133,7 +175,7 @@ def _weigh(total: int, min_count: int, max_records: int | None, top: int | None,
         for keys, words, blob in zip(models.column("keys"), models.column("values"), models.column("blob"), strict=True):
             spread, word, counts = _unpack(blob.as_py())
             of = np.repeat(np.arange(len(spread)), spread)
-            weight = own_mass(of, len(spread), counts.astype(float), occurrences[word] / total, close)
+            weight = own_mass(of, counts.astype(float), occurrences[word] / total)
             keep = counts >= min_count
             if max_records is not None:
                 keep &= records[word] <= max_records
@@ -160,7 +202,7 @@ def distinctive_terms(
     ``n`` is the term's count over all ``texts`` of the record, ``records`` the
     number of rows holding it, ``weight`` its probability in the record's
     parsimonious model: expectation-maximisation takes away the mass that the
-    background, the frequencies of the whole collection, explains.  Only terms
+    background, the frequencies of the whole collection, explains, and that of terms that it explains wholly is 0.  Only terms
     with ``n >= min_count`` and ``records <= max_records`` come out, of these
     the ``top`` heaviest of each record (ties by term) if that is given.
 
@@ -181,5 +223,5 @@ def distinctive_terms(
     met = met.filter("occurrences is not null").unionByName(met.filter("occurrences is null").select("of", "at", "word").join(counts.filter(~hot), "word"))
     known = met.select("of", "at", "occurrences", "records").groupBy("of")
     found = models.select("model", "values", "keys", "blob").groupBy("model").cogroup(known)
-    out = found.applyInArrow(_weigh(max(total, 1), min_count, max_records, top, CLOSE), "key string, term string, n bigint, records bigint, weight double")
+    out = found.applyInArrow(_weigh(max(total, 1), min_count, max_records, top), "key string, term string, n bigint, records bigint, weight double")
     return out.withColumnRenamed("key", key)

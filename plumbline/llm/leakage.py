@@ -121,10 +121,23 @@ class Block:
             new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (hit[1:] != hit[:-1] + 1) | (place[1:] != place[:-1] + 1)] if len(hit) else np.empty(0, bool)
             first = np.flatnonzero(new)
             runs = np.diff(np.r_[first, len(hit)]) + size - 1
-            for f, run in zip(first.tolist(), runs.tolist(), strict=True):
-                yield from self._verify(hashes, starts, ends, int(text[f]), int(item[f]), int(hit[f]), int(place[f]), run)
-
-    def _verify(self, hashes, starts, ends, text, item, hit, place, run):
+            # The longest run of a pair comes first; one of a whole passage leaves nothing to verify.
+            text, item, hit, place = text[first], item[first], hit[first], place[first]
+            by = np.lexsort((-runs, item, text))
+            text, item, hit, place, runs = text[by], item[by], hit[by], place[by], runs[by]
+            pairs = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])]) if len(text) else np.empty(0, np.int64)
+            for a, b in zip(pairs.tolist(), [*pairs[1:].tolist(), len(text)], strict=True):
+                most = int(self.budgets[item[a]])
+                distance = 0 if runs[a] >= self.lengths[item[a]] else most + 1
+                for k in range(a, b):
+                    if not distance:
+                        break
+                    distance = min(distance, self._verify(hashes, starts, ends, int(text[k]), int(item[k]), int(hit[k]), int(place[k]), int(runs[k])))
+                if distance <= most:
+                    yield int(text[a]), int(item[a]), distance, int(runs[a])
+
+    def _verify(self, hashes, starts, ends, text, item, hit, place, run) -> int:
+        """The least distance, or more than the budget, of the passages around a run."""
         w, e = int(self.lengths[item]), int(self.budgets[item])
         lo, hi = int(starts[text]), int(ends[text])
         best = e + 1
@@ -135,8 +148,7 @@ class Block:
             best = min(best, best_distance(self.hashes[s : s + w], hashes[max(lo, at - e) : min(hi, at + w + e)]))
             if best == 0:
                 break
-        if best <= e:
-            yield text, item, best, run
+        return best
 
 
 _FOUND = "doc string, item string, distance int, run int"
@@ -170,7 +182,7 @@ def leaks(
 
     A passage is ``window`` consecutive terms of the item, or the whole of a
     shorter item, of which at least one term must stand; an edit inserts, deletes or replaces a term.  ``distance`` is the least
-    of all passages found, ``run`` the longest exact run of terms among their pieces.
+    of all passages found, ``run`` the longest run of terms that the document has in common with the item.
 
     Whole texts are searched.  Null and empty texts and items, and null keys,
     give no rows; a repeated key counts as one document.  Items are searched in blocks of about ``block``

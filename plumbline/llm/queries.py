@@ -99,7 +99,7 @@ def p6_terms(spark: SparkSession, sf: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = current(spark, sf, "title", "description")
     found = distinctive.distinctive_terms(rows, "id", ["title", "description"], min_count=3, max_records=5)
-    return found.filter("weight > 0").select("id", "term")
+    return found.select("id", "term")
 
 
 def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:

@@ -45,8 +45,7 @@ one AS (SELECT g, count(*) AS n FROM vals GROUP BY g),
 al AS (SELECT count(*) AS n FROM cur),
 two AS (SELECT a.g AS ga, b.g AS gb, count(*) AS n FROM vals a JOIN vals b ON a.id = b.id AND a.g < b.g GROUP BY ALL),
 p AS (SELECT two.ga, two.gb, two.n, x.n AS n_a, y.n AS n_b, al.n AS n_all
-      FROM two JOIN one x ON x.g = two.ga JOIN one y ON y.g = two.gb CROSS JOIN al
-      WHERE two.n >= 5 AND two.n * 2000 >= al.n)"""
+      FROM two JOIN one x ON x.g = two.ga JOIN one y ON y.g = two.gb CROSS JOIN al)"""
 
 _MARKS = f"""WITH {_CURRENT}, {_VALUES}, al AS (SELECT count(*) AS n FROM cur),
 words AS (
@@ -69,23 +68,69 @@ _SIZES = """sized AS (SELECT lower(trim(source, ' \t')) AS source, coalesce(leng
   (SELECT text, replace(source, chr(9), ' ') AS source FROM documents)),
 per AS (SELECT source, sum(n) AS n FROM sized GROUP BY source)"""
 
-SQL = {
-    "p1_found": f"""WITH {_CURRENT}, {_BOTH},
+_SIMILAR = f"""WITH {_CURRENT}, {_BOTH},
 able AS (SELECT id FROM cur WHERE len(list_distinct({tokens("coalesce(description, '')")})) >= 12),
 sets AS (SELECT DISTINCT id, t FROM toks SEMI JOIN able USING (id)),
 keys AS (SELECT id, row_number() OVER (ORDER BY id)::INT AS k, count(*)::INT AS n FROM sets GROUP BY id),
 coded AS (SELECT k, n, dense_rank() OVER (ORDER BY t)::INT AS t FROM sets JOIN keys USING (id)),
 two AS (SELECT a.k AS x, b.k AS y, any_value(a.n) + any_value(b.n) AS n, count(*) AS common
         FROM coded a JOIN coded b ON a.t = b.t AND a.k < b.k AND 10 * a.n >= 6 * b.n AND 10 * b.n >= 6 * a.n GROUP BY ALL
-        HAVING 10 * count(*) >= 6 * (any_value(a.n) + any_value(b.n) - count(*)))
-SELECT p.id AS id_a, q.id AS id_b FROM two JOIN keys p ON p.k = x JOIN keys q ON q.k = y""",
+        HAVING 10 * count(*) >= 6 * (any_value(a.n) + any_value(b.n) - count(*))),
+alike AS (SELECT p.id AS id_a, q.id AS id_b FROM two JOIN keys p ON p.k = x JOIN keys q ON q.k = y)"""
+
+# Two scores have a first component whose loadings are alike but for the sign.
+_PROJECTED = f"""{_RANKED},
+tied AS (SELECT *, count(*) OVER (PARTITION BY rating) AS ta, count(*) OVER (PARTITION BY popularity) AS tb FROM above),
+placed AS (SELECT *, 1 - (a + (ta - 1) / 2) / m AS x, 1 - (b + (tb - 1) / 2) / m AS y FROM tied),
+spread AS (SELECT stddev_pop(x) AS sx, stddev_pop(y) AS sy, CASE WHEN covar_pop(x, y) < 0 THEN -1 ELSE 1 END AS turn FROM placed),
+projected AS (SELECT *, round(((x - 0.5) / sx + turn * (y - 0.5) / sy) / sqrt(2), 9) AS projection FROM placed CROSS JOIN spread)"""
+
+# The maximum of the likelihood in one step: in the order of background by count, terms have a share as long as it is positive.
+_WEIGHED = f"""WITH {_CURRENT}, {_BOTH},
+held AS (SELECT id, t, count(*) AS n FROM toks GROUP BY id, t),
+back AS (SELECT t, count(*) AS records, sum(n) AS occurrences FROM held GROUP BY t),
+priced AS (SELECT id, t, n, records, 9 * occurrences::DOUBLE / (SELECT sum(n) FROM held) AS price FROM held JOIN back USING (t)),
+upto AS (SELECT *, row_number() OVER w AS place, (1 + sum(price) OVER w) / sum(n) OVER w AS slope FROM priced WINDOW w AS (PARTITION BY id ORDER BY price / n, t ROWS UNBOUNDED PRECEDING)),
+best AS (SELECT id, arg_max(slope, place) AS slope FROM upto WHERE n * slope > price GROUP BY id),
+weighed AS (SELECT u.id, u.t AS term, u.n, u.records, greatest(u.n * best.slope - u.price, 0) AS weight FROM upto u JOIN best USING (id))"""
+
+# A passage with one edit: a window of the text and the passage agree once a term is left out of either, or of the longer one.
+_LEAKS = f"""WITH {_DOCS},
+long AS (SELECT item_id, w, least(len(w), 10) AS n, least(len(w), 10) // least(len(w), 2) AS piece FROM items WHERE len(w) > 0),
+passage AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS p FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM long)),
+sizes AS (SELECT DISTINCT n FROM long),
+shown AS (SELECT DISTINCT doc_id, n, w[i:i + n - 2] AS less, CASE WHEN i + n - 1 <= len(w) THEN w[i:i + n - 1] END AS same, CASE WHEN i + n <= len(w) THEN w[i:i + n] END AS more
+  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - greatest(n - 1, 1) + 2)) AS i FROM docs CROSS JOIN sizes WHERE len(w) >= n - 1)),
+cut AS (SELECT item_id, n, k, list_concat(p[:k - 1], p[k + 1:]) AS q FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM passage WHERE n > 1)),
+met AS (
+  SELECT doc_id, item_id, 0 AS distance FROM shown s JOIN passage p ON p.n = s.n AND p.p = s.same
+  UNION ALL SELECT doc_id, item_id, 1 FROM shown s JOIN cut c ON c.n = s.n AND c.q = s.less
+  UNION ALL SELECT doc_id, item_id, 1 FROM (SELECT doc_id, n, k, list_concat(same[:k - 1], same[k + 1:]) AS q FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM shown WHERE same IS NOT NULL))
+    JOIN cut USING (n, k, q)
+  UNION ALL SELECT doc_id, item_id, 1 FROM (SELECT doc_id, n, list_concat(more[:k - 1], more[k + 1:]) AS p FROM (SELECT *, unnest(range(1, n + 2)) AS k FROM shown WHERE more IS NOT NULL AND n > 1))
+    JOIN passage USING (n, p)),
+pairs AS (SELECT doc_id, item_id, min(distance) AS distance FROM met GROUP BY ALL),
+a AS (SELECT doc_id, piece, i, w[i:i + piece - 1] AS p FROM (SELECT doc_id, w, piece, unnest(range(1, len(w) - piece + 2)) AS i FROM docs CROSS JOIN (SELECT DISTINCT piece FROM long))),
+b AS (SELECT item_id, piece, j, w[j:j + piece - 1] AS p FROM (SELECT *, unnest(range(1, len(w) - piece + 2)) AS j FROM long)),
+c AS (SELECT doc_id, item_id, piece, i, i - j AS d FROM a JOIN b USING (piece, p) SEMI JOIN pairs USING (doc_id, item_id)),
+r AS (SELECT doc_id, item_id, count(*) + any_value(piece) - 1 AS run FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, d ORDER BY i) AS g FROM c) GROUP BY doc_id, item_id, d, g)"""
+
+SQL = {
+    "p1_found": f"{_SIMILAR} SELECT id_a, id_b FROM alike",
+    "p1_groups": f"""{_SIMILAR.replace("WITH ", "WITH RECURSIVE ", 1)},
+ends AS MATERIALIZED (SELECT id_a AS a, id_b AS b FROM alike UNION ALL SELECT id_b, id_a FROM alike),
+reach AS (SELECT id, id AS seen FROM cur UNION SELECT reach.id, b FROM reach JOIN ends ON a = seen),
+least_ AS (SELECT id, min(seen) AS class FROM reach GROUP BY id)
+SELECT id, class, (SELECT count(*) FROM ends WHERE a = id) AS links FROM least_""",
     "p2_pairs": f"""{_PAIRS} SELECT ga AS item_a, gb AS item_b, n, n_a, n_b, n_all,
   n::DOUBLE * n_all / (n_a::DOUBLE * n_b) AS lift,
   CASE WHEN n < n_a THEN (1 - n_b::DOUBLE / n_all) / (1 - n::DOUBLE / n_a) END AS conviction FROM p""",
-    "p2_found": f"{_PAIRS} SELECT ga AS genre_a, gb AS genre_b FROM p WHERE n * n_all >= 3 * n_a * n_b",
+    "p2_found": f"{_PAIRS} SELECT ga AS genre_a, gb AS genre_b FROM p WHERE n >= 5 AND n * 2000 >= n_all AND n * n_all >= 3 * n_a * n_b",
     "p3_counts": f"{_MARKS} SELECT field, value, occurrences, records, mark FROM marked",
     "p3_found": f"{_MARKS} SELECT field, value, mark FROM marked WHERE mark IS NOT NULL",
     "p4_found": f"{_RANKED} SELECT id FROM above WHERE a * 100 < m AND b * 100 < m",
+    "p4_ranking": f"""{_PROJECTED} SELECT id, rating, popularity, a AS above_rating, x AS rank_rating, b AS above_popularity, y AS rank_popularity, projection,
+  row_number() OVER (ORDER BY projection DESC, id) AS position, m AS ranked FROM projected""",
     "p5_top": f"""WITH {_CURRENT}, {_VALUES},
 r AS (SELECT g AS genre, id, popularity, row_number() OVER (PARTITION BY g ORDER BY popularity DESC, id) AS rank
       FROM vals JOIN cur USING (id) WHERE popularity >= 0)
@@ -93,6 +138,10 @@ SELECT genre, id, popularity, rank::INT AS rank FROM r WHERE rank <= 5""",
     "p6_found": f"""WITH {_CURRENT}, {_BOTH},
 held AS (SELECT id, t, count(*) AS n, count(*) OVER (PARTITION BY t) AS records FROM toks GROUP BY id, t)
 SELECT id, t AS term FROM held WHERE n >= 3 AND records <= 5""",
+    "p6_weights": f"{_WEIGHED} SELECT id, term, n, records, weight FROM weighed",
+    "p6_terms": f"""{_WEIGHED} SELECT id, term, n, records, weight FROM
+  (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) AS place FROM weighed) WHERE place <= 10""",
+    "p7_leaks": f"""{_LEAKS} SELECT doc_id, item_id, any_value(distance)::INT AS distance, max(run)::INT AS run FROM pairs JOIN r USING (doc_id, item_id) GROUP BY ALL""",
     "p7_found": f"""WITH {_DOCS},
 d AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' '))) AS s FROM docs WHERE len(w) >= 10),
 e AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' '))) AS s FROM items WHERE len(w) >= 10)
