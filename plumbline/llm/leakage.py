@@ -5,23 +5,36 @@ more than the edits it may have, at least one piece is left untouched; so
 documents are searched for the exact pieces of all passages, and where one is
 found the passages around it are verified by Myers' bit-parallel distance.
 Texts are compared in their canonical look-alike form.
+
+The corpus is read and cut once, whatever the number of items: a bounded filter
+of all pieces is broadcast, and what leaves a document are the stretches around
+the places that pass it, as hashes of terms.  These meet the table of pieces in
+a join, and are verified many at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import terms
 from plumbline.llm.lookalike import canonical
+from plumbline.operators.joins import join_by_heat
+from plumbline.session import materialize
 
-#: Items are searched in blocks of so many terms; a block's index is broadcast.
-BLOCK = 2_000_000
+#: Bits of the filter for each piece, the most bits that it may have in all (128 MB), and how many of them a piece sets.
+#: With more pieces than these are for, more places pass that the join then drops.
+FILTER_BITS, MOST_BITS, FILTER_HASHES = 32, 1 << 30, 4
+#: A key of the join with the pieces takes about so many rows of either side.
+BLOCK = 1024
+#: Items with more than this share of the candidates are hot; there can't be more than its inverse of them.
+HOT_SHARE = 1 / 1000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,174 +51,279 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 
 def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every ``size`` consecutive terms."""
+    """A hash of every ``size`` consecutive terms, and of their number."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, size, np.uint64)
     for i in range(size):
         out = (out ^ hashes[i : i + n]) * _BASE
         out ^= out >> np.uint64(29)
     return out
 
 
-def best_distance(pattern: np.ndarray, text: np.ndarray) -> int:
-    """The least edit distance of ``pattern`` to any part of ``text`` (Myers 1999, in one machine word of any length)."""
-    m = len(pattern)
-    if not m:
-        return 0
-    where: dict[int, int] = {}
-    for i, term in enumerate(pattern.tolist()):
-        where[term] = where.get(term, 0) | 1 << i
-    full, high = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best = full, 0, m, m
-    for term in text.tolist():
-        eq = where.get(term, 0)
+def _counted(counts: np.ndarray) -> np.ndarray:
+    """0..c-1 for every c of ``counts``, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def best_distances(patterns: np.ndarray, texts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The least edit distance of each pattern to any part of the first ``lengths`` terms of its text (Myers 1999).
+
+    ``patterns`` is pairs x m, ``texts`` pairs x n; all pairs take their steps together, each in one machine word.
+    """
+    pairs, m = patterns.shape
+    if m > 64:
+        raise ValueError("a passage has at most 64 terms")
+    one = np.uint64(1)
+    full = np.uint64((1 << m) - 1)
+    high = np.uint64(m - 1)
+    bits = one << np.arange(m, dtype=np.uint64)
+    up, down = np.full(pairs, full), np.zeros(pairs, np.uint64)
+    score = np.full(pairs, m)
+    best = score.copy()
+    for t in range(texts.shape[1]):
+        eq = np.where(patterns == texts[:, t : t + 1], bits, np.uint64(0)).sum(axis=1, dtype=np.uint64) if m else up
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
-        ph, mh = down | ~(xh | up) & full, up & xh
-        score += bool(ph & high) - bool(mh & high)
-        ph, mh = ph << 1 & full, mh << 1 & full
-        up, down = mh | ~(xv | ph) & full, ph & xv
-        best = min(best, score)
+        ph, mh = (down | ~(xh | up)) & full, up & xh
+        score = score + (ph >> high & one).astype(np.int64) - (mh >> high & one).astype(np.int64)
+        ph, mh = ph << one & full, mh << one & full
+        up, down = (mh | ~(xv | ph)) & full, ph & xv
+        best = np.where(t < lengths, np.minimum(best, score), best)
     return best
 
 
-class Block:
-    """The pieces of a block of items, by piece length."""
-
-    def __init__(self, items: Iterable[tuple[int, list[str]]], window: int, budget: int):
-        self.ids, cut = [], []
-        for key, words in items:
-            if words:
-                self.ids.append(key)
-                cut.append(words)
-        sizes = np.array([len(w) for w in cut], np.int64)
-        self.hashes = _hashes([t for w in cut for t in w])
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
-        self.lengths = np.minimum(sizes, window)
-        self.budgets = np.minimum(budget, self.lengths - 1)
-        pieces = self.lengths // (self.budgets + 1)
-        self.index: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        item = np.repeat(np.arange(len(sizes)), sizes)
-        for size in sorted(set(pieces.tolist())):
-            rolled = _rolled(self.hashes, size)
-            at = np.arange(len(rolled))
-            inside = (pieces[item[at]] == size) & (at + size <= self.ends[item[at]])
-            at, rolled = at[inside], rolled[inside]
-            by = np.argsort(rolled, kind="stable")
-            self.index[size] = rolled[by], at[by]
-        self.item = item
-
-    def search(self, hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """``(text, item, distance, run)`` of the passages found in texts that end at ``ends`` of ``hashes``."""
-        starts = np.r_[0, ends[:-1]]
-        for size, (pieces, places) in self.index.items():
-            rolled = _rolled(hashes, size)
-            if not len(rolled) or not len(pieces):
-                continue
-            low = np.searchsorted(pieces, rolled, "left")
-            hit = np.flatnonzero((low < len(pieces)) & (pieces[np.minimum(low, len(pieces) - 1)] == rolled))
-            text = np.searchsorted(ends, hit, "right")
-            inside = hit + size <= ends[text]
-            hit, text = hit[inside], text[inside]
-            count = np.searchsorted(pieces, rolled[hit], "right") - low[hit]
-            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            place = places[np.repeat(low[hit], count) + within]
-            hit, text = np.repeat(hit, count), np.repeat(text, count)
-            # Hits that follow each other on a diagonal are one exact run.
-            by = np.lexsort((hit, hit - place, self.item[place], text))
-            hit, text, place = hit[by], text[by], place[by]
-            item = self.item[place]
-            new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (hit[1:] != hit[:-1] + 1) | (place[1:] != place[:-1] + 1)] if len(hit) else np.empty(0, bool)
-            first = np.flatnonzero(new)
-            runs = np.diff(np.r_[first, len(hit)]) + size - 1
-            # The longest run of a pair comes first; one of a whole passage leaves nothing to verify.
-            text, item, hit, place = text[first], item[first], hit[first], place[first]
-            by = np.lexsort((-runs, item, text))
-            text, item, hit, place, runs = text[by], item[by], hit[by], place[by], runs[by]
-            pairs = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])]) if len(text) else np.empty(0, np.int64)
-            for a, b in zip(pairs.tolist(), [*pairs[1:].tolist(), len(text)], strict=True):
-                most = int(self.budgets[item[a]])
-                distance = 0 if runs[a] >= self.lengths[item[a]] else most + 1
-                for k in range(a, b):
-                    if not distance:
-                        break
-                    distance = min(distance, self._verify(hashes, starts, ends, int(text[k]), int(item[k]), int(hit[k]), int(place[k]), int(runs[k])))
-                if distance <= most:
-                    yield int(text[a]), int(item[a]), distance, int(runs[a])
-
-    def _verify(self, hashes, starts, ends, text, item, hit, place, run) -> int:
-        """The least distance, or more than the budget, of the passages around a run."""
-        w, e = int(self.lengths[item]), int(self.budgets[item])
-        lo, hi = int(starts[text]), int(ends[text])
-        best = e + 1
-        first = max(int(self.starts[item]), place + min(run, w) - w)
-        last = min(place + max(run - w, 0), int(self.ends[item]) - w)
-        for s in range(first, last + 1):
-            at = hit - (place - s)
-            best = min(best, best_distance(self.hashes[s : s + w], hashes[max(lo, at - e) : min(hi, at + w + e)]))
-            if best == 0:
-                break
-        return best
+def _shape(size: int, window: int, budget: int) -> tuple[int, int, int]:
+    """Of an item of ``size`` terms: terms of a passage, its edits, and terms of a piece."""
+    length = min(size, window)
+    edits = min(budget, length - 1)
+    return length, edits, length // (edits + 1)
 
 
-_FOUND = "doc string, item string, distance int, run int"
+_ITEMS = "item string, terms array<bigint>"
+_PIECES = "h bigint, item string, place int"
+
+
+def _cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cut = [_hashes(looked_terms(t)).view(np.int64) for t in batch.column(1).to_pylist()]
+        kept = [i for i, c in enumerate(cut) if len(c)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array([cut[i] for i in kept], pa.list_(pa.int64()))], names=["item", "terms"])
+
+
+def _cut_pieces(window: int, budget: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found, places = [], [], []
+            for row, cell in enumerate(batch.column(1)):
+                hashed = cell.values.to_numpy().view(np.uint64)
+                rolled = _rolled(hashed, _shape(len(hashed), window, budget)[2])
+                rows.append(np.full(len(rolled), row))
+                found.append(rolled)
+                places.append(np.arange(len(rolled), dtype=np.int32))
+            if rows:
+                columns = [pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "item", "place"])
+
+    return run
+
+
+class Filter:
+    """A Bloom filter of 64-bit hashes."""
+
+    def __init__(self, bits: int):
+        self.words = np.zeros(bits // 64, np.uint64)
+
+    def places(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        first = hashes * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
+        step = (hashes ^ hashes >> np.uint64(31)) * _BASE >> np.uint64(20) | np.uint64(1)
+        return first + np.uint64(k) * step & np.uint64(64 * len(self.words) - 1)
+
+    def passing(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of ``hashes`` that may be among the pieces."""
+        at = np.arange(len(hashes))
+        for k in range(FILTER_HASHES):
+            bit = self.places(hashes[at], k)
+            at = at[(self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        return at
+
+
+def _filter(pieces: DataFrame, bits: int) -> Filter:
+    """Built where the pieces are; what comes to the driver are its words, at most ``MOST_BITS`` in all."""
+    made = Filter(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Filter(bits)
+        for batch in batches:
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            for k in range(FILTER_HASHES):
+                bit = own.places(hashes, k)
+                np.bitwise_or.at(own.words, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
+        held = np.flatnonzero(own.words)
+        for at in range(0, len(held), 1 << 20):
+            part = held[at : at + (1 << 20)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own.words[part].view(np.int64))], names=["w", "bits"])
+
+    words = pieces.select("h").mapInArrow(run, "w bigint, bits bigint").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
+    made.words[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return made
+
 
+_STRETCH = pa.schema([("stretch", pa.int64()), ("doc", pa.string()), ("terms", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("h", pa.list_(pa.int64()))])
+_STRETCH_SQL = "stretch bigint, doc string, terms array<bigint>, at array<int>, h array<bigint>"
+
+
+def _search(known, sizes: list[int], reach: int):
+    """Documents to the stretches around their places that pass the filter; ``reach`` terms stand on either side."""
 
-def _search(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = block.value
+        number = TaskContext.get().partitionId() << 36
         for batch in batches:
             cut = [looked_terms(t) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([len(c) for c in cut])
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            for text, item, distance, length in held.search(_hashes([t for c in cut for t in c]), ends):
-                d, r = best.get((text, item), (distance, length))
-                best[text, item] = min(d, distance), max(r, length)
-            if best:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([k[0] for k in best])), pa.array([held.ids[k[1]] for k in best], pa.string()),
-                     pa.array([v[0] for v in best.values()], pa.int32()), pa.array([v[1] for v in best.values()], pa.int32())],
-                    names=["doc", "item", "distance", "run"],
-                )
+            hashes = _hashes([t for c in cut for t in c])
+            found = [np.empty((3, 0), np.int64)]
+            for size in sizes:
+                rolled = _rolled(hashes, size)
+                hit = known.value.passing(rolled)
+                text = np.searchsorted(ends, hit, "right")
+                inside = hit + size <= ends[text]
+                found.append(np.stack([text[inside], hit[inside], rolled[hit[inside]].view(np.int64)]))
+            text, hit, h = np.concatenate(found, axis=1)
+            if not len(text):
+                continue
+            by = np.lexsort((hit, text))
+            text, hit, h = text[by], hit[by], h[by]
+            starts = ends - np.diff(np.r_[0, ends])
+            low, high = np.maximum(hit - reach, starts[text]), np.minimum(hit + reach, ends[text])
+            new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (low[1:] > high[:-1])])
+            rows = []
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(text)], strict=True):
+                rows.append((number, int(text[a]), hashes[low[a] : high[b - 1]].view(np.int64), (hit[a:b] - low[a]).astype(np.int32), h[a:b]))
+                number += 1
+            for at in range(0, len(rows), 5000):
+                columns = list(zip(*rows[at : at + 5000], strict=True))
+                columns[1] = batch.column(0).take(pa.array(columns[1]))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _STRETCH.types, strict=True)], schema=_STRETCH)
+
+    return run
+
+
+_FOUND = "doc string, item string, distance int, run int"
+
+
+def _verify(window: int, budget: int):
+    """Rows (doc, terms, item, its terms, at, place), of one stretch and item each, to those with a passage."""
+
+    def passages(lines: np.ndarray, length: int, edits: int, sizes: np.ndarray) -> np.ndarray:
+        """Of runs (row, at, place, run) the passages around them, as (row, start in the item, start in the stretch)."""
+        row, at, place, run = lines
+        first = np.maximum(0, place + np.minimum(run, length) - length)
+        last = np.minimum(place + np.maximum(run - length, 0), sizes[row] - length)
+        spread = np.maximum(last - first + 1, 0)
+        start = np.repeat(first, spread) + _counted(spread)
+        return np.stack([np.repeat(row, spread), start, np.repeat(at - place, spread) + start])
+
+    def verified(texts: list[np.ndarray], items: list[np.ndarray], row: np.ndarray, start: np.ndarray, at: np.ndarray, length: int, edits: int) -> np.ndarray:
+        low = np.maximum(at - edits, 0)
+        high = np.minimum(at + length + edits, np.array([len(texts[r]) for r in row]))
+        wide = length + 2 * edits
+        pattern, text = np.empty((len(row), length), np.int64), np.zeros((len(row), wide), np.int64)
+        for i, (r, s, a, b) in enumerate(zip(row.tolist(), start.tolist(), low.tolist(), high.tolist(), strict=True)):
+            pattern[i] = items[r][s : s + length]
+            text[i, : b - a] = texts[r][a:b]
+        return best_distances(pattern, text, high - low)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts, items, ats, places = ([c.values.to_numpy() for c in batch.column(n)] for n in ("terms", "item_terms", "at", "place"))
+            shapes = np.array([_shape(len(i), window, budget) for i in items])
+            sizes = np.array([len(i) for i in items])
+            distance = shapes[:, 1] + 1
+            longest = np.zeros(batch.num_rows, np.int64)
+            for length, edits, piece in np.unique(shapes, axis=0).tolist():
+                of = np.flatnonzero((shapes == (length, edits, piece)).all(axis=1))
+                row = np.repeat(of, [len(ats[r]) for r in of])
+                at, place = (np.concatenate([x[r] for r in of]).astype(np.int64) for x in (ats, places))
+                # Hits that follow each other on a diagonal are one exact run.
+                by = np.lexsort((at, at - place, row))
+                row, at, place = row[by], at[by], place[by]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1] + 1)])
+                runs = np.diff(np.r_[new, len(row)]) + piece - 1
+                row, at, place = row[new], at[new], place[new]
+                np.maximum.at(longest, row, runs)
+                distance[row[runs >= length]] = 0
+                open_ = distance[row] > 0
+                row, start, where = passages(np.stack([row, at, place, runs])[:, open_], length, edits, sizes)
+                for k in range(0, len(row), 100_000):
+                    part = slice(k, k + 100_000)
+                    np.minimum.at(distance, row[part], verified(texts, items, row[part], start[part], where[part], length, edits))
+            kept = np.flatnonzero(distance <= shapes[:, 1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(pa.array(kept)), batch.column("item").take(pa.array(kept)), pa.array(distance[kept].astype(np.int32)), pa.array(longest[kept].astype(np.int32))],
+                names=["doc", "item", "distance", "run"],
+            )
 
     return run
 
 
+def _in_blocks(hits: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The join of both by ``h``, the rows of a key in blocks of about ``BLOCK`` by ``BLOCK``."""
+    sides = [x.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n)) for x, n in ((hits, "is"), (pieces, "js"))]
+    parts = materialize(sides[0].join(sides[1], "h"), "parts")
+    many = parts.filter((F.col("is") > 1) | (F.col("js") > 1))
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cut = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    left = hits.join(many, "h").select(*hits.columns, cut("is", "stretch", "at").alias("i"), span("js").alias("j"))
+    right = pieces.join(many, "h").select(*pieces.columns, cut("js", "item", "place").alias("j"), span("is").alias("i"))
+    few = parts.filter((F.col("is") == 1) & (F.col("js") == 1)).select("h")
+    return hits.join(few, "h").join(pieces, "h").unionByName(left.join(right, ["h", "i", "j"]).drop("i", "j"))
+
+
+def _key(c: str, alias: str) -> Column:
+    return F.col(c).cast("string").alias(alias)
+
+
 def leaks(
-    docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, window: int = 10, budget: int = 1,
-    block: int = BLOCK,
-) -> DataFrame:
+    docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, window: int = 10, budget: int = 1
+) -> DataFrame:
     """``(doc_key, item_key, distance, run)``: documents that hold a passage of an item with at most ``budget`` edits.
 
-    A passage is ``window`` consecutive terms of the item, or the whole of a
+    A passage is ``window`` consecutive terms of the item, at most 64, or the whole of a
     shorter item, of which at least one term must stand; an edit inserts, deletes or replaces a term.  ``distance`` is the least
     of all passages found, ``run`` the longest run of terms that the document has in common with the item.
 
     Whole texts are searched.  Null and empty texts and items, and null keys,
-    give no rows; a repeated key counts as one document.  Items are searched in blocks of about ``block``
-    terms, so what is broadcast is bounded by that and the longest item.
+    give no rows; a repeated key counts as one document or item.
     """
-    if window < budget + 1:
-        raise ValueError("a passage needs a term for each piece")
+    if not budget < window <= 64:
+        raise ValueError("a passage needs a term for each piece, and has at most 64")
     spark = docs.sparkSession
-    texts = docs.filter(F.col(doc_key).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_key).cast("string").alias("doc"), F.col(doc_text).alias("text"))
-    found = spark.createDataFrame([], _FOUND)
-    held: list[tuple[str, list[str]]] = []
-    size = 0
-
-    def searched() -> DataFrame:
-        return found.unionByName(texts.mapInArrow(_search(spark.sparkContext.broadcast(Block(held, window, budget))), _FOUND))
-
-    for row in items.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).alias("t")).dropna().toLocalIterator():
-        held.append((row["k"], looked_terms(row["t"])))
-        size += len(held[-1][1])
-        if size >= block:
-            found, held, size = searched(), [], 0
-    if held:
-        found = searched()
+    given = items.select(_key(item_key, "item"), F.col(item_text)).dropna()
+    known = materialize(given.mapInArrow(_cut_items, _ITEMS).withColumn("number", F.monotonically_increasing_id()), "items")
+    pieces = materialize(known.select(F.col("number").cast("string").alias("item"), "terms").mapInArrow(_cut_pieces(window, budget), _PIECES), "pieces")
+    # Passages come in as many sizes as a window has terms, at most.
+    shapes = known.select(F.least(F.size("terms"), F.lit(window)).alias("n")).distinct().collect()
+    sizes = sorted({_shape(r["n"], window, budget)[2] for r in shapes})
+    asked = pieces.agg(F.count("*").alias("n")).first()["n"]
+    bits = 1 << min(max(asked * FILTER_BITS, 64).bit_length(), MOST_BITS.bit_length() - 1)
+    held = spark.sparkContext.broadcast(_filter(pieces, bits))
+
+    texts = docs.select(_key(doc_key, "doc"), F.col(doc_text)).dropna()
+    shown = materialize(texts.mapInArrow(_search(held, sizes, 2 * window + budget), _STRETCH_SQL), "stretches")
+    hits = shown.select("stretch", F.explode(F.arrays_zip("at", "h")).alias("e")).select("stretch", "e.at", "e.h")
+    met = _in_blocks(hits, pieces).groupBy("stretch", "item").agg(F.collect_list(F.struct("at", "place")).alias("e"))
+    met = materialize(met.select("stretch", F.col("item").cast("bigint").alias("number"), F.col("e.at").alias("at"), F.col("e.place").alias("place")), "met")
+    counts = met.groupBy("number").agg(F.count("*").alias("n"))
+    total = met.count()
+    cut = known.select("number", "item", F.col("terms").alias("item_terms")).join(counts, "number")
+    both = join_by_heat(met, cut, ["number"], F.col("n") > total * HOT_SHARE)
+    both = both.join(shown.select("stretch", "doc", "terms"), "stretch").select("doc", "terms", "item", "item_terms", "at", "place")
+    found = both.mapInArrow(_verify(window, budget), _FOUND)
     doc_type, item_type = dict(docs.dtypes)[doc_key], dict(items.dtypes)[item_key]
     return (
         found.groupBy("doc", "item").agg(F.min("distance").alias("distance"), F.max("run").alias("run"))

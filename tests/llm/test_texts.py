@@ -84,11 +84,22 @@ def _distance(pattern, text):
     return min(row)
 
 
-def test_bit_parallel_distance_equals_dynamic_programming():
-    rng = random.Random(10)
-    for _ in range(500):
-        a, b = ([rng.randrange(4) for _ in range(rng.randint(lo, 90))] for lo in (1, 0))
-        assert leakage.best_distance(np.array(a, np.uint64), np.array(b, np.uint64)) == _distance(a, b)
+def test_bit_parallel_distances_equal_dynamic_programming():
+    rng = np.random.default_rng(10)
+    for m, n in ((1, 3), (3, 0), (10, 12), (33, 40), (64, 70)):
+        patterns, texts, lengths = rng.integers(0, 4, (200, m)), rng.integers(0, 4, (200, n)), rng.integers(0, n + 1, 200)
+        want = [_distance(p.tolist(), t[:k].tolist()) for p, t, k in zip(patterns, texts, lengths)]
+        assert leakage.best_distances(patterns, texts, lengths).tolist() == want
+
+
+def test_the_filter_misses_nothing():
+    rng = np.random.default_rng(12)
+    hashes = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    made = leakage.Filter(1 << 18)
+    for k in range(leakage.FILTER_HASHES):
+        bit = made.places(hashes, k)
+        np.bitwise_or.at(made.words, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
+    assert len(made.passing(hashes)) == 5000 and len(made.passing(rng.integers(0, 2**63, 100_000).astype(np.uint64))) < 300
 
 
 def _leaks(docs, items, window, budget):
@@ -102,16 +113,19 @@ def _leaks(docs, items, window, budget):
     return out
 
 
-@pytest.mark.parametrize("block", [5, 10**6])
-def test_leaks_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "window", "budget"), [(3, 6, 1), (1024, 6, 1), (1024, 7, 2), (1024, 4, 0)])
+def test_leaks_equal_brute_force(spark, monkeypatch, block, window, budget):
+    monkeypatch.setattr(leakage, "BLOCK", block)
+    monkeypatch.setattr(leakage, "HOT_SHARE", 0.05)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(12)]
-    items = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(12)] + [(98, None), (99, "")]
-    docs = [(d, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for d in range(60)] + [(98, None), (99, "")]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(12)] + [(98, None), (99, ""), (None, "w1 w2"), (3, "w1 w5 w7 w7 w2 w2 w1")]
+    docs = [(d, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for d in range(60)] + [(98, None), (99, ""), (None, "w1 w2"), (97, "w1 " * 300)]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item string").repartition(3)
     it = spark.createDataFrame([(*i, "x") for i in items], "item_id int, text string, doc string")
-    got = leakage.leaks(df, "doc_id", "text", it, "item_id", "text", window=6, budget=1, block=block).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == _leaks([d for d in docs if d[1]], [i for i in items if i[1]], 6, 1)
+    got = leakage.leaks(df, "doc_id", "text", it, "item_id", "text", window=window, budget=budget).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == _leaks([d for d in docs if d[1] and d[0] is not None], [i for i in items if i[1] and i[0] is not None], window, budget)
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got})
     assert leakage.leaks(df.limit(0), "doc_id", "text", it, "item_id", "text").count() == 0
     assert leakage.leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
 
