@@ -97,8 +97,9 @@ def _analyse(counted: int, least: int):
             cut = [[terms(t) for t in col] for col in texts]
             keep, flat, sizes = [], [], []
             for row in range(batch.num_rows):
-                if len({t for col in cut[-counted:] for t in col[row]}) >= least:
-                    both = {t for col in cut for t in col[row]}
+                both = set().union(*(col[row] for col in cut[-counted:]))
+                if len(both) >= least:
+                    both.update(*(col[row] for col in cut[:-counted]))
                     keep.append(row)
                     sizes.append(len(both))
                     flat += both
