@@ -56,6 +56,67 @@ def _osa_chunk(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+#: Patterns up to this length go through the bit-parallel steps; and so many pairs take them at a time.
+WIDE, PAIRS = 64, 1 << 18
+
+
+class Scanner:
+    """The distances of a few words to many strings and to all their prefixes, each pair in one pass over the string.
+
+    The columns of a pair's table are kept as differences in two machine words
+    (Hyyrö 2003), and after each character of the string the last cell is the
+    distance of the word to what has been read.
+    """
+
+    def __init__(self, words: list[str]):
+        letters = sorted({ch for w in words for ch in w})
+        self.letters = {ch: i + 1 for i, ch in enumerate(letters)}  # 0 is any other
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        self.table = np.zeros((len(words), len(letters) + 1), np.uint64)
+        for i, w in enumerate(words):
+            if len(w) > WIDE:
+                raise ValueError("a word is too long")
+            for at, ch in enumerate(w):
+                self.table[i, self.letters[ch]] |= np.uint64(1 << at)
+
+    def strings(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and lengths of strings."""
+        lengths = np.array([len(x) for x in strings], np.int64)
+        codes = np.zeros((len(strings), int(lengths.max(initial=0))), np.int32)
+        for i, x in enumerate(strings):
+            codes[i, : len(x)] = [self.letters.get(ch, 0) for ch in x]
+        return codes, lengths
+
+    def distances(self, word: np.ndarray, of: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of a word and a string, given as their numbers, the distance, and the least one to a prefix."""
+        whole, prefix = np.empty(len(word), np.int64), np.empty(len(word), np.int64)
+        for at in range(0, len(word), PAIRS):
+            part = slice(at, at + PAIRS)
+            whole[part], prefix[part] = self._steps(word[part], of[part], codes, lengths)
+        return whole, prefix
+
+    def _steps(self, word: np.ndarray, of: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, size = np.uint64(1), lengths[of]
+        high = np.maximum(self.lengths[word] - 1, 0).astype(np.uint64)
+        up, down = np.full(len(word), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(len(word), np.uint64)
+        diagonal, before = np.zeros(len(word), np.uint64), np.zeros(len(word), np.uint64)
+        score = self.lengths[word].copy()
+        whole, best = score.copy(), score.copy()
+        for step in range(int(size.max(initial=0))):
+            match = self.table[word, codes[of, step]]
+            swapped = (~diagonal & match) << one & before
+            diagonal = ((match & up) + up ^ up) | match | down | swapped
+            more, less = down | ~(diagonal | up), diagonal & up
+            score = score + (more >> high & one).astype(np.int64) - (less >> high & one).astype(np.int64)
+            more, less = more << one | one, less << one
+            up, down, before = less | ~(diagonal | more), more & diagonal, match
+            inside = step < size
+            best = np.where(inside, np.minimum(best, score), best)
+            whole = np.where(inside, score, whole)
+        empty = self.lengths[word] == 0
+        return np.where(empty, size, whole), np.where(empty, 0, best)
+
+
 def osa(a: str, b: str, most: float = float("inf")) -> int:
     """The distance of two strings, or ``most + 1`` if it is greater."""
     if abs(len(a) - len(b)) > most:

@@ -85,9 +85,10 @@ def tokens(text: str | None) -> list[tuple[str, int, int]]:
 # ``terms`` works on whole strings: only non-ASCII characters are looked up one
 # by one; the three marks carry what the camelCase rule needs past the folding.
 _UP, _STOP, _LOW = "\x01", "\x02", "\x03"
-_NON_ASCII = re.compile(r"[^\x00-\x7f]")
+_NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 _TOKEN = re.compile(r"[^\W_]+")
 _TOKEN_ASCII = re.compile(r"[a-z0-9]+")
+_HAS_CAMEL_ASCII = re.compile(r"[a-z][A-Z]")
 _CAMEL_ASCII = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -124,19 +125,38 @@ def _mapped(ch: str) -> str:
     return (_UP if kind == "Lu" else "") + folded + after
 
 
+class _Mapping(dict):
+    """``_mapped`` by code point, for ``str.translate``."""
+
+    def __missing__(self, cp: int) -> str:
+        self[cp] = found = _mapped(chr(cp))
+        return found
+
+
+_MAPPING = _Mapping()
+
+
+def _mapped_run(m: re.Match[str]) -> str:
+    run = m[0]
+    return _mapped(run) if len(run) == 1 else run.translate(_MAPPING)
+
+
 def terms(text: str | None) -> list[str]:
     """The tokens of ``text`` in order, without offsets."""
     if not text:
         return []
     if "'" in text:
         text = text.replace("'", "")
-    if text.isascii():
-        if _CAMEL_ASCII.search(text):
+    plain = text.isascii()
+    if not plain:
+        if _MARKS.search(text):
+            text = _MARKS.sub(" ", text)
+        text = _NON_ASCII.sub(_mapped_run, text)
+        plain = text.isascii() and not _MARKS.search(text)
+    if plain:
+        if _HAS_CAMEL_ASCII.search(text):
             text = _CAMEL_ASCII.sub(" ", text)
         return _TOKEN_ASCII.findall(text.lower())
-    if _MARKS.search(text):
-        text = _MARKS.sub(" ", text)
-    text = _NON_ASCII.sub(lambda m: _mapped(m.group()), text)
     if _CAMEL.search(text):
         text = _CAMEL.sub(" ", text)
     text = _MARKS.sub("", text)

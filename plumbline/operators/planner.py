@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.distance import deletions, osa_column, osa_pairs
+from plumbline.functions.distance import PAIRS, WIDE, Scanner, deletions, osa_column, osa_pairs
 from plumbline.functions.text import terms
 
 MAX_WORDS = 16
@@ -103,36 +104,55 @@ def scan_words(words: list[tuple[str, int, bool]], terms_: DataFrame) -> DataFra
     For a single query this is quicker than the neighbourhoods, which pay off over many words.
     """
     asked = list(dict.fromkeys(words))
+    plain = [i for i, (w, k, _) in enumerate(asked) if k and len(w) <= WIDE]
+    spelled = {i: n for n, i in enumerate(plain)}
+    lengths = np.array([len(w) for w, _, _ in asked])
+    budgets = np.array([k for _, k, _ in asked])
+    opened = np.array([p for _, _, p in asked])
+
+    def matched(found: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(word, term, typos, exact), as numbers of words and terms."""
+        sizes = np.array([len(t) for t in found])
+        by = np.argsort(np.array(found, object), kind="stable") if found else np.empty(0, int)
+        ordered = [found[i] for i in by]
+        # Without typos: the term itself, and what begins with an open word.
+        for i, (word, k, is_open) in enumerate(asked):
+            low = bisect_left(ordered, word)
+            high = bisect_left(ordered, word + "\U0010ffff") if is_open else low + (low < len(ordered) and ordered[low] == word)
+            at = by[low:high]
+            if len(at):
+                yield np.full(len(at), i), at, np.zeros(len(at), np.int64), (sizes[at] - len(word) <= k) if is_open else np.ones(len(at), bool)
+        if plain and found:
+            scanner = Scanner([asked[i][0] for i in plain])
+            codes, _ = scanner.strings(found)
+            for at in range(0, len(plain), max(1, PAIRS // len(found))):
+                part = np.array(plain[at : at + max(1, PAIRS // len(found))])
+                apart = sizes[None, :] - lengths[part][:, None]
+                near = (apart >= -budgets[part][:, None]) & (opened[part][:, None] | (apart <= budgets[part][:, None]))
+                word, term = np.nonzero(near)
+                word = part[word]
+                whole, prefix = scanner.distances(np.array([spelled[w] for w in word.tolist()], np.int64), term, codes, sizes)
+                typos = np.where(opened[word], prefix, whole)
+                good = np.flatnonzero((typos > 0) & (typos <= budgets[word]))
+                yield word[good], term[good], typos[good], ~opened[word[good]] | (whole[good] <= budgets[word[good]])
+        for i, (word, k, is_open) in enumerate(asked):
+            if k and len(word) > WIDE:
+                near = np.flatnonzero((sizes >= len(word) - k) & (is_open | (sizes <= len(word) + k)))
+                whole = osa_pairs([word] * len(near), [found[t] for t in near])
+                typos = whole
+                if is_open:
+                    cuts = [osa_pairs([word] * len(near), [found[t][: len(word) + d] for t in near]) for d in range(-k, k + 1)]
+                    typos = np.minimum.reduce(cuts)
+                good = np.flatnonzero((typos > 0) & (typos <= k))
+                yield np.full(len(good), i), near[good], typos[good], (whole[good] <= k) if is_open else np.ones(len(good), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_ = pa.array([w for w, _, _ in asked], pa.string())
         for batch in batches:
-            found, sizes = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            lengths = np.array([len(t) for t in found])
-            for word, k, is_open in asked:
-                best = np.full(len(found), k + 1)
-                near = np.flatnonzero((lengths >= len(word) - k) & (lengths <= len(word) + k))
-                whole = np.full(len(found), k + 1)
-                if k:
-                    whole[near] = osa_pairs([word] * len(near), [found[i] for i in near])
-                else:
-                    whole[[i for i in near if found[i] == word]] = 0
-                if is_open:
-                    best[[i for i, t in enumerate(found) if t.startswith(word)]] = 0
-                    begun: dict[str, list[int]] = {}
-                    for i in np.flatnonzero((lengths >= len(word) - k) & (best > 0)) if k else ():
-                        for n in range(max(len(word) - k, 1), min(len(word) + k, lengths[i]) + 1):
-                            begun.setdefault(found[i][:n], []).append(i)
-                    distances = osa_pairs([word] * len(begun), list(begun)).tolist()
-                    for of, d in zip(begun.values(), distances, strict=True):
-                        if d <= k:
-                            best[of] = np.minimum(best[of], d)
-                else:
-                    best = whole
-                at = np.flatnonzero(best <= k)
-                exact = (whole[at] <= k) if is_open else np.ones(len(at), bool)
+            for word, term, typos, exact in matched(batch.column(0).to_pylist()):
+                of, at = pa.array(word), pa.array(term)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([word] * len(at), pa.string()), pa.array([k] * len(at), pa.int32()), pa.array([is_open] * len(at), pa.bool_()),
-                     pa.array([found[i] for i in at], pa.string()), pa.array(best[at].astype(np.int32)), pa.array(exact), pa.array(sizes[at])],
+                    [words_.take(of), pa.array(budgets[word].astype(np.int32)), pa.array(opened[word]), batch.column(0).take(at), pa.array(typos.astype(np.int32)), pa.array(exact), batch.column(1).take(at)],
                     names=[*WORD, "term", "typos", "exact", "df"],
                 )
 

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
-from plumbline.functions.distance import deletions, osa, osa_pairs
+from plumbline.functions.distance import Scanner, deletions, osa, osa_pairs
 from plumbline.functions.values import clean_values
 
 CASES = {
@@ -59,6 +60,19 @@ def test_distance():
     assert osa_pairs(*map(list, zip(*pairs))).tolist() == [_osa(*p) for p in pairs]
 
 
+def test_scanned_distances(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abc") for _ in range(n)) for n in (0, 1, 2, 5, 8, 12, 63, 64)]
+    strings = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(60)] + ["".join(rng.choice("abc") for _ in range(70)), words[-1], words[-1][1:]]
+    scanner = Scanner(words)
+    codes, lengths = scanner.strings(strings)
+    pairs = [(w, s) for w in range(len(words)) for s in range(len(strings))]
+    whole, prefix = scanner.distances(*(np.array(x) for x in zip(*pairs)), codes, lengths)
+    assert whole.tolist() == [_osa(words[w], strings[s]) for w, s in pairs]
+    short = [i for i, (_, s) in enumerate(pairs) if len(strings[s]) < 20]
+    assert prefix[short].tolist() == [min(_osa(words[pairs[i][0]], strings[pairs[i][1]][:n]) for n in range(len(strings[pairs[i][1]]) + 1)) for i in short]
+
+
 def test_near_strings_share_a_deletion(spark):
     rng = random.Random(3)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(60)})
