@@ -55,11 +55,10 @@ def size(packed: DataFrame) -> int:
 
 
 def common_counts(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """``(a, b, n)``: the size of the intersection of each set of ``left(a, bucket, bitmap)`` with each of ``right(b, bucket, bitmap)`` that meets it.
+    """``(a, b, n)``: the number of documents that a set of ``left(a, doc_ord)`` and one of ``right(b, doc_ord)`` have in common, if any.
 
-    For values of facets, of which one side has few.
+    Sets meet in their documents, so what is made is a row per document and pair
+    of sets that hold it, never a pair of sets that don't meet.  A document counts once however often it stands in a set.
     """
-    pairs = left.withColumnRenamed("bitmap", "x").join(right.withColumnRenamed("bitmap", "y"), "bucket")
-    each = pairs.select(a, b, "bucket", F.explode(F.array("x", "y")).alias("bitmap"))
-    met = each.groupBy(a, b, "bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap"))
-    return met.groupBy(a, b).agg(F.sum(F.bitmap_count("bitmap")).alias("n")).filter("n > 0")
+    met = left.select(a, "doc_ord").distinct().join(right.select(b, "doc_ord").distinct(), "doc_ord")
+    return met.groupBy(a, b).agg(F.count("*").alias("n"))

@@ -162,8 +162,8 @@ def build_index(records: DataFrame, config: IndexConfig | None = None) -> Index:
     """
     config = config or IndexConfig()
     workers = records.sparkSession.sparkContext.defaultParallelism
-    if len(records.inputFiles()) < workers:
-        # A few files make few tasks, and all that follows multiplies their rows.
+    if records.rdd.getNumPartitions() < workers:
+        # A few tasks would leave cores idle, and all that follows multiplies their rows.
         records = records.repartition(workers, config.ordinal)
     docs = records.select(
         F.col(config.ordinal).cast("bigint").alias("doc_ord"), F.col(config.key).alias("id"),

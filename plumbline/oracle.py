@@ -201,6 +201,9 @@ SQL: dict[str, str] = {
     "facet_index_records": f"WITH {CUR}, {FACETS} SELECT facet, value, count(*) AS n FROM fv GROUP BY ALL",
     "facet_intersections": f"""WITH {CUR}, {FACETS} SELECT a.value AS genre, b.value AS decade, count(*) AS n FROM fv a JOIN fv b USING (doc_ord)
   WHERE a.facet = 'genre' AND b.facet = 'decade' GROUP BY ALL""",
+    "docset_algebra": f"""WITH {CUR}, {FACETS}, a AS (SELECT doc_ord FROM fv WHERE facet = 'genre' AND value = 'Noir'), b AS (SELECT doc_ord FROM fv WHERE facet = 'decade' AND value = '1990s')
+SELECT 'noir' AS name, count(*) AS n FROM a UNION ALL SELECT 'nineties', count(*) FROM b UNION ALL SELECT 'both', count(*) FROM a SEMI JOIN b USING (doc_ord)
+  UNION ALL SELECT 'any', count(*) FROM (SELECT doc_ord FROM a UNION SELECT doc_ord FROM b) UNION ALL SELECT 'every', count(*) FROM cur""",
     "popularity_rank": f"WITH {CUR} SELECT id, row_number() OVER (ORDER BY popularity DESC NULLS LAST, doc_ord) - 1 AS pop_rank FROM cur",
     "dataset_summary": f"""WITH {CUR} SELECT count(*) AS records, min(year) AS first_year, max(year) AS last_year,
   (SELECT count(DISTINCT g) FROM (SELECT unnest(genres) AS g FROM cur)) AS genres FROM cur""",

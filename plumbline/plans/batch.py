@@ -94,24 +94,32 @@ class Batch:
         return found.select(*kept).unionByName(plain.select(*kept))
 
     def facet_counts(self, wanted: Column | None = None) -> DataFrame:
-        """``(scope, facet, value, n)`` of scopes that have words; ``wanted`` is a boolean over ``facet``.
+        """``(scope, facet, value, n)``; ``wanted`` is a boolean over ``facet``.
 
-        Counts take all documents that the text matches, filtered by the other facets.
+        Counts take all documents that the text matches, or all if it has no words, filtered by the other facets.
         """
         matches = self.text_matches().join(self.scopes.select("scope", "selected"), "scope")
         matches = matches.join(self.index.docs.select("doc_ord", "facets"), "doc_ord")
-        counts = facets.facet_counts(matches, "scope", wanted=wanted)
+        counts = facets.facet_counts(matches, "scope", wanted=wanted).unionByName(self._plain_counts(wanted))
         return facets.with_selected(counts, self.scopes, self.index.facet_values(), "scope", wanted)
 
     def text_matches(self) -> DataFrame:
-        """``(scope, doc_ord)`` without the filters; for scopes without words all documents."""
+        """``(scope, doc_ord)`` of the scopes that have words, without the filters."""
         if self.place and self.place["plain"]:
             return self.scored.select("scope", "doc_ord")
-        matches = scorer.word_matches(self.candidates, self.index.postings)
-        worded = scorer.scored_documents(self.words, matches, "scope").select("scope", "doc_ord")
-        rest = self.scopes.filter("n_words = 0").select("scope")
-        # Stated queries against all rows: the scopes without words differ only in their filters.
-        return worded.unionByName(rest.join(self.index.docs.select("doc_ord")))
+        return scorer.scored_documents(self.words, scorer.word_matches(self.candidates, self.index.postings), "scope").select("scope", "doc_ord")
+
+    def _plain_counts(self, wanted: Column | None) -> DataFrame:
+        """The counts of scopes without words: of whole values where no other facet filters, else of the documents that pass."""
+        values = self.index.facet_values() if wanted is None else self.index.facet_values().filter(wanted)
+        names = F.array(*(F.lit(n) for n in self.index.config.facets()))
+        asked = self.scopes.filter("n_words = 0").select("scope", F.explode(names).alias("facet"), "selected")
+        asked = asked.select("scope", "facet", F.map_filter("selected", lambda f, _: f != F.col("facet")).alias("selected"))
+        free = asked.filter(F.size("selected") == 0).join(values.groupBy("facet", "value").agg(F.count("*").alias("n")), "facet")
+        others = asked.filter(F.size("selected") > 0).withColumn("of", F.struct("scope", "facet"))
+        passing = docs_passing(self.index, others.select(F.col("of").alias("scope"), "selected")).select("scope.*", "doc_ord")
+        held = passing.join(values, ["doc_ord", "facet"]).groupBy("scope", "facet", "value").agg(F.count("*").alias("n"))
+        return free.select("scope", "facet", "value", "n").unionByName(held)
 
 
 def prepare(index: Index, requests: DataFrame) -> Batch:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from plumbline.operators import docsets, facets, highlight, scorer, suggest
 from plumbline.operators.current import latest
 from plumbline.operators.index import Index, build_index, decade, index_stats, invert, rating_bucket, term_table
 from plumbline.operators.index import IndexConfig
+from plumbline.operators.ordinals import running_totals
 from plumbline.operators.planner import WORD, describe_plan, expand_words, near_strings, plan_candidates, prefixes_of, query_words
 from plumbline.operators.shards import build_shards
 from plumbline.plans import batch, scatter
@@ -162,12 +164,21 @@ def facet_index_records(spark, sf):
 
 
 def facet_intersections(spark, sf):
-    """How many records have a genre and are of a decade, by bitmaps."""
+    """How many records have a genre and are of a decade."""
     values = record_index(spark, sf).facet_values()
-    pick = lambda name: docsets.pack(values.filter(F.col("facet") == name).withColumnRenamed("value", name), name)
+    pick = lambda name: values.filter(F.col("facet") == name).select(F.col("value").alias(name), "doc_ord")
     return docsets.common_counts(pick("genre"), pick("decade"), "genre", "decade")
 
 
+def docset_algebra(spark, sf):
+    """The sizes of two sets of records, of what they have in common and together, and of all, by bitmaps."""
+    index = record_index(spark, sf)
+    values = index.facet_values()
+    noir, nineties = (docsets.pack(values.filter((F.col("facet") == f) & (F.col("value") == v))) for f, v in (("genre", "Noir"), ("decade", "1990s")))
+    sets = {"noir": noir, "nineties": nineties, "both": docsets.combine([noir, nineties], True), "any": docsets.combine([noir, nineties], False), "every": docsets.pack(docsets.every(index))}
+    return reduce(DataFrame.unionByName, [s.agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("n")).select(F.lit(name).alias("name"), "n") for name, s in sets.items()])
+
+
 def popularity_rank(spark, sf):
     return record_index(spark, sf).docs.select("id", "pop_rank")
 
@@ -451,8 +462,10 @@ def latency_percentiles(spark, sf):
     """Percentiles of the values by kind of event: the element at floor(p / 100 * n), the last at most."""
     given = table(spark, sf, "events").filter(F.col("value").isNotNull()).select("event_type", "value")
     counts = given.groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    order = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    every = counts.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy("event_type")))
+    # Sums over ranges of values, so a kind with a fifth of all events isn't sorted by one task.
+    summed = materialize(running_totals(counts, ["event_type", "value"], "c", "before"), "summed")
+    kinds = summed.groupBy("event_type").agg(F.sum("c").alias("n"), F.min("before").alias("base"))
+    every = summed.join(F.broadcast(kinds), "event_type").withColumn("upto", F.col("before") - F.col("base") + F.col("c"))  # a row per kind of event
     at = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n") / 100))
     pick = lambda p: F.min(F.when(F.col("upto") > at(p), F.col("value")))
     return every.groupBy("event_type").agg(pick(50).alias("p50"), pick(95).alias("p95"), pick(99).alias("p99"), F.max("value").alias("max"), F.max("n").alias("n"))
@@ -460,7 +473,7 @@ def latency_percentiles(spark, sf):
 
 _FUNCTIONS = (
     current_records, tokens_titles, tokens_requests, token_counts_documents, token_offsets_titles, html_escape, html_unescape, postings_records,
-    term_df_records, term_df_documents, index_stats_records, index_stats_part, facet_index_records, facet_intersections, popularity_rank, dataset_summary, decade_bucket,
+    term_df_records, term_df_documents, index_stats_records, index_stats_part, facet_index_records, facet_intersections, docset_algebra, popularity_rank, dataset_summary, decade_bucket,
     rating_buckets, exact_term, unknown_words, prefix_terms, near_term_pairs, request_words, plan_sizes, plan_caps, page_tie_breaks, proximity_pairs,
     matched_terms, facet_counts, facet_counts_wanted, facet_selected_zero, facet_display, highlight_title, snippet_description, response_json,
     suggest_alternatives, did_you_mean, batch_search_topk, batch_search_relational, batch_hit_counts, request_bounds, request_filters, latest_wins, latest_wins_stream,

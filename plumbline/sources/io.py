@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable, Iterable
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import materialize
+
 RECORD_SCHEMA = "id string, title string, description string, genres array<string>, year int, rating double, popularity bigint"
 
 
@@ -21,6 +25,32 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA)
     return spark.read.schema(schema).json(path)
 
 
+def load_with_progress(records: DataFrame, tell: Callable[[int, int], None], every: float = 0.2) -> DataFrame:
+    """Read and keep ``records``, telling now and then how many tasks of how many are done; a failure is raised as usual."""
+    context = records.sparkSession.sparkContext
+    group, out, failed = f"load-{uuid.uuid4().hex}", [], []
+
+    def load() -> None:
+        context.setJobGroup(group, "load records")
+        try:
+            out.append(materialize(records, "loaded"))
+        except Exception as e:  # noqa: BLE001, raised by the caller's thread
+            failed.append(e)
+
+    thread = InheritableThread(load, session=records.sparkSession)
+    thread.start()
+    tracker = context.statusTracker()
+    while thread.is_alive():
+        thread.join(every)
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+        stages = [i for j in jobs if j for s in j.stageIds if (i := tracker.getStageInfo(s))]
+        if stages:
+            tell(sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages))
+    if failed:
+        raise failed[0]
+    return out[0]
+
+
 def read_parquet_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

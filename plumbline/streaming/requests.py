@@ -34,7 +34,7 @@ def stale_answers(requests: DataFrame, channel: str = "channel", order: str = "r
     rows = requests.withColumn("__row", F.struct(*requests.columns))
     out = F.lit(None).cast("bigint")
     sends = rows.filter(F.col(sent).isNotNull()).select(F.col(channel).alias("c"), F.col(sent).alias("t"), F.lit(0).alias("kind"), F.col(order).alias("id"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
-    comes = rows.select(F.col(channel).alias("c"), F.col(arrival).alias("t"), F.lit(1).alias("kind"), out.alias("id"), "__row")
+    comes = rows.filter(F.col(arrival).isNotNull()).select(F.col(channel).alias("c"), F.col(arrival).alias("t"), F.lit(1).alias("kind"), out.alias("id"), "__row")
     line = sends.unionByName(comes).withColumn("hour", F.date_trunc("hour", "t"))
     hours = line.groupBy("c", "hour").agg(F.max("id").alias("m"))
     before = Window.partitionBy("c").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,7 +43,8 @@ def stale_answers(requests: DataFrame, channel: str = "channel", order: str = "r
     near = line.withColumn("near", F.max("id").over(inside)).filter("kind = 1")
     seen = near.join(hours, F.col("c").eqNullSafe(F.col("hc")) & F.col("hour").eqNullSafe(F.col("hh")))
     late = F.col(f"__row.{order}") < F.greatest("near", "ahead")
-    return seen.select("__row.*", F.coalesce(late & F.col("t").isNotNull(), F.lit(False)).alias("stale"))
+    stale = seen.select("__row.*", F.coalesce(late, F.lit(False)).alias("stale"))
+    return stale.unionByName(requests.filter(F.col(arrival).isNull()).withColumn("stale", F.lit(False)))
 
 
 def read_requests(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:

@@ -15,6 +15,6 @@ def test_sets(spark):
     assert docsets.size(p) == len(a)
     assert docsets.size(docsets.combine([p, q], True)) == len(a & b) and docsets.size(docsets.combine([p, q], False)) == len(a | b)
     assert docsets.size(docsets.pack(x.limit(0))) == 0
-    left, right = docsets.pack(x.withColumn("f", F.lit("a")), "f"), docsets.pack(y.withColumn("g", F.col("doc_ord") % 2), "g")
+    left, right = x.withColumn("f", F.lit("a")).unionByName(x.withColumn("f", F.lit("a"))), y.withColumn("g", F.col("doc_ord") % 2)
     got = {r.g: r.n for r in docsets.common_counts(left, right, "f", "g").collect()}
     assert got == {k: n for k in (0, 1) if (n := len({o for o in a & b if o % 2 == k}))}

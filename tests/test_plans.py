@@ -5,7 +5,7 @@ import pytest
 from plumbline.plans import params
 from plumbline.plans.service import SearchClient, SearchService, is_query_response, is_request, is_response
 from plumbline.sources import dataset
-from plumbline.sources.io import as_json, read_json_records, read_or_generate, records_from_rows, summary, write_json_array
+from plumbline.sources.io import as_json, load_with_progress, read_json_records, read_or_generate, records_from_rows, summary, write_json_array
 from plumbline.streaming.requests import answer_stream, latest_requests, read_requests, stale_answers
 
 
@@ -89,6 +89,10 @@ def test_dataset(spark, tmp_path):
     write_json_array(df.drop("doc_ord"), path)
     assert json.load(open(path))[0] == rows[0]
     assert read_json_records(spark, path).count() == 400 and read_or_generate(spark, path, list).count() == 400 and read_or_generate(spark, "/none", lambda: rows[:3]).count() == 3
+    told = []
+    assert load_with_progress(df, lambda done, of: told.append((done, of)), 0.01).count() == 400 and told[-1][0] <= told[-1][1]
+    with pytest.raises(Exception, match="divide|DIVIDE"):
+        load_with_progress(df.selectExpr("1 / (year - year) x"), lambda done, of: None)
     one = summary(df).first()
     assert one.records == 400 and one.first_year == min(r["year"] for r in rows) and one.genres == len({g for r in rows for g in r["genres"]})
     assert json.loads(as_json(df.limit(1)).first()["json"])["id"] == "item-000000"
