@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import facets, scorer
+from plumbline.operators import facets, scorer, suggest
 from plumbline.operators.index import Index
 from plumbline.operators.planner import cap_candidates, plan_candidates, plan_words, query_words, scan_words
 from plumbline.plans.params import bounded_integer
@@ -202,6 +204,47 @@ def docs_passing(index: Index, chosen: DataFrame) -> DataFrame:
     return found.filter("m = n").select("filter", "doc_ord").join(named.select("filter", "scope"), "filter").select("scope", "doc_ord")
 
 
+_TRIED = "query_id {}, query string, place int"
+
+
+def _try_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, [(word_idx, word, known, other terms)]) to the queries that are tried instead, in their order."""
+    for batch in batches:
+        rows, tried, places = [], [], []
+        for row, words in enumerate(batch.column(1).to_pylist()):
+            words.sort(key=lambda w: w["word_idx"])
+            given = [w["word"] for w in words]
+            others = [[o["term"] for o in sorted(w["others"], key=lambda o: o["place"])] for w in words]
+            found = [q for q in suggest.candidate_queries(given, others, [w["known"] for w in words]) if q != " ".join(given)]
+            rows += [row] * len(found)
+            tried += found
+            places += range(len(found))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(tried, pa.string()), pa.array(places, pa.int32())], names=["query_id", "query", "place"])
+
+
+def suggestions(index: Index, queries: DataFrame) -> DataFrame:
+    """``(query_id, place, suggestion)``: for each of ``queries(query_id, query)`` the first few queries near it that have hits, place from 0.
+
+    Words are looked up once however many queries have them, and all queries
+    that are tried are counted in one batch.  Queries without words have none.
+    """
+    kind = dict(queries.dtypes)["query_id"]
+    words = materialize(query_words(queries.select("query_id", "query", F.lit(True).alias("typo_tolerance"))).select("query_id", "word_idx", "word"), "words")
+    distinct = words.select("word").distinct()
+    near = suggest.alternatives(distinct, index.terms).groupBy("word").agg(F.collect_list(F.struct("place", "term")).alias("others"))
+    known = index.terms.select(F.col("term").alias("word"), F.lit(True).alias("known"))
+    looked = distinct.join(near, "word", "left").join(known, "word", "left")
+    no_others = F.array().cast("array<struct<place: int, term: string>>")
+    looked = looked.select("word", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("others", no_others).alias("others"))
+    asked = words.join(looked, "word").groupBy("query_id").agg(F.collect_list(F.struct("word_idx", "word", "known", "others")).alias("w"))
+    tried = materialize(asked.mapInArrow(_try_batch, _TRIED.format(kind)), "tried")
+    counted = count_hits(index, tried.select("query").distinct().withColumn("query_id", F.xxhash64("query")))
+    held = tried.withColumn("of", F.xxhash64("query")).join(counted.filter("n > 0").select(F.col("query_id").alias("of")), "of", "left_semi")
+    order = Window.partitionBy("query_id").orderBy("place")
+    ranked = held.select("query_id", (F.row_number().over(order) - 1).alias("place"), F.col("query").alias("suggestion"))
+    return ranked.filter(F.col("place") < suggest.SUGGESTIONS)
+
+
 def count_hits(index: Index, queries: DataFrame) -> DataFrame:
     """``(query_id, n)``: the number of documents that the text of ``queries(query_id, query)`` matches, with typo tolerance; all of a token-less one."""
     asked = queries.withColumn("typo_tolerance", F.lit(True))

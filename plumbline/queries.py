@@ -353,7 +353,8 @@ def snippet_description(spark, sf):
 
 
 def response_json(spark, sf):
-    return as_json(_asked(spark, sf, "search_typo").hits())
+    """The page of hits of a search, each as the JSON text in which it is answered."""
+    return as_json(_asked(spark, sf, "search_typo").hits().select("hit_pos", "id", *scorer.CRITERIA))
 
 
 def suggest_alternatives(spark, sf):
@@ -363,11 +364,11 @@ def suggest_alternatives(spark, sf):
 
 
 def did_you_mean(spark, sf):
-    """Suggestions for a query without hits."""
-    from plumbline.plans.engine import SearchEngine
-
-    engine = SearchEngine(record_index(spark, sf), parts=record_shards(spark, sf))
-    return spark.createDataFrame([(s,) for s in engine.suggestions(["xwindmil", "zqket"])], "suggestion string")
+    """Suggestions for every request that has words, no filters and no hits."""
+    index, requests = record_index(spark, sf), current_requests(spark, sf)
+    none = batch.prepare(index, requests).pages().filter("nb_hits = 0").select("request_id")
+    asked = requests.filter(F.size(facets.selections(F.col("facet_filters"))) == 0).join(none, "request_id")
+    return batch.suggestions(index, asked.select(F.col("request_id").alias("query_id"), "query")).withColumnRenamed("query_id", "request_id")
 
 
 # --- batches of requests -------------------------------------------------------
