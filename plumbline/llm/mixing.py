@@ -2,8 +2,10 @@
 
 The mix is a row of slots of equally many tokens.  Golden-ratio points, mapped
 through the cumulative weights, give each slot its source, so every stretch of
-the mix is close to the target shares.  The k-th slot of a source takes the
-k-th block of its shuffled documents, starting again after the last block as
+the mix is close to the target shares.  A source's shuffled documents, one after
+the other, are cut into blocks of a slot's tokens, so a document can be in
+several blocks and only the last block of a source can be shorter.  The k-th slot of a source takes its
+k-th block, starting again after the last one as
 often as the source's documents may be repeated; a slot whose source is used
 up stays empty.
 """
@@ -83,7 +85,8 @@ def mix(
 
     The mix has room for ``mix_tokens`` tokens, by default as many as all
     documents have together (whatever their source).  ``documents`` are
-    ``(key, source, tokens, repeats, first_slot)``, each used document with the
+    ``(key, source, first_token, tokens, repeats, first_slot)``, a row for each used document and block that
+    it is in: where its part begins, how many tokens it has, and the
     number of times that it is used; ``report`` has a row per target:
     ``source, target_share, max_repeats, documents, tokens, capacity_tokens,
     target_tokens, mixed_tokens, actual_share, empty_slots, reachable``, where
@@ -99,6 +102,8 @@ def mix(
 
     The order within a source is a seeded hash; tokens before each document are
     summed over range partitions, so no source is ever gathered in one task.
+    A source that can reach its target misses it by the few slots by which golden-ratio points differ from
+    their shares, and by what its last block lacks.
     """
     wanted = (
         targets.select(source_name(F.col("source")).alias("source"), F.greatest(F.col("target_share"), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).cast("bigint").alias("max_repeats"))
@@ -122,9 +127,13 @@ def mix(
         base += p["tokens"]
     known = F.broadcast(spark.createDataFrame(rows, kinds))
 
-    order = usable.join(F.broadcast(known.select("source", "base")), "source").withColumn("shuffle", F.xxhash64(F.lit(seed), "key"))
+    order = usable.join(F.broadcast(known.select("source", "base")), "source").withColumn("shuffle", F.md5(F.concat(F.lit(f"{seed}:"), F.col("key").cast("string"))))
     order = running_totals(order, ["source", "shuffle", "key"], "tokens", "before")
-    blocked = order.select("key", "source", "tokens", F.floor((F.col("before") - F.col("base")) / block_tokens).cast("bigint").alias("block"))
+    begin = (F.col("before") - F.col("base")).alias("begin")
+    span = F.explode(F.sequence(F.expr(f"begin div {block_tokens}"), F.expr(f"(begin + tokens - 1) div {block_tokens}")))
+    blocked = order.select("key", "source", "tokens", begin).withColumn("block", span)
+    low, high = F.greatest("begin", F.col("block") * block_tokens), F.least(F.col("begin") + F.col("tokens"), (F.col("block") + 1) * block_tokens)
+    blocked = blocked.select("key", "source", "block", (low - F.col("begin")).alias("first_token"), (high - low).alias("tokens"))
 
     slots = -(-room // block_tokens) if plan and sum(p["target_share"] for p in plan) > 0 else 0
     chosen = spark.range(slots).withColumnRenamed("id", "slot")
@@ -140,7 +149,7 @@ def mix(
     ranked = ranked.select("slot", "source", fits.alias("fits"), F.when(fits, F.expr("k % blocks")).alias("block"))
     ranked = materialize(ranked, "ranked")
     uses = ranked.filter("fits").groupBy("source", "block").agg(F.count("*").alias("repeats"), F.min("slot").alias("first_slot"))
-    mixed = blocked.join(uses, ["source", "block"]).select(F.col("key").alias(key), "source", "tokens", "repeats", "first_slot")
+    mixed = blocked.join(uses, ["source", "block"]).select(F.col("key").alias(key), "source", "first_token", "tokens", "repeats", "first_slot")
     mixed = materialize(mixed, "mix")
 
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"))

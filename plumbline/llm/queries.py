@@ -118,7 +118,7 @@ def _mix(spark: SparkSession, sf: str) -> mixing.Mix:
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document with the number of times the mix uses it."""
+    """The parts of documents that the mix uses, with the number of times."""
     return _mix(spark, sf).documents
 
 

@@ -64,9 +64,37 @@ above AS (SELECT *, rank() OVER (ORDER BY rating DESC) - 1 AS a, rank() OVER (OR
 _DOCS = f"""docs AS (SELECT doc_id, {tokens(canonical("text"))} AS w FROM documents WHERE text IS NOT NULL),
 items AS (SELECT item_id, {tokens(canonical("text"))} AS w FROM eval_items WHERE text IS NOT NULL)"""
 
-_SIZES = """sized AS (SELECT lower(trim(source, ' \t')) AS source, coalesce(length(text), 0) AS n FROM
-  (SELECT text, replace(source, chr(9), ' ') AS source FROM documents)),
-per AS (SELECT source, sum(n) AS n FROM sized GROUP BY source)"""
+# Byte-pair encoding by the public vocabulary's ranks: of each piece of text the adjacent parts of lowest rank are joined until none are in it.
+_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+_SPACE, _INK = r"[\t\n\x0b\f\r\x{85}\p{Z}]", r"[^\t\n\x0b\f\r\x{85}\p{Z}]"
+_PIECE = rf"''(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^\t\n\x0b\f\r\x{{85}}\p{{Z}}\p{{L}}\p{{N}}]+|{_SPACE}+"
+_SIZES = rf"""WITH RECURSIVE ranks AS MATERIALIZED (SELECT from_base64(b) AS b, r FROM read_csv('{_RANKS}', delim = ' ', header = false, quote = '', escape = '', columns = {{'b': 'VARCHAR', 'r': 'BIGINT'}})),
+split_ AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '({_SPACE}+)({_SPACE}{_INK})', '\1' || chr(1) || '\2', 'g'), chr(1))) AS x FROM documents WHERE text IS NOT NULL),
+piece AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(x, '{_PIECE}')) AS p FROM split_),
+bytes AS (SELECT p, list_transform(range(1, octet_length(encode(p)) + 1), lambda i: unhex(substr(hex(encode(p)), 2 * i - 1, 2))) AS w FROM (SELECT DISTINCT p FROM piece)),
+steps AS (SELECT p, w, true AS more FROM bytes
+  UNION ALL SELECT s.p, CASE WHEN n.i IS NULL THEN w ELSE w[:n.i - 1] || [w[n.i] || w[n.i + 1]] || w[n.i + 2:] END, n.i IS NOT NULL FROM (SELECT * FROM steps WHERE more) s
+  LEFT JOIN (SELECT p, arg_min(i, r * 1000000 + i) AS i FROM (SELECT p, i, w[i] || w[i + 1] AS b FROM (SELECT p, w, unnest(range(1, len(w))) AS i FROM steps WHERE more)) JOIN ranks USING (b) GROUP BY p) n ON n.p = s.p),
+counted AS (SELECT doc_id, sum(len(w))::BIGINT AS tokens FROM piece JOIN steps USING (p) WHERE NOT more GROUP BY doc_id),
+sized AS MATERIALIZED (SELECT doc_id, lower(regexp_replace(source, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) AS source, coalesce(tokens, 0) AS tokens FROM documents LEFT JOIN counted USING (doc_id)),
+goal AS (SELECT lower(regexp_replace(source, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) AS source, target_share AS share, greatest(max_repeats, 0)::BIGINT AS max_repeats FROM mix_targets),
+per AS (SELECT source, count(*) AS documents, sum(tokens)::BIGINT AS tokens FROM sized WHERE tokens > 0 GROUP BY source),
+room AS (SELECT sum(tokens) AS n FROM sized)"""
+
+# Blocks of 1,024 tokens and the golden-ratio schedule of slots.
+_MIXED = rf"""{_SIZES},
+plan AS (SELECT goal.*, coalesce(documents, 0) AS documents, coalesce(tokens, 0) AS tokens, (coalesce(tokens, 0) + 1023) // 1024 AS blocks,
+  row_number() OVER (ORDER BY goal.source) - 1 AS place, sum(share) OVER (ORDER BY goal.source ROWS UNBOUNDED PRECEDING) / (SELECT sum(share) FROM goal) AS upto FROM goal LEFT JOIN per USING (source)),
+line AS (SELECT doc_id, source, tokens, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY md5('17:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_
+  FROM sized SEMI JOIN goal USING (source) WHERE tokens > 0),
+part AS (SELECT *, unnest(range(begin_ // 1024, (begin_ + tokens - 1) // 1024 + 1)) AS block FROM line),
+slots AS (SELECT slot, ((((slot + 1)::UHUGEINT * 11400714819323198485) % 18446744073709551616) // 2048)::DOUBLE / 9007199254740992 AS point
+  FROM (SELECT unnest(range((SELECT (n::BIGINT + 1023) // 1024 FROM room))) AS slot)),
+chosen AS (SELECT slot, least((SELECT count(*) FROM plan WHERE upto <= point), (SELECT count(*) - 1 FROM plan)) AS place FROM slots),
+filled AS (SELECT slot, source, k % nullif(blocks, 0) AS block, k < blocks * max_repeats AS fits FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS k FROM chosen) JOIN plan USING (place)),
+uses AS (SELECT source, block, count(*) AS repeats, min(slot) AS first_slot FROM filled WHERE fits GROUP BY ALL),
+mixed AS (SELECT doc_id, source, greatest(begin_, block * 1024) - begin_ AS first_token, least(begin_ + tokens, (block + 1) * 1024) - greatest(begin_, block * 1024) AS tokens, repeats, first_slot
+  FROM part JOIN uses USING (source, block))"""
 
 _SIMILAR = f"""WITH {_CURRENT}, {_BOTH},
 able AS (SELECT id FROM cur WHERE len(list_distinct({tokens("coalesce(description, '')")})) >= 12),
@@ -146,10 +174,13 @@ SELECT id, t AS term FROM held WHERE n >= 3 AND records <= 5""",
 d AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' '))) AS s FROM docs WHERE len(w) >= 10),
 e AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' '))) AS s FROM items WHERE len(w) >= 10)
 SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (s)""",
-    # Any usual measure of size gives the same sources; here it is characters.
-    "p8_found": f"""WITH {_SIZES}
-SELECT t.source FROM mix_targets t LEFT JOIN per ON per.source = lower(trim(t.source))
-WHERE coalesce(per.n, 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM sized)""",
+    "p8_mix": f"{_MIXED} SELECT doc_id, source, first_token, tokens, repeats, first_slot FROM mixed",
+    "p8_report": f"""{_MIXED}, got AS (SELECT source, sum(tokens * repeats)::BIGINT AS n FROM mixed GROUP BY source), rest AS (SELECT source, count(*) AS n FROM filled WHERE NOT fits GROUP BY source)
+SELECT source, share AS target_share, max_repeats, documents, tokens, tokens * max_repeats AS capacity_tokens, share * room.n AS target_tokens, coalesce(got.n, 0) AS mixed_tokens,
+  coalesce(got.n, 0) / (SELECT sum(n) FROM got) AS actual_share, coalesce(rest.n, 0) AS empty_slots, tokens * max_repeats >= share * room.n AS reachable
+FROM plan CROSS JOIN room LEFT JOIN got USING (source) LEFT JOIN rest USING (source)""",
+    "p8_found": f"""{_SIZES}
+SELECT g.source FROM goal g LEFT JOIN per USING (source) CROSS JOIN room WHERE coalesce(tokens, 0) * max_repeats < share * n""",
     "p9_texts": f"""SELECT doc_id, md5({canonical("text")}) AS canonical_md5, {canonical("text")} <> text AS changed FROM documents""",
     "p9_found": f"""WITH c AS (SELECT doc_id, text, {canonical("text")} AS k FROM documents WHERE text <> '')
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.k = b.k AND a.text <> b.text AND a.doc_id < b.doc_id""",

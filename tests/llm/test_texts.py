@@ -158,6 +158,15 @@ def test_mix(spark):
         assert (r.empty_slots > 0) == (not r.reachable)
         if r.reachable:
             assert abs(r.mixed_tokens - r.target_tokens) < 4 * 64
+        slots: dict = {}
+        for u in own:
+            assert 0 <= u.first_token and u.tokens > 0
+            slots.setdefault(u.first_slot, []).append(u.tokens)
+        assert sum(sum(v) != 64 for v in slots.values()) <= 1  # only the last block is shorter
+    held = {}
+    for u in used:
+        held.setdefault((u.doc_id, u.source), []).append((u.first_token, u.tokens))
+    assert all(a + n <= b for v in held.values() for (a, n), (b, _) in itertools.pairwise(sorted(v)))
     assert sum(r.actual_share for r in report.values()) == pytest.approx(1)
     assert not report["none"].reachable and report["none"].documents == 0
     again = mixing.mix(docs.repartition(5), "doc_id", "text", "source", targets, block_tokens=64).documents.collect()
