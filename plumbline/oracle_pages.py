@@ -5,8 +5,9 @@ Texts are taken apart into characters, so that marks are put around them one by
 
 from __future__ import annotations
 
-from plumbline.oracle import BATCH, CUR, EXPAND, SPACE, _ranked, osa, search
+from plumbline.oracle import BATCH, BUCKET, CUR, DECADE, EXPAND, FACETS, REQ, SPACE, _broken, _page, _ranked, osa, search
 from plumbline.oracle import SQL as OTHERS
+from plumbline.queries import RESPONSES, SEARCHES
 
 _ESCAPE = """replace(replace(replace(replace(replace(c.ch, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')"""
 
@@ -60,7 +61,64 @@ parts AS (SELECT text, w[j] AS word, CASE WHEN length(w[j]) < 4 THEN 0 WHEN leng
 good AS (SELECT DISTINCT text FROM parts SEMI JOIN cands2 USING (word, k, prefix)),
 placed AS (SELECT request_id, text, row_number() OVER (PARTITION BY request_id ORDER BY o) - 1 AS place FROM left_ SEMI JOIN good USING (text))"""
 
+
+def _encoded(text: str) -> str:
+    """Percent-encoding that leaves what a query's value may keep."""
+    out = f"url_encode({text})"
+    for code, ch in (("%21", "!"), ("%2A", "*"), ("%27", "''"), ("%28", "("), ("%29", ")")):
+        out = f"replace({out}, '{code}', '{ch}')"
+    return out
+
+
+_FOLDED = """replace(replace(translate(lower(strip_accents({})), 'øłđ', 'old'), 'ß', 'ss'), 'æ', 'ae')"""
+# A number in a body must be finite and not below its least value; a null field isn't in the body.
+_VALID = """(page IS NULL OR (isfinite(page) AND page >= 0)) AND (hits_per_page IS NULL OR (isfinite(hits_per_page) AND hits_per_page >= 1)) AND (snippet_length IS NULL OR snippet_length >= 1)
+  AND (facet_filters IS NULL OR len(list_filter(facet_filters, lambda g: g IS NULL OR len(list_filter(g, lambda x: x IS NULL)) > 0)) = 0)
+  AND (facets IS NULL OR len(list_filter(facets, lambda x: x IS NULL)) = 0)"""
+
+
+def _response(name: str) -> str:
+    """A search's response; facets are counted under the filters of the others."""
+    query, _, _, size, groups = SEARCHES[name]
+    first, rows = _page(name)
+    worded = any(ch.isalnum() for ch in query)
+    chosen: dict[str, list[str]] = {}
+    for item in (x for g in groups or [] for x in g):
+        chosen.setdefault(item.partition(":")[0], []).append(item.partition(":")[2])
+    text = "SELECT doc_ord FROM scored" if worded else "SELECT doc_ord FROM cur"
+    passed = lambda skip: "".join(f" AND doc_ord IN (SELECT doc_ord FROM fv WHERE facet = '{f}' AND value IN ({', '.join(chr(39) + v + chr(39) for v in vs)}))" for f, vs in chosen.items() if f != skip)
+    count = lambda f: f"(SELECT count(*) FROM fv WHERE facet = '{f}' AND doc_ord IN ({text}){passed(f)})"
+    plan = "(SELECT string_agg(word || ':' || k || ':' || prefix || ':' || n, ' ' ORDER BY idx) FROM (SELECT q.idx, q.word, q.k, q.prefix, count(c.term) AS n FROM q LEFT JOIN capped c USING (idx) GROUP BY ALL))" if worded else "''"
+    kind = "CASE attribute WHEN 0 THEN 'title' WHEN 1 THEN 'genres' ELSE 'description' END" if worded else "'none'"
+    return f"""SELECT * FROM ({_ranked(name)}, {_broken("ranked", "ORDER BY rank")}, paged AS (SELECT * FROM broken WHERE rank >= {first} AND rank < {first} + {rows}), total AS (SELECT count(*) AS n FROM ranked)
+SELECT '{name}' AS search, n AS nb_hits, ({first}) // {rows} AS page, ceil(n / {rows})::BIGINT AS nb_pages, {int(size)}::BIGINT AS hits_per_page, {plan} AS plan,
+  coalesce((SELECT string_agg(id || '/' || coalesce(criterion, '-') || '/' || {kind}, ' ' ORDER BY rank) FROM paged), '') AS hits,
+  {count("genre")} AS genres, {count("decade")} AS decades, {count("rating")} AS ratings FROM total)"""
+
+
 SQL = OTHERS | {
+    "normalized_genres": rf"""WITH {CUR} SELECT DISTINCT g AS genre, regexp_replace({_FOLDED.format("g")}, '[^\p{{L}}\p{{N}}]+', '', 'g') AS folded FROM (SELECT unnest(genres) AS g FROM cur) WHERE g IS NOT NULL""",
+    "capitalized_queries": f"WITH {REQ} SELECT request_id, upper(left(query, 1)) || substr(query, 2) AS capitalized FROM req",
+    "formatted_numbers": f"""WITH {CUR} SELECT id, format('{{:,}}', popularity) AS grouped,
+  CASE WHEN popularity >= 100 THEN format('{{:.0f}}', popularity::DOUBLE) WHEN popularity >= 10 THEN format('{{:.1f}}', popularity::DOUBLE) ELSE format('{{:.2f}}', popularity::DOUBLE) END AS ms,
+  CASE WHEN popularity < 1024 THEN popularity || ' B' WHEN popularity < 1048576 THEN format('{{:.0f}}', popularity / 1024) || ' KB' ELSE format('{{:.1f}}', popularity / 1024 / 1024) || ' MB' END AS bytes
+FROM cur WHERE popularity IS NOT NULL""",
+    "canonical_params": f"""WITH {REQ} SELECT request_id, 'query=' || {_encoded("coalesce(query, '')")} || '&hitsPerPage=20&page=0'
+  || CASE WHEN len(facet_filters) > 0 THEN '&facetFilters=' || {_encoded("to_json(facet_filters)::VARCHAR")} ELSE '' END
+  || CASE WHEN facets IS NOT NULL THEN '&facets=' || {_encoded("array_to_string(facets, ',')")} ELSE '' END AS params FROM req""",
+    "valid_bodies": f"WITH {REQ} SELECT request_id, coalesce({_VALID}, false) AS valid, CASE WHEN {_VALID} THEN coalesce(query, '') END AS query FROM req",
+    "url_states": rf"""WITH {REQ}, items AS (SELECT request_id, unnest(flatten(list_filter(facet_filters, lambda g: g IS NOT NULL))) AS x FROM req),
+v AS (SELECT DISTINCT request_id, left(x, strpos(x, ':') - 1) AS f, substr(x, strpos(x, ':') + 1) AS v FROM items WHERE strpos(x, ':') > 1),
+ok AS (SELECT * FROM v WHERE f IN ('genre', 'decade', 'rating') AND v <> '' AND strpos(v, ',') = 0 AND NOT regexp_matches(v, '^[\s\p{{Z}}]|[\s\p{{Z}}]$'))
+SELECT request_id, coalesce(query, '') AS query, coalesce((SELECT list(v ORDER BY v) FROM ok WHERE ok.request_id = req.request_id AND f = 'genre'), []) AS genres,
+  (SELECT count(*) FROM ok WHERE ok.request_id = req.request_id) AS count FROM req""",
+    "json_round_trip": f"""WITH {CUR} SELECT id, title, description, genres, year, CASE WHEN NOT isnan(rating) THEN rating END AS rating, popularity, coalesce(isnan(rating), false) AS rating_is_nan FROM cur""",
+    "facet_accessors": f"WITH {CUR}, {FACETS} SELECT DISTINCT facet, value FROM fv",
+    "text_hit_counts": f"""WITH {BATCH.replace("typo_tolerance IS DISTINCT FROM false AS tol", "true AS tol")},
+met AS (SELECT DISTINCT idx, doc_ord FROM capped JOIN (SELECT DISTINCT term, doc_ord FROM tok) USING (term)),
+n AS (SELECT request_id, count(DISTINCT doc_ord) AS n FROM asked JOIN met USING (idx) GROUP BY request_id)
+SELECT request_id, CASE WHEN request_id IN (SELECT request_id FROM words) THEN coalesce(n, 0) ELSE (SELECT count(*) FROM cur) END AS n FROM req LEFT JOIN n USING (request_id)""",
+    "search_responses": " UNION ALL ".join(map(_response, RESPONSES)),
     "did_you_mean": f"{_NO_HITS} SELECT request_id, place::INT AS place, text AS suggestion FROM placed WHERE place < 3",
     "token_offsets_titles": f"""WITH {CUR}, rows_ AS (SELECT id AS k, title AS x FROM cur WHERE title IS NOT NULL), {TOKENS_AT}
 SELECT k AS id, term AS text, s::INT AS start, e::INT AS "end" FROM token_at""",

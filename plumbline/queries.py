@@ -25,8 +25,12 @@ from plumbline.operators.ordinals import running_totals
 from plumbline.operators.planner import WORD, describe_plan, expand_words, near_strings, plan_candidates, prefixes_of, query_words
 from plumbline.operators.shards import build_shards
 from plumbline.plans import batch, scatter
-from plumbline.session import materialize, shared_dir
-from plumbline.sources.io import as_json, summary
+from plumbline.plans.engine import SearchEngine
+from plumbline.plans.params import (
+    FACET_NAMES, InvalidParams, SearchState, count_refinements, parse_query_body, parse_search_params, serialize_params, serialize_search_params, to_query_params,
+)
+from plumbline.session import materialize, shared_dir, table_path
+from plumbline.sources.io import as_json, read_json_lines, summary, write_json_lines
 from plumbline.streaming.requests import latest_requests, read_requests, stale_answers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +139,97 @@ def html_unescape(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (back == F.col("text")).alias("same"))
 
 
+def _mapped(function, kind: str):
+    """A text column through a function of one text; null stays null."""
+    import pyarrow as pa
+
+    def run(values):
+        return pa.array([None if v is None else function(v) for v in values.to_pylist()])
+
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind)
+
+
+def normalized_genres(spark, sf):
+    """Every genre as written, and folded to its letters and digits."""
+    genres = latest_records(spark, sf).select(F.explode("genres").alias("genre")).filter(F.col("genre").isNotNull()).distinct()
+    return genres.select("genre", _mapped(text.normalize_word, "string")("genre").alias("folded"))
+
+
+def capitalized_queries(spark, sf):
+    return current_requests(spark, sf).select("request_id", _mapped(text.capitalize, "string")("query").alias("capitalized"))
+
+
+def formatted_numbers(spark, sf):
+    """Popularity with separators of thousands, and as milliseconds and bytes are shown."""
+    n = latest_records(spark, sf).filter(F.col("popularity").isNotNull()).select("id", "popularity")
+    show = lambda f: _mapped(f, "string")("popularity")
+    return n.select("id", show(text.format_int).alias("grouped"), show(text.format_ms).alias("ms"), show(text.format_bytes).alias("bytes"))
+
+
+# --- requests as texts --------------------------------------------------------
+
+
+def canonical_params(spark, sf):
+    """Every request's canonical string of parameters, as of its first page of twenty."""
+    import pyarrow as pa
+
+    def run(queries, filters, facets_):
+        rows = zip(queries.to_pylist(), filters.to_pylist(), facets_.to_pylist(), strict=True)
+        return pa.array([serialize_params({"query": q, "facetFilters": f, "facets": n}, 20, 0) for q, f, n in rows])
+
+    run.__annotations__ = {"queries": pa.Array, "filters": pa.Array, "facets_": pa.Array, "return": pa.Array}
+    return current_requests(spark, sf).select("request_id", F.arrow_udf(run, "string")("query", "facet_filters", "facets").alias("params"))
+
+
+def _body():
+    return F.to_json(F.struct("query", "page", F.col("hits_per_page").alias("hitsPerPage"), F.col("typo_tolerance").alias("typoTolerance"), F.col("facet_filters").alias("facetFilters"), "facets", F.col("snippet_length").alias("snippetLength")))
+
+
+def valid_bodies(spark, sf):
+    """Whether every request's JSON body is accepted, and its query."""
+
+    def accepted(body):
+        try:
+            return parse_query_body(body)["query"]
+        except InvalidParams:
+            return None
+
+    parsed = _mapped(accepted, "string")(_body()).alias("query")
+    return current_requests(spark, sf).select("request_id", parsed).select("request_id", F.col("query").isNotNull().alias("valid"), "query")
+
+
+def url_states(spark, sf):
+    """What is left of every request's query and values after a turn through the URL."""
+    import pyarrow as pa
+
+    kind = pa.struct([("query", pa.string()), ("genres", pa.list_(pa.string())), ("count", pa.int64())])
+
+    def run(queries, filters):
+        out = []
+        for q, f in zip(queries.to_pylist(), filters.to_pylist(), strict=True):
+            chosen = {n: sorted({v for v in facets.parse_filters(f).get(n, []) if v.strip() == v and v and "," not in v}) for n in FACET_NAMES}
+            state = parse_search_params(serialize_search_params(SearchState(q or "", chosen)))
+            asked = facets.parse_filters(to_query_params(state).get("facetFilters"))
+            out.append({"query": state.query, "genres": asked.get("genre", []), "count": count_refinements(state.refinements)})
+        return pa.array(out, kind)
+
+    run.__annotations__ = {"queries": pa.Array, "filters": pa.Array, "return": pa.Array}
+    turned = F.arrow_udf(run, "query string, genres array<string>, count bigint")("query", "facet_filters")
+    return current_requests(spark, sf).select("request_id", turned.alias("s")).select("request_id", "s.*")
+
+
+# --- sources -------------------------------------------------------------------
+
+
+def json_round_trip(spark, sf):
+    """The current records, written as lines of JSON and read again."""
+    path = table_path(spark, "json")
+    write_json_lines(latest_records(spark, sf).drop("doc_ord"), path)
+    odd = F.coalesce(F.isnan("rating"), F.lit(False))
+    return read_json_lines(spark, path).withColumn("rating_is_nan", odd).withColumn("rating", F.when(~odd, F.col("rating")))
+
+
 # --- index -----------------------------------------------------------------
 
 
@@ -179,6 +274,12 @@ def docset_algebra(spark, sf):
     return reduce(DataFrame.unionByName, [s.agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("n")).select(F.lit(name).alias("name"), "n") for name, s in sets.items()])
 
 
+def facet_accessors(spark, sf):
+    """The facets' names and values as the engine tells them."""
+    engine = SearchEngine(record_index(spark, sf), parts=record_shards(spark, sf))
+    return spark.createDataFrame([(f, v) for f in engine.facet_names() for v in engine.values_of(f)], "facet string, value string")
+
+
 def popularity_rank(spark, sf):
     return record_index(spark, sf).docs.select("id", "pop_rank")
 
@@ -398,6 +499,30 @@ def batch_hit_counts(spark, sf):
     return pages.select("request_id", "nb_hits", "nb_pages", "page", "hits_per_page")
 
 
+def text_hit_counts(spark, sf):
+    """Of every request's text the number of documents that it matches, with typo tolerance and whatever its filters."""
+    asked = current_requests(spark, sf).select(F.col("request_id").alias("query_id"), "query")
+    return batch.count_hits(record_index(spark, sf), asked).withColumnRenamed("query_id", "request_id")
+
+
+#: Searches whose whole responses are compared.
+RESPONSES = ("search_prefix", "search_typo", "search_three_words", "search_page_two", "search_page_clamped", "search_closed_word", "search_faceted", "search_unknown_facet", "search_empty")
+
+
+def search_responses(spark, sf):
+    """What the engine's facade answers to fixed searches: its counts, page, plan, hits and facets."""
+    engine = SearchEngine(record_index(spark, sf), parts=record_shards(spark, sf))
+    rows = []
+    for name in RESPONSES:
+        query, tolerance, page, size, filters = SEARCHES[name]
+        r = engine.search({"query": query, "typoTolerance": tolerance, "page": page, "hitsPerPage": size, "facetFilters": filters or []})
+        hits = [h["objectID"] + "/" + (h["_rankingInfo"]["tieBreak"] or {}).get("criterion", "-") + "/" + h["_rankingInfo"]["attributeName"] for h in r.hits]
+        plan = [f"{w['word']}:{w['maxTypos']}:{w['prefix']}:{w['candidates']}".lower() for w in r.parsedQuery]
+        counts = [sum(r.facets[f].values()) for f in ("genre", "decade", "rating")]
+        rows.append((name, r.nbHits, r.page, r.nbPages, r.hitsPerPage, " ".join(plan), " ".join(hits), *counts))
+    return spark.createDataFrame(rows, "search string, nb_hits bigint, page bigint, nb_pages bigint, hits_per_page bigint, plan string, hits string, genres bigint, decades bigint, ratings bigint")
+
+
 def request_bounds(spark, sf):
     """Page and size of every request within their bounds."""
     return current_requests(spark, sf).select(
@@ -473,7 +598,8 @@ def latency_percentiles(spark, sf):
 
 
 _FUNCTIONS = (
-    current_records, tokens_titles, tokens_requests, token_counts_documents, token_offsets_titles, html_escape, html_unescape, postings_records,
+    current_records, tokens_titles, tokens_requests, token_counts_documents, token_offsets_titles, html_escape, html_unescape, normalized_genres, capitalized_queries, formatted_numbers, canonical_params,
+    valid_bodies, url_states, json_round_trip, facet_accessors, text_hit_counts, search_responses, postings_records,
     term_df_records, term_df_documents, index_stats_records, index_stats_part, facet_index_records, facet_intersections, docset_algebra, popularity_rank, dataset_summary, decade_bucket,
     rating_buckets, exact_term, unknown_words, prefix_terms, near_term_pairs, request_words, plan_sizes, plan_caps, page_tie_breaks, proximity_pairs,
     matched_terms, facet_counts, facet_counts_wanted, facet_selected_zero, facet_display, highlight_title, snippet_description, response_json,
