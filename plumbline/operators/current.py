@@ -33,11 +33,12 @@ def _is_scan(df: DataFrame) -> bool:
     return plan.nodeName() == "LogicalRelation" and plan.toString().rstrip().endswith("parquet")
 
 
-def addressed(df: DataFrame) -> DataFrame:
-    """``df`` with the address of each row; anything but a scan of Parquet files is written first."""
+def addressed(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """A table with the rows of ``df``, and its columns ``__file`` and ``__row``; anything but a scan of Parquet files is written first."""
     if not _is_scan(df):
         df = materialize(df, "addressed")
-    return df.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+    found = df.metadataColumn("_metadata")
+    return df, [F.xxhash64(found["file_path"]).alias(FILE), found["row_index"].alias(ROW)]
 
 
 def _bit() -> Column:
@@ -46,7 +47,7 @@ def _bit() -> Column:
 
 
 def bitmaps(marks: DataFrame) -> DataFrame:
-    """Addresses to a written table of the pages that hold any, ``(__file, __page, words)``.
+    """Addresses to a written table of the pages that hold any, ``(__file, __page, __words)``.
 
     Bits are first put together per word, so a page is made of at most ``WORDS`` rows.
     """
@@ -54,7 +55,7 @@ def bitmaps(marks: DataFrame) -> DataFrame:
     entry = F.struct(F.expr(f"cast(w & {WORDS - 1} as int)").alias("at"), "bits")
     held = words.groupBy(FILE, F.shiftright("w", PAGE_BITS - WORD_BITS).alias("__page")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
     every = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
-    return materialize(held.select(FILE, "__page", every.alias("words")), "pages")
+    return materialize(held.select(FILE, "__page", every.alias("__words")), "pages")
 
 
 def _blocks(sizes: dict[int, int], limit: int) -> list[list[tuple[int, int, int]]]:
@@ -91,7 +92,7 @@ def kept(rows: DataFrame, pages: DataFrame, marked: bool = True) -> DataFrame:
     more is ever broadcast at once, and each file is read for its own block.
     """
     paged = rows.withColumn("__page", F.shiftright(ROW, PAGE_BITS))
-    bits = F.coalesce(F.get("words", F.shiftright(ROW, WORD_BITS).bitwiseAND(F.lit(WORDS - 1)).cast("int")).bitwiseAND(_bit()), F.lit(0))
+    bits = F.coalesce(F.get("__words", F.shiftright(ROW, WORD_BITS).bitwiseAND(F.lit(WORDS - 1)).cast("int")).bitwiseAND(_bit()), F.lit(0))
 
     def chosen(some: DataFrame, of: DataFrame) -> DataFrame:
         met = some.join(F.broadcast(of), [FILE, "__page"], "left" if not marked else "inner")
@@ -121,9 +122,12 @@ def latest(
     before them).  Only keys, order and addresses are shuffled, as pre-aggregated
     maxima, so a key that holds a third of all rows is one row per task.
     """
-    given = addressed(df).filter(F.col(key).isNotNull())
-    hashed = [F.to_json(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes]
-    best = given.groupBy(F.col(key)).agg(F.max(F.struct(*order, F.xxhash64(*hashed).alias("__tie"), FILE, ROW)).alias("__b"))
-    rows = kept(given, bitmaps(best.select(f"__b.{FILE}", f"__b.{ROW}")))
-    out = rows.select(F.col(key).alias(key), *(F.col(c) if isinstance(c, str) else c for c in columns))
+    table, address = addressed(df)
+    table = table.filter(F.col(key).isNotNull())
+    hashed = [F.to_json(f"`{c}`") if t.startswith("map") else F.col(f"`{c}`") for c, t in df.dtypes]
+    narrow = table.select(F.col(key).alias("__k"), F.struct(*order).alias("__o"), F.xxhash64(*hashed).alias("__t"), *address)
+    best = narrow.groupBy("__k").agg(F.max(F.struct("__o", "__t", FILE, ROW)).alias("__b"))
+    wanted = F.struct(*(F.col(c) if isinstance(c, str) else c for c in columns))
+    rows = kept(table.select(F.col(key).alias("__k"), wanted.alias("__c"), *address), bitmaps(best.select(f"__b.{FILE}", f"__b.{ROW}")))
+    out = rows.select(F.col("__k").alias(key), "__c.*")
     return out if where is None else out.filter(where)
