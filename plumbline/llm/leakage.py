@@ -303,7 +303,7 @@ def leaks(
     if not budget < window <= 64:
         raise ValueError("a passage needs a term for each piece, and has at most 64")
     spark = docs.sparkSession
-    given = items.select(_key(item_key, "item"), F.col(item_text)).dropna()
+    given = items.select(_key(item_key, "item"), F.col(item_text).alias("text")).dropna()
     known = materialize(given.mapInArrow(_cut_items, _ITEMS).withColumn("number", F.monotonically_increasing_id()), "items")
     pieces = materialize(known.select(F.col("number").cast("string").alias("item"), "terms").mapInArrow(_cut_pieces(window, budget), _PIECES), "pieces")
     # Passages come in as many sizes as a window has terms, at most.
@@ -313,7 +313,7 @@ def leaks(
     bits = 1 << min(max(asked * FILTER_BITS, 64).bit_length(), MOST_BITS.bit_length() - 1)
     held = spark.sparkContext.broadcast(_filter(pieces, bits))
 
-    texts = docs.select(_key(doc_key, "doc"), F.col(doc_text)).dropna()
+    texts = docs.select(_key(doc_key, "doc"), F.col(doc_text).alias("text")).dropna()
     shown = materialize(texts.mapInArrow(_search(held, sizes, 2 * window + budget), _STRETCH_SQL), "stretches")
     hits = shown.select("stretch", F.explode(F.arrays_zip("at", "h")).alias("e")).select("stretch", "e.at", "e.h")
     met = _in_blocks(hits, pieces).groupBy("stretch", "item").agg(F.collect_list(F.struct("at", "place")).alias("e"))

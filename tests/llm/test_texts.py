@@ -137,6 +137,8 @@ def test_runs_are_whole_and_seen_through_look_alikes(spark):
     docs = spark.createDataFrame([(1, hidden), (2, short), (1, hidden)], "doc_id long, text string")
     items = spark.createDataFrame([(5, item)], "item_id long, text string")
     assert {tuple(r) for r in leakage.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()} == {(1, 5, 0, 12), (2, 5, 1, 9)}
+    renamed = leakage.leaks(docs.withColumnRenamed("text", "doc"), "doc_id", "doc", items.toDF("doc", "item"), "doc", "item")
+    assert {tuple(r) for r in renamed.collect()} == {(1, 5, 0, 12), (2, 5, 1, 9)}
 
 
 def test_mix(spark):
