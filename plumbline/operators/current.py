@@ -117,17 +117,18 @@ def latest(
 
     Exact copies count once.  Rows with a null key are left out; nulls in
     ``order`` come before any value; rows equal in ``order`` are settled by a
-    hash of all columns of ``df``, so which state is taken depends neither on
-    the reading order nor on ``columns``.  ``where`` filters the latest rows (not the states
+    hash of their output columns, so the result never depends on the reading
+    order, and no other columns are read.  ``where`` filters the latest rows (not the states
     before them).  Only keys, order and addresses are shuffled, as pre-aggregated
     maxima, so a key that holds a third of all rows is one row per task.
     """
     table, address = addressed(df)
     table = table.filter(F.col(key).isNotNull())
-    hashed = [F.to_json(f"`{c}`") if t.startswith("map") else F.col(f"`{c}`") for c, t in df.dtypes]
-    narrow = table.select(F.col(key).alias("__k"), F.struct(*order).alias("__o"), F.xxhash64(*hashed).alias("__t"), *address)
-    best = narrow.groupBy("__k").agg(F.max(F.struct("__o", "__t", FILE, ROW)).alias("__b"))
     wanted = F.struct(*(F.col(c) if isinstance(c, str) else c for c in columns))
+    has_map = "map<" in table.select(wanted).dtypes[0][1]  # maps have no hash
+    tie = F.xxhash64(F.to_json(wanted) if has_map else wanted).alias("__t")
+    narrow = table.select(F.col(key).alias("__k"), F.struct(*order).alias("__o"), tie, *address)
+    best = narrow.groupBy("__k").agg(F.max(F.struct("__o", "__t", FILE, ROW)).alias("__b"))
     rows = kept(table.select(F.col(key).alias("__k"), wanted.alias("__c"), *address), bitmaps(best.select(f"__b.{FILE}", f"__b.{ROW}")))
     out = rows.select(F.col("__k").alias(key), "__c.*")
     return out if where is None else out.filter(where)
