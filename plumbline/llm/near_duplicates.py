@@ -13,7 +13,8 @@ prefix, the larger one the *probe* prefix, of which the former is a part.
 
 Candidates sharing a combination are filtered by size and by the Hamming
 distance of 128-bit parity sketches, which never exceeds the size of the
-symmetric difference, and verified on the sets themselves.
+symmetric difference, and verified on the sets themselves.  A combination that
+very many sets share is cut into parts, and each two of them are joined apart.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ DICTIONARY = 500_000
 POSTINGS = 64
 #: A task joins about so many combinations, in pieces of so many pairs; the cores share them as long as each has so many.
 BUCKET, PIECE, LEAST_BUCKET = 6_000_000, 2_000_000, 1_000_000
+#: A combination that more than four times so many sets share is joined in parts of so many, each two of them apart.
+PART = 4096
 #: A key of the join of two classes takes about so many rows of either.
 BLOCK = 1024
 #: Classes of more than this share of the rows are hot; there can't be more than its inverse of them.
@@ -285,9 +288,27 @@ def _read(blob: bytes):
     return columns[0] + base, columns[1], columns[2], sketch, np.frombuffer(blob, np.uint32, m, at + 16 * n)
 
 
-def _joined(t: float):
-    """Pairs of sets in a bucket that share a combination and pass the filters."""
-    most = (1 - t) / (1 + t)
+def _near(t: float, sets: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray, fx: np.ndarray, fy: np.ndarray) -> np.ndarray:
+    """Of pairs of sets, with the flags of the combination that they share, those that may be similar, as pairs of record numbers."""
+    recs, sizes, small, sketch = sets
+    sx, sy = small[x], small[y]
+    good = ((fx & (sx <= sy)) | (fy & (sy <= sx))) & (np.minimum(sx, sy) >= t * np.maximum(sx, sy) - 1e-9) & (x != y)
+    x, y = x[good], y[good]
+    limit = (1 - t) / (1 + t) * (sizes[x] + sizes[y]) + 1e-9
+    apart = np.bitwise_count(sketch[x, 0] ^ sketch[y, 0])
+    near = apart <= limit
+    x, y, limit, apart = x[near], y[near], limit[near], apart[near]
+    near = apart + np.bitwise_count(sketch[x, 1] ^ sketch[y, 1]) <= limit
+    x, y = recs[x[near]], recs[y[near]]
+    return np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
+
+
+_RAW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("run", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("blob", pa.binary())])
+_RAW_SQL = "a bigint, b bigint, run bigint, part int, parts int, blob binary"
+
+
+def _joined(t: float, longest: int, part: int):
+    """Pairs of sets in a bucket that share a combination and pass the filters; runs of more than ``longest`` come out in parts instead."""
 
     def pairs(run: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Each entry with every one before it in its run, in pieces."""
@@ -295,18 +316,16 @@ def _joined(t: float):
         while a < len(run):
             total = np.cumsum(place[a : a + PIECE])
             b = a + max(1, int(np.searchsorted(total, PIECE, "right")))
-            if place[a] > PIECE:
-                for c in range(0, int(place[a]), PIECE):
-                    yield np.full(min(PIECE, int(place[a]) - c), a), np.arange(c, min(c + PIECE, int(place[a]))) + a - place[a]
-                a += 1
-                continue
             times = place[a:b]
             later = np.repeat(np.arange(a, b), times)
             yield later, later - 1 - _counted(times)
             a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_read(blob) for batch in batches for blob in batch.column("blob").to_pylist()]
+        first, parts = None, []
+        for batch in batches:
+            first = batch.column("bucket")[0].as_py() if first is None and batch.num_rows else first
+            parts += [_read(blob) for blob in batch.column("blob").to_pylist()]
         if not parts:
             return
         recs, sizes, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -318,25 +337,27 @@ def _joined(t: float):
         same = np.r_[top[1:] == top[:-1], False]
         packed = packed[same | np.r_[False, same[:-1]]]
         starts = _starts(packed >> np.uint64(33))
-        place = _place(starts, len(packed))
+        ends = np.r_[starts[1:], len(packed)]
+        rest = np.ones(len(packed), bool)
+        for a, b in zip(starts[ends - starts > longest].tolist(), ends[ends - starts > longest].tolist(), strict=True):
+            rest[a:b] = False
+            name = (first << 31) + int(packed[a] >> np.uint64(33))
+            for k in range(0, b - a, part):
+                some = packed[a + k : min(a + k + part, b)]
+                of = (some & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                flag = (some >> np.uint64(32)).astype(np.uint8) & np.uint8(1)
+                blob = b"".join(v.tobytes() for v in (np.array([len(of)], np.int64), recs[of], sizes[of], sketch[of], flag))
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, name, k // part, -(-(b - a) // part), blob), _RAW, strict=True)], schema=_RAW)
+        packed = packed[rest]
+        place = _place(_starts(packed >> np.uint64(33)), len(packed))
         of = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
         flag = (packed >> np.uint64(32)) & np.uint64(1) == 1
         kept = []
-        small = _narrow(sizes)  # stays in the cache
+        sets = recs, sizes, _narrow(sizes), sketch  # narrow sizes stay in the cache
         for i, j in pairs(of, place):
             fi, fj = flag[i], flag[j]
             either = np.flatnonzero(fi | fj)
-            x, y, fi, fj = of[i[either]], of[j[either]], fi[either], fj[either]
-            sx, sy = small[x], small[y]
-            good = ((fi & (sx <= sy)) | (fj & (sy <= sx))) & (np.minimum(sx, sy) >= t * np.maximum(sx, sy) - 1e-9) & (x != y)
-            x, y = x[good], y[good]
-            limit = most * (sizes[x] + sizes[y]) + 1e-9
-            apart = np.bitwise_count(sketch[x, 0] ^ sketch[y, 0])
-            near = apart <= limit
-            x, y, limit, apart = x[near], y[near], limit[near], apart[near]
-            near = apart + np.bitwise_count(sketch[x, 1] ^ sketch[y, 1]) <= limit
-            x, y = recs[x[near]], recs[y[near]]
-            kept.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            kept.append(_near(t, sets, of[i[either]], of[j[either]], fi[either], fj[either]))
             if sum(map(len, kept)) > PIECE:
                 kept = [np.unique(np.concatenate(kept), axis=0)]
                 if len(kept[0]) > PIECE // 2:
@@ -347,8 +368,44 @@ def _joined(t: float):
     return run
 
 
+def _joined_parts(t: float):
+    """The pairs of two parts of a long run, or of one part with itself."""
+
+    def entries(blob: bytes) -> tuple[np.ndarray, ...]:
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        recs, sizes = np.frombuffer(blob, np.int64, n, 8), np.frombuffer(blob, np.int64, n, 8 + 8 * n)
+        return recs, sizes, np.frombuffer(blob, np.uint64, 2 * n, 8 + 16 * n).reshape(n, 2), np.frombuffer(blob, np.uint8, n, 8 + 32 * n) == 1
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = entries(left.column("blob")[0].as_py()), entries(right.column("blob")[0].as_py())
+        n, m = len(x[0]), len(y[0])
+        recs, sizes, sketch, flag = (np.concatenate([a, b]) for a, b in zip(x, y, strict=True))
+        own = left.column("i")[0].as_py() == left.column("j")[0].as_py()
+        sets, kept = (recs, sizes, _narrow(sizes), sketch), [np.empty((0, 2), np.int64)]
+        step = max(1, PIECE // m)
+        for a in range(0, n, step):
+            i, j = (v.ravel() for v in np.meshgrid(np.arange(a, min(a + step, n)), np.arange(n, n + m), indexing="ij"))
+            use = (flag[i] | flag[j]) & ((j - n > i) | (not own))
+            i, j = i[use], j[use]
+            kept.append(_near(t, sets, i, j, flag[i], flag[j]))
+        found = np.unique(np.concatenate(kept), axis=0)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    return run
+
+
+def _candidates(raw: DataFrame, t: float) -> DataFrame:
+    """The distinct pairs of a written table of pairs and of parts of long runs, which are joined part by part, each two of them by a task's key of their own."""
+    parts = raw.filter("run is not null").select("run", "part", "parts", "blob")
+    left = parts.select("run", F.col("part").alias("i"), F.explode(F.expr("sequence(part, parts - 1)")).alias("j"), "blob")
+    right = parts.select("run", F.explode(F.expr("sequence(0, part)")).alias("i"), F.col("part").alias("j"), "blob")
+    long = left.groupBy("run", "i", "j").cogroup(right.groupBy("run", "i", "j")).applyInArrow(_joined_parts(t), "a bigint, b bigint")
+    return raw.filter("run is null").select("a", "b").unionByName(long).distinct()
+
+
 def _links(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    none = [pa.nulls(len(pairs), f.type) for f in list(_RAW)[2:]]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], schema=_RAW)
 
 
 def _addresses(rec: str) -> list:
@@ -371,8 +428,8 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     buckets = max(1, round(whole["m"] * 2 / BUCKET), min(spark.sparkContext.defaultParallelism, round(whole["m"] * 2 / LEAST_BUCKET)))
     blobs = sets.select("rec", "terms").mapInArrow(_emit(order, buckets), "bucket int, blob binary")
     # Each bucket is a task of its own; two that met in one would only make more candidates.
-    found = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_joined(t), "a bigint, b bigint")
-    found = materialize(found.distinct(), "candidates")
+    raw = materialize(blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_joined(t, 4 * PART, PART), _RAW_SQL), "raw")
+    found = materialize(_candidates(raw, t), "candidates")
     # Only sets that are in a candidate are shuffled for the verification.
     held = kept(sets, bitmaps(found.select(F.explode(F.array("a", "b")).alias("rec")).select(*_addresses("rec"))))
     both = found.join(held.select(F.col("rec").alias("a"), F.col("id").alias("ida"), F.col("terms").alias("ta")), "a")

@@ -49,6 +49,19 @@ def test_equals_brute_force(spark, monkeypatch, t, least):
     assert found(spark, rows, least_terms=least, t=t, expand=1000) == brute(rows, least, t)
 
 
+def test_long_runs_are_joined_in_parts(spark, monkeypatch):
+    """A hot combination: a third of all rows share most of their words, but no two their set."""
+    monkeypatch.setattr(nd, "PART", 5)
+    runs, real = [], nd._candidates
+    monkeypatch.setattr(nd, "_candidates", lambda raw, t: runs.append(raw.filter("run is not null").count()) or real(raw, t))
+    rng = random.Random(19)
+    shared = [f"s{i}" for i in range(15)]
+    rows = corpus(18, 120) + [(f"h{i:03d}", None, " ".join(shared + [f"u{i}_{k}" for k in range(rng.randint(1, 8))])) for i in range(80)]
+    assert found(spark, rows, least_terms=3, t=0.6, expand=1000) == brute(rows, 3, 0.6)
+    assert found(spark, rows, least_terms=3, t=0.8, expand=1000) == brute(rows, 3, 0.8)
+    assert min(runs) > 0
+
+
 def test_nulls_empty_texts_ties_and_copies(spark):
     same = " ".join(f"a{i}" for i in range(20))
     rows = [("b", "t", same), ("a", "t", same), ("c", "t", same), ("d", None, same + " more"), ("e", "t", None), ("f", "t", ""), (None, "t", same), ("g", None, None)]
