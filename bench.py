@@ -49,7 +49,9 @@ def main() -> None:
     # The reference's own workload: 10,000 records, 1,000 mixed queries.
     records = generate_records()
     held: list = []
-    times["build_index_10k"] = timed(lambda: held.extend(indexed(materialize(records_from_rows(spark, records), "bench"))))
+    given = records_from_rows(spark, records)
+    times["build_index_10k_first"] = timed(lambda: indexed(materialize(given, "bench")))  # with the start of the session's workers
+    times["build_index_10k"] = timed(lambda: held.extend(indexed(materialize(given, "bench"))))
     mix = query_mix(records)
     run_mix(spark, held, mix[:200])
     times["mix_1000_over_10k"] = timed(lambda: run_mix(spark, held, mix))
@@ -75,7 +77,7 @@ def main() -> None:
     for name in [n for n in [*HEADLINE, *PROBLEMS] if n in queries]:
         times[name] = timed(lambda name=name: queries[name](spark, sf).write.format("noop").mode("overwrite").save())
         print(name, times[name], file=sys.stderr)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/")), "queries_per_s_10k": round(20_000 / times["mix_20000_over_10k"], 1)}))
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/")), "queries_per_s_1000": round(1000 / times["mix_1000_over_10k"], 1), "queries_per_s_20000": round(20_000 / times["mix_20000_over_10k"], 1)}))
 
 
 if __name__ == "__main__":
