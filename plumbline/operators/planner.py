@@ -98,6 +98,17 @@ def expand_words(words: DataFrame, terms_: DataFrame) -> DataFrame:
     return every.groupBy(*WORD, "term").agg(F.min("typos").alias("typos"), F.max("exact").alias("exact"), F.first("df").alias("df"))
 
 
+def letters(strings: list[str]) -> np.ndarray:
+    """The set of letters of each string as a mask of 64 bits; letters may share a bit."""
+    out = np.zeros(len(strings), np.uint64)
+    for i, x in enumerate(strings):
+        mask = 0
+        for ch in x:
+            mask |= 1 << (ord(ch) & 63)
+        out[i] = mask
+    return out
+
+
 def scan_words(words: list[tuple[str, int, bool]], terms_: DataFrame) -> DataFrame:
     """``expand_words`` for a few words: one pass over the dictionary, whose terms are compared with each word.
 
@@ -125,10 +136,15 @@ def scan_words(words: list[tuple[str, int, bool]], terms_: DataFrame) -> DataFra
         if plain and found:
             scanner = Scanner([asked[i][0] for i in plain])
             codes, _ = scanner.strings(found)
+            own, others = letters([w for w, _, _ in asked]), letters(found)
             for at in range(0, len(plain), max(1, PAIRS // len(found))):
                 part = np.array(plain[at : at + max(1, PAIRS // len(found))])
                 apart = sizes[None, :] - lengths[part][:, None]
-                near = (apart >= -budgets[part][:, None]) & (opened[part][:, None] | (apart <= budgets[part][:, None]))
+                most, is_open = budgets[part][:, None], opened[part][:, None]
+                near = (apart >= -most) & (is_open | (apart <= most))
+                # An edit brings in or takes away one letter: of most terms the letters alone tell that they are too far.
+                near &= np.bitwise_count(own[part][:, None] & ~others[None, :]) <= most
+                near &= is_open | (np.bitwise_count(others[None, :] & ~own[part][:, None]) <= most)
                 word, term = np.nonzero(near)
                 word = part[word]
                 whole, prefix = scanner.distances(np.array([spelled[w] for w in word.tolist()], np.int64), term, codes, sizes)
