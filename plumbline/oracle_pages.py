@@ -107,6 +107,27 @@ FROM cur WHERE popularity IS NOT NULL""",
   || CASE WHEN len(facet_filters) > 0 THEN '&facetFilters=' || {_encoded("to_json(facet_filters)::VARCHAR")} ELSE '' END
   || CASE WHEN facets IS NOT NULL THEN '&facets=' || {_encoded("array_to_string(facets, ',')")} ELSE '' END AS params FROM req""",
     "valid_bodies": f"WITH {REQ} SELECT request_id, coalesce({_VALID}, false) AS valid, CASE WHEN {_VALID} THEN coalesce(query, '') END AS query FROM req",
+    "valid_requests": f"WITH {REQ} SELECT request_id, coalesce(request_id >= 0 AND query IS NOT NULL AND {_VALID}, false) AS valid FROM req",
+    "request_curls": f"""WITH {REQ} SELECT request_id, 'curl -X POST http://localhost/1/indexes/records/query -H ''Content-Type: application/json'' -d '''
+  || replace('{{"query": ' || to_json(query) || '}}', '''', '''\\\\''''') || '''' AS curl FROM req""",
+    # splitmix32 gives the four words, each step of xoshiro128** a number.
+    "prng_numbers": """WITH RECURSIVE mix AS (SELECT i, (7 + i * 2654435769::HUGEINT) % 4294967296 AS x FROM (SELECT unnest([1, 2, 3, 4]) AS i)),
+y AS (SELECT i, (xor(x::UBIGINT, x::UBIGINT >> 16)::HUGEINT * 569420461) % 4294967296 AS x FROM mix),
+z AS (SELECT i, (xor(x::UBIGINT, x::UBIGINT >> 15)::HUGEINT * 1935289751) % 4294967296 AS x FROM y),
+w AS (SELECT i, xor(x::UBIGINT, x::UBIGINT >> 15) AS x FROM z),
+s AS (SELECT 0 AS i, max(x) FILTER (i = 1) AS a, max(x) FILTER (i = 2) AS b, max(x) FILTER (i = 3) AS c, max(x) FILTER (i = 4) AS d FROM w
+  UNION ALL SELECT i + 1, xor(a, xor(d, b)), xor(b, xor(c, a)), xor(xor(c, a), (b * 512) % 4294967296), (xor(d, b) * 2048) % 4294967296 + xor(d, b) // 2097152 FROM s WHERE i < 199),
+n AS (SELECT i, (b * 5) % 4294967296 AS x FROM s)
+SELECT i::BIGINT AS i, ((((x * 128) % 4294967296 + x // 33554432) * 9) % 4294967296)::BIGINT AS number FROM n""",
+    "hit_explanations": f"""{_ranked("search_page_two")}, {_broken("ranked", "ORDER BY rank")},
+named AS (SELECT *, CASE criterion WHEN 'typos' THEN 0 WHEN 'words' THEN 1 WHEN 'proximity' THEN 2 WHEN 'attribute' THEN 3 WHEN 'exactness' THEN 4 WHEN 'popularity' THEN 5 END AS c,
+  ['misspelt letters', 'query words found', 'distance between the words', 'field of the best match', 'words matched in full', 'popularity'] AS m FROM broken),
+shown AS (SELECT *, CASE WHEN c = 5 THEN format('{{:,}}', previous::BIGINT) ELSE previous::VARCHAR END AS p,
+  CASE WHEN c = 5 THEN format('{{:,}}', current::BIGINT) WHEN c = 3 THEN CASE attribute WHEN 0 THEN 'title' WHEN 1 THEN 'genres' ELSE 'description' END ELSE current::VARCHAR END AS o FROM named)
+SELECT (rank + 1)::BIGINT AS rank, id, CASE WHEN criterion IS NULL THEN 'Equal to number ' || rank || ' in every respect, and later in the collection.'
+  ELSE CASE WHEN c > 0 THEN 'Level with number ' || rank || ' in ' || array_to_string(m[1:c], ', ') || '. ' ELSE '' END || 'Number ' || rank || ' has ' || coalesce(p, 'None') || ' against ' || coalesce(o, 'None')
+  || ' here in ' || m[c + 1] || ', where the ' || CASE WHEN c IN (0, 2, 3) THEN 'fewest' ELSE 'most' END || ' come first.' END AS explanation
+FROM shown WHERE rank >= {_page("search_page_two")[0]} AND rank < {_page("search_page_two")[0]} + 40""",
     "url_states": rf"""WITH {REQ}, items AS (SELECT request_id, unnest(flatten(list_filter(facet_filters, lambda g: g IS NOT NULL))) AS x FROM req),
 v AS (SELECT DISTINCT request_id, left(x, strpos(x, ':') - 1) AS f, substr(x, strpos(x, ':') + 1) AS v FROM items WHERE strpos(x, ':') > 1),
 ok AS (SELECT * FROM v WHERE f IN ('genre', 'decade', 'rating') AND v <> '' AND strpos(v, ',') = 0 AND NOT regexp_matches(v, '^[\s\p{{Z}}]|[\s\p{{Z}}]$'))

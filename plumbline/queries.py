@@ -6,6 +6,7 @@ them is built once per session and data folder.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 from functools import reduce
@@ -25,11 +26,13 @@ from plumbline.operators.ordinals import running_totals
 from plumbline.operators.planner import WORD, describe_plan, expand_words, near_strings, plan_candidates, prefixes_of, query_words
 from plumbline.operators.shards import build_shards
 from plumbline.plans import batch, scatter
-from plumbline.plans.engine import SearchEngine
+from plumbline.plans.engine import SearchEngine, explain
 from plumbline.plans.params import (
-    FACET_NAMES, InvalidParams, SearchState, count_refinements, parse_query_body, parse_search_params, serialize_params, serialize_search_params, to_query_params,
+    FACET_NAMES, InvalidParams, SearchState, count_refinements, parse_query_body, parse_search_params, request_as_curl, serialize_params, serialize_search_params, to_query_params,
 )
+from plumbline.plans.service import is_request
 from plumbline.session import materialize, shared_dir, table_path
+from plumbline.sources.dataset import Xoshiro
 from plumbline.sources.io import as_json, read_json_lines, summary, write_json_lines
 from plumbline.streaming.requests import latest_requests, read_requests, stale_answers
 
@@ -199,6 +202,27 @@ def valid_bodies(spark, sf):
     return current_requests(spark, sf).select("request_id", parsed).select("request_id", F.col("query").isNotNull().alias("valid"), "query")
 
 
+def valid_requests(spark, sf):
+    """Whether every request is accepted as a message to the service."""
+
+    def accepted(message):
+        return is_request(json.loads(message))
+
+    message = F.concat(F.lit('{"type": "query", "id": '), F.col("request_id").cast("string"), F.lit(', "params": '), _body(), F.lit("}"))
+    return current_requests(spark, sf).select("request_id", _mapped(accepted, "boolean")(message).alias("valid"))
+
+
+def request_curls(spark, sf):
+    """Every request's query as a command line."""
+    return current_requests(spark, sf).select("request_id", _mapped(lambda q: request_as_curl({"query": q}), "string")("query").alias("curl"))
+
+
+def prng_numbers(spark, sf):
+    """The first numbers of the generator of the synthetic corpus."""
+    rng = Xoshiro(7)
+    return spark.createDataFrame([(i, rng._next()) for i in range(200)], "i bigint, number bigint")
+
+
 def url_states(spark, sf):
     """What is left of every request's query and values after a turn through the URL."""
     import pyarrow as pa
@@ -523,6 +547,15 @@ def search_responses(spark, sf):
     return spark.createDataFrame(rows, "search string, nb_hits bigint, page bigint, nb_pages bigint, hits_per_page bigint, plan string, hits string, genres bigint, decades bigint, ratings bigint")
 
 
+def hit_explanations(spark, sf):
+    """Why each hit of the second page stands behind the one before it."""
+    query, tolerance, page, size, _ = SEARCHES["search_page_two"]
+    engine = SearchEngine(record_index(spark, sf), parts=record_shards(spark, sf))
+    hits = engine.search({"query": query, "typoTolerance": tolerance, "page": page, "hitsPerPage": size, "facets": []}).hits
+    first = int(page) * int(size) + 1
+    return spark.createDataFrame([(first + i, h["objectID"], explain(h, first + i)) for i, h in enumerate(hits)], "rank bigint, id string, explanation string")
+
+
 def request_bounds(spark, sf):
     """Page and size of every request within their bounds."""
     return current_requests(spark, sf).select(
@@ -599,7 +632,7 @@ def latency_percentiles(spark, sf):
 
 _FUNCTIONS = (
     current_records, tokens_titles, tokens_requests, token_counts_documents, token_offsets_titles, html_escape, html_unescape, normalized_genres, capitalized_queries, formatted_numbers, canonical_params,
-    valid_bodies, url_states, json_round_trip, facet_accessors, text_hit_counts, search_responses, postings_records,
+    valid_bodies, valid_requests, request_curls, url_states, prng_numbers, json_round_trip, hit_explanations, facet_accessors, text_hit_counts, search_responses, postings_records,
     term_df_records, term_df_documents, index_stats_records, index_stats_part, facet_index_records, facet_intersections, docset_algebra, popularity_rank, dataset_summary, decade_bucket,
     rating_buckets, exact_term, unknown_words, prefix_terms, near_term_pairs, request_words, plan_sizes, plan_caps, page_tie_breaks, proximity_pairs,
     matched_terms, facet_counts, facet_counts_wanted, facet_selected_zero, facet_display, highlight_title, snippet_description, response_json,
