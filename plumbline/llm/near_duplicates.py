@@ -110,9 +110,13 @@ def _analyse(counted: int, least: int):
                 continue
             coded = pa.array(flat, pa.string()).dictionary_encode()
             known = np.array([xxhash.xxh3_64_intdigest(t) for t in coded.dictionary.to_pylist()], np.uint64)
-            of = np.repeat(np.arange(len(keep)), sizes)
-            hashed = known[coded.indices.to_numpy()]
-            hashed = hashed[np.lexsort((hashed, of))]
+            # The hashes of each set in ascending order, by one sort of small numbers.
+            by = np.argsort(known)
+            rank = np.empty(len(known), np.int64)
+            rank[by] = np.arange(len(known))
+            places = np.repeat(np.arange(len(keep)) * len(known), sizes) + rank[coded.indices.to_numpy()]
+            places.sort()
+            hashed = known[by][places % len(known)]
             ends = np.cumsum(sizes)
             filled = np.flatnonzero(sizes)
             h1, h2 = np.zeros(len(keep), np.uint64), np.zeros(len(keep), np.uint64)
@@ -171,10 +175,10 @@ def _pairs_before(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def combinations(order: Order, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(set, signature, is_index)`` of all combinations of sets given as sizes and concatenated hashes."""
+    """``(set, signature, is_index)`` of all combinations of sets given as sizes and concatenated hashes, those of each set ascending."""
     of = np.repeat(np.arange(len(sizes)), sizes)
     frequency, kind = order.look_up(hashes)
-    rank = np.lexsort((hashes, frequency, of))
+    rank = np.argsort((of << 40) + np.minimum(frequency, (1 << 40) - 1), kind="stable")
     of, hashes, kind = of[rank], hashes[rank], kind[rank]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     probe = sizes - _ceil(order.t * sizes) + 1
