@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from plumbline.functions.text import terms
 from plumbline.llm import near_duplicates as nd
 from plumbline.llm import queries
 from plumbline.llm.components import components, grouped
+from plumbline.session import brief_shuffles, materialize
 
 SCHEMA = "id string, title string, description string, rec long, terms string, h1 int"
 
@@ -62,6 +64,48 @@ def test_long_runs_are_joined_in_parts(spark, monkeypatch):
     assert min(runs) > 0
 
 
+def test_many_buckets_are_shuffled_in_waves(spark, monkeypatch):
+    """However many buckets a set's sketch goes to, no more than a bounded multiple of the sets is shuffled at once."""
+    rows, sent, real = corpus(7, 300), [], nd._emit
+    monkeypatch.setattr(nd, "POSTINGS", 2)
+    monkeypatch.setattr(nd, "BUCKET", 200)
+    monkeypatch.setattr(nd, "WEIGHED", 1, raising=False)
+
+    def counted(*args):
+        total, emit = spark.sparkContext.accumulator(0), real(*args)
+        sent.append(total)
+
+        def run(batches):
+            for batch in emit(batches):
+                total.add(sum(map(len, batch.column("blob").to_pylist())))
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(nd, "_emit", counted)
+    assert found(spark, rows, least_terms=1, t=0.6, expand=1000) == brute(rows, 1, 0.6)
+    places = sum(len(x) for x in {frozenset(terms(r[1])) | frozenset(terms(r[2])) for r in rows if terms(r[2])})
+    assert len(sent) > 3
+    assert max(x.value for x in sent) <= 1.2 * nd.WAVE * places
+    assert sum(x.value for x in sent) > 3 * nd.WAVE * places
+
+
+def test_shuffles_are_off_the_disk_when_a_wave_ends(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in (manager.getAllFiles().apply(i).getName() for i in range(manager.getAllFiles().size())) if f.startswith("shuffle_")}
+
+    before = files()
+    with brief_shuffles(spark):
+        table = materialize(spark.range(5000).repartition(4), "waved")
+    deadline = time.time() + 10
+    while files() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not files() - before
+    assert table.count() == 5000
+
+
 def test_nulls_empty_texts_ties_and_copies(spark):
     same = " ".join(f"a{i}" for i in range(20))
     rows = [("b", "t", same), ("a", "t", same), ("c", "t", same), ("d", None, same + " more"), ("e", "t", None), ("f", "t", ""), (None, "t", same), ("g", None, None)]
