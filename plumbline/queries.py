@@ -23,7 +23,7 @@ from plumbline.operators.current import latest
 from plumbline.operators.index import Index, build_index, decade, index_stats, invert, rating_bucket, term_table
 from plumbline.operators.index import IndexConfig
 from plumbline.operators.ordinals import running_totals
-from plumbline.operators.planner import WORD, describe_plan, expand_words, near_strings, plan_candidates, prefixes_of, query_words
+from plumbline.operators.planner import WORD, cap_candidates, describe_plan, near_strings, plan_candidates, prefixes_of, query_words, scan_words
 from plumbline.operators.shards import build_shards
 from plumbline.plans import batch, scatter
 from plumbline.plans.engine import SearchEngine, explain
@@ -345,13 +345,9 @@ def _request_words(spark, sf):
     return query_words(current_requests(spark, sf).withColumnRenamed("request_id", "query_id"))
 
 
-def _literal_words(spark, words):
-    return spark.createDataFrame(words, "word string, max_typos int, prefix boolean")
-
-
 def _expanded(words):
     def run(spark, sf):
-        return expand_words(_literal_words(spark, words), record_index(spark, sf).terms).select("word", "term", "typos", "exact", "df")
+        return scan_words(words, record_index(spark, sf).terms).select("word", "term", "typos", "exact", "df")
 
     return run
 
@@ -376,7 +372,7 @@ def plan_sizes(spark, sf):
 
 def plan_caps(spark, sf):
     """The kept candidates of one open letter, far more than there is room for."""
-    return plan_candidates(_literal_words(spark, [("s", 0, True), ("ca", 0, True)]), record_index(spark, sf).terms).select("word", "term", "typos", "exact", "df", "rank")
+    return cap_candidates(scan_words([("s", 0, True), ("ca", 0, True)], record_index(spark, sf).terms)).select("word", "term", "typos", "exact", "df", "rank")
 
 
 # --- search ------------------------------------------------------------------
