@@ -64,22 +64,26 @@ def near_strings(words: DataFrame, strings: DataFrame) -> DataFrame:
     """``(word, s, distance)``: words(word, k) and strings(s, depth) within k edits.
 
     An equi-join of deletion neighbourhoods; ``depth`` must be at least the k of
-    any word that may be that near.  Long lists of strings are never compared one by one.
+    any word that may be that near.  Long lists of strings are never compared one by one, and never broadcast:
+    sizes are estimated from files, before rows are exploded.
     """
     left = words.select("word", "k", F.explode(deletions(F.col("word"), F.col("k"))).alias("v"))
     right = strings.select("s", F.explode(deletions(F.col("s"), F.col("depth"))).alias("v"))
     left, right = left.withColumn("v", F.xxhash64("v")), right.withColumn("v", F.xxhash64("v"))
-    pairs = left.join(right, "v").filter(F.abs(F.length("word") - F.length("s")) <= F.col("k")).select("word", "k", "s").distinct()
+    pairs = left.join(right.hint("merge"), "v").filter(F.abs(F.length("word") - F.length("s")) <= F.col("k")).select("word", "k", "s").distinct()
     return pairs.withColumn("distance", osa_column("word", "s")).filter(F.col("distance") <= F.col("k")).select("word", "k", "s", "distance")
 
 
 def expand_words(words: DataFrame, terms_: DataFrame) -> DataFrame:
-    """All candidates ``(word, max_typos, prefix, term, typos, exact, df)`` of distinct words, before the caps."""
+    """All candidates ``(word, max_typos, prefix, term, typos, exact, df)`` of distinct words, before the caps.
+
+    The dictionary and its prefixes are never broadcast, whatever their estimated size.
+    """
     words = words.select(*WORD).distinct()
-    whole = words.filter(~F.col("prefix")).join(terms_.select(F.col("term"), F.col("term").alias("word"), "df"), "word")
+    whole = words.filter(~F.col("prefix")).join(terms_.select(F.col("term"), F.col("term").alias("word"), "df").hint("merge"), "word")
     whole = whole.select(*WORD, "term", F.lit(0).alias("typos"), F.lit(True).alias("exact"), "df")
     begun = prefixes_of(terms_)
-    starts = words.filter("prefix").join(begun.withColumnRenamed("prefix", "word"), "word")
+    starts = words.filter("prefix").join(begun.withColumnRenamed("prefix", "word").hint("merge"), "word")
     grown = F.length("term") - F.length("word")
     starts = starts.select(*WORD, "term", F.lit(0).alias("typos"), (grown <= F.col("max_typos")).alias("exact"), "df")
 
@@ -88,11 +92,11 @@ def expand_words(words: DataFrame, terms_: DataFrame) -> DataFrame:
     full = near_strings(
         fuzzy.filter(~F.col("prefix")).select("word", F.col("max_typos").alias("k")), terms_.filter("n_chars >= 3").select(F.col("term").alias("s"), F.when(F.col("n_chars") >= 6, 2).otherwise(1).alias("depth")),
     )
-    full = full.join(terms_.select(F.col("term").alias("s"), "df"), "s")
+    full = full.join(terms_.select(F.col("term").alias("s"), "df").hint("merge"), "s")
     full = full.select("word", F.col("k").alias("max_typos"), F.lit(False).alias("prefix"), F.col("s").alias("term"), F.col("distance").alias("typos"), F.lit(True).alias("exact"), "df")
     opened = fuzzy.filter("prefix").select("word", F.col("max_typos").alias("k"))
     near = near_strings(opened, begun.filter(F.length("prefix") >= 3).select(F.col("prefix").alias("s")).distinct().select("s", depth))
-    near = near.join(begun.withColumnRenamed("prefix", "s"), "s")
+    near = near.join(begun.withColumnRenamed("prefix", "s").hint("merge"), "s")
     near = near.select("word", F.col("k").alias("max_typos"), F.lit(True).alias("prefix"), "term", F.col("distance").alias("typos"), (F.col("s") == F.col("term")).alias("exact"), "df")
     every = whole.unionByName(starts).unionByName(full).unionByName(near)
     return every.groupBy(*WORD, "term").agg(F.min("typos").alias("typos"), F.max("exact").alias("exact"), F.first("df").alias("df"))
