@@ -16,7 +16,7 @@ def alternatives(words: DataFrame, terms_: DataFrame, limit: int = ALTERNATIVES)
     """``(word, term, distance, df, place)``: the nearest other terms of ``words(word)``, ties by frequency, then by term."""
     asked = words.select("word").distinct().filter("word <> ''").withColumn("k", F.when(F.length("word") >= 4, 2).otherwise(1))
     strings = terms_.select(F.col("term").alias("s"), F.when(F.col("n_chars") >= 2, 2).otherwise(1).alias("depth"))
-    near = near_strings(asked, strings).filter("s <> word").join(terms_.select(F.col("term").alias("s"), "df"), "s")
+    near = near_strings(asked, strings).filter("s <> word").join(terms_.select(F.col("term").alias("s"), "df").hint("merge"), "s")
     order = Window.partitionBy("word").orderBy("distance", F.desc("df"), "s")
     ranked = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
     return ranked.select("word", F.col("s").alias("term"), "distance", "df", "place")
